@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from limitlens.functions.text import is_blank
 from limitlens.operators import audit
 from limitlens.schema import FEEDBACK_LOG, PROMOTED_EXAMPLE, SUGGESTION_LOG, TASK_LOG
 
@@ -26,10 +27,23 @@ def scan_schema(kind: str) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
 
 
+def parse_lines(lines: DataFrame, kind: str) -> DataFrame:
+    """Records of a text table with one JSON document per line; blank lines are skipped.
+
+    An unreadable line keeps its text in ``_corrupt_record`` and has no other value.
+    """
+    record = F.from_json("value", scan_schema(kind), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    parsed = lines.filter(~is_blank("value")).select("value", record.alias("r"))
+    names = [f.name for f in LOGS[kind][0].fields]
+    bad = F.when(F.col("r").isNull(), F.col("value")).otherwise(F.col(f"r.{CORRUPT}"))
+    return parsed.select(
+        *[F.when(bad.isNull(), F.col(f"r.{n}")).alias(n) for n in names], bad.alias(CORRUPT)
+    )
+
+
 def read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """All lines of a log; an unreadable one is a row with ``_corrupt_record`` set."""
-    reader = spark.read.schema(scan_schema(kind)).option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.option("mode", "PERMISSIVE").json(path)
+    """All lines of a log."""
+    return parse_lines(spark.read.text(path), kind)
 
 
 def records(log: DataFrame) -> DataFrame:

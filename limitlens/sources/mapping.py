@@ -98,6 +98,8 @@ def _fallback(warning: str) -> ColumnMapping:
 
 
 def _relaxed(text: str) -> str:
-    """Drop comments and trailing commas outside strings."""
-    token = re.compile(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/|,(?=\s*[}\]])', re.S)
-    return token.sub(lambda m: m.group(0) if m.group(0).startswith('"') else "", text)
+    """Drop comments, then trailing commas, outside strings."""
+    string = r'"(?:\\.|[^"\\])*"'
+    keep = lambda m: m.group(0) if m.group(0).startswith('"') else " "
+    plain = re.sub(string + r"|//[^\n]*|/\*.*?\*/", keep, text, flags=re.S)
+    return re.sub(string + r"|,(?=\s*[}\]])", keep, plain)

@@ -10,16 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from limitlens.sources.logs import CORRUPT, LOGS, scan_schema
+from limitlens.sources.logs import CORRUPT, LOGS, parse_lines
 
 
 def stream_log(spark: SparkSession, path: str, kind: str, files_per_batch: int = 1000) -> DataFrame:
     """Lines of log files as they arrive below ``path``."""
-    return (
-        spark.readStream.schema(scan_schema(kind))
-        .option("columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE")
-        .option("maxFilesPerTrigger", files_per_batch).json(path)
-    )
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    return parse_lines(lines, kind)
 
 
 def append_stream(
