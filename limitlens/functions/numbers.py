@@ -19,7 +19,18 @@ MAX_DECIMAL = "79228162514264337593543950335"
 PROFILE_NUMBER = T.DecimalType(38, 8)
 
 
-def _parse(text: Column, grammar: str, target: T.DecimalType) -> Column:
+# The usual spelling, cast as it is; everything else takes the long way.
+_SIMPLE = r"\A[+-]?[0-9]+(?:\.[0-9]*)?\z"
+
+
+def _parse(value: Column | str, grammar: str, target: T.DataType) -> Column:
+    raw = F.col(value) if isinstance(value, str) else value
+    return F.when(raw.rlike(_SIMPLE), raw.try_cast(target)).otherwise(
+        _parse_any(clean(raw), grammar, target)
+    )
+
+
+def _parse_any(text: Column, grammar: str, target: T.DataType) -> Column:
     digits = F.translate(text, ", \t\n\x0b\x0c\r", "")
     signed = F.when(
         digits.endswith("-") | digits.endswith("+"),
@@ -30,16 +41,21 @@ def _parse(text: Column, grammar: str, target: T.DecimalType) -> Column:
 
 def parse_amount(value: Column | str) -> Column:
     """Amount without exponent; NULL when the text is not a number."""
-    return _parse(clean(value), PLAIN_NUMBER, AMOUNT)
+    return _parse(value, PLAIN_NUMBER, AMOUNT)
 
 
 def parse_profile_number(value: Column | str) -> Column:
     """Number with optional exponent inside the 96-bit decimal range, else NULL."""
-    parsed = _parse(clean(value), EXPONENT_NUMBER, PROFILE_NUMBER)
+    parsed = _parse(value, EXPONENT_NUMBER, PROFILE_NUMBER)
     bound = F.lit(MAX_DECIMAL).cast(T.DecimalType(38, 0))
     return F.when(F.abs(parsed) <= bound, parsed)
 
 
+def parse_profile_double(value: Column | str) -> Column:
+    """The same number as a double, for text already known to be a number or missing."""
+    return _parse(value, EXPONENT_NUMBER, T.DoubleType())
+
+
 def amount_column(df: DataFrame, name: str) -> Column:
     """Amount of a physical column: numeric types are cast, text is parsed."""
     kind = next(f.dataType for f in df.schema.fields if f.name.lower() == name.lower())

@@ -7,7 +7,7 @@ tables. Each date is analysed on its own, exactly as a single-date run would.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -16,41 +16,57 @@ from limitlens.functions.dates import BaseDate
 from limitlens.functions.numbers import amount_column
 from limitlens.functions.text import clean, equals_ignore_case, fold
 from limitlens.plans.joins import lookup_join
+from limitlens.plans.sizing import collect_bounded
 from limitlens.sources.mapping import (
     DESK, PRODUCT, ColumnMapping, has_column, missing_columns,
 )
+from limitlens.plans.local import local_table
 
 KEYS = ("base_dt", "pf_key", "rf_key")
+MAX_DATES = 100_000
 
 
 @dataclass(frozen=True)
 class LimitInputs:
     """Exposures and limits under their logical names, with the dates to analyse.
 
-    ``exposures`` / ``limits`` hold every row of the tables; ``dates`` is None when every
-    date found is analysed. A side with missing columns keeps what it has.
+    ``exposures`` / ``limits`` hold every row of the tables; ``every_date`` tells that all
+    dates found in them are analysed. A side with missing columns keeps what it has.
     """
 
     exposures: DataFrame
     limits: DataFrame
-    dates: tuple[BaseDate, ...] | None
+    requested: tuple[BaseDate, ...]
+    every_date: bool
     missing_exposure: tuple[str, ...]
     missing_limit: tuple[str, ...]
     currency_applicable: bool
     unit_applicable: bool
     mapping: ColumnMapping
+    _found: list[tuple[BaseDate, ...]] = field(default_factory=list, compare=False, repr=False)
 
     @property
-    def spark(self) -> SparkSession:
-        return self.exposures.sparkSession
+    def dates(self) -> tuple[BaseDate, ...]:
+        """The dates analysed. Where all are, they are looked up once, when first needed."""
+        if not self.every_date:
+            return self.requested
+        if not self._found:
+            self.find_dates(self.exposures, self.limits)
+        return self._found[0]
+
+    def find_dates(self, *tables: DataFrame) -> None:
+        """Take the dates from tables that hold all of them (e.g. grouped ones, cheaper to read)."""
+        if self.every_date and not self._found:
+            self._found.append(_dates_found(*tables))
 
     @property
-    def date_values(self) -> list[str] | None:
-        return None if self.dates is None else [d.normalized for d in self.dates]
+    def spark(self) -> SparkSession:
+        return self.exposures.sparkSession
 
     def on_dates(self, df: DataFrame) -> DataFrame:
-        values = self.date_values
-        return df if values is None else df.filter(F.col("base_dt").isin(values))
+        if self.every_date:
+            return df.filter(F.col("base_dt") != "")
+        return df.filter(F.col("base_dt").isin([d.normalized for d in self.requested]))
 
 
 def bind(
@@ -63,13 +79,14 @@ def bind(
 ) -> LimitInputs:
     """Project both tables to logical names and parse their amounts.
 
+    Without ``base_dts`` every date of either table is analysed.
     ``row_no`` names the column that gives the row order of both tables (any orderable
     type); without it the order is that of the values. ``trimmed`` tells that the tables
     hold trimmed text already, e.g. after ``sources.tables.write_standard``: the base-date
     filter then reaches the scan and prunes partitions.
     """
     mapping = mapping or ColumnMapping()
-    dates = None
+    dates: tuple[BaseDate, ...] = ()
     if base_dts is not None:
         wanted = [base_dts] if isinstance(base_dts, str) else list(base_dts)
         dates = tuple({d.normalized: d for d in map(BaseDate.of, wanted)}.values())
@@ -81,7 +98,7 @@ def bind(
     need_limit = [names(c) for c in ("BaseDate", "PortfolioId", "RiskFactor", "LimitAmount", "UseYn")]
     missing_exposure = tuple(missing_columns(exposures, need_exposure))
     missing_limit = tuple(missing_columns(limits, need_limit))
-    if dates is None and names("BaseDate") in missing_exposure + missing_limit:
+    if base_dts is None and names("BaseDate") in missing_exposure + missing_limit:
         raise ValueError("base dates must be given when a table has no base-date column")
 
     ccy, unit = mapping.find("CurrencyCode"), mapping.find("UnitCode")
@@ -113,19 +130,22 @@ def bind(
         return F.lit(None).cast(S.AMOUNT)
 
     use_yn = names("UseYn")
+    exposure_side = side(exposures, {
+        "desk_cd": DESK,
+        "product_type": PRODUCT,
+        "exposure_amt": amount(exposures, names("ExposureAmount")),
+    })
+    limit_side = side(limits, {
+        "limit_amt": amount(limits, names("LimitAmount")),
+        "in_use": equals_ignore_case(
+            text(F.col(f"`{use_yn}`")) if has_column(limits, use_yn) else F.lit(""), "Y"
+        ),
+    })
     return LimitInputs(
-        exposures=side(exposures, {
-            "desk_cd": DESK,
-            "product_type": PRODUCT,
-            "exposure_amt": amount(exposures, names("ExposureAmount")),
-        }),
-        limits=side(limits, {
-            "limit_amt": amount(limits, names("LimitAmount")),
-            "in_use": equals_ignore_case(
-                text(F.col(f"`{use_yn}`")) if has_column(limits, use_yn) else F.lit(""), "Y"
-            ),
-        }),
-        dates=dates,
+        exposures=exposure_side,
+        limits=limit_side,
+        requested=dates,
+        every_date=base_dts is None,
         missing_exposure=missing_exposure,
         missing_limit=missing_limit,
         currency_applicable=keyed and has_column(exposures, ccy) and has_column(limits, ccy),
@@ -134,6 +154,15 @@ def bind(
     )
 
 
+def _dates_found(*sides: DataFrame) -> tuple[BaseDate, ...]:
+    """Base dates of the tables: a scan of one column, a few rows per task shuffled."""
+    found = sides[0].select("base_dt")
+    for side in sides[1:]:
+        found = found.unionByName(side.select("base_dt"))
+    rows = collect_bounded(found.filter(F.col("base_dt") != "").distinct(), MAX_DATES, "base dates")
+    return tuple(BaseDate(v, v, True) for v in sorted(r["base_dt"] for r in rows))
+
+
 def _plain_text(value: Column) -> Column:
     return value.cast("string")
 
@@ -237,8 +266,6 @@ _STATUS_ALL = (*S.STATUS_COLUMNS, "unit_cd", "pf_key", "rf_key", "limit_rows", "
 
 def _synthetic(inputs: LimitInputs, message: str) -> DataFrame:
     """One MAPPING_ERROR row per date, for a table that lacks needed columns."""
-    if inputs.dates is None:
-        raise ValueError(message)
     text = ("desk_cd", "portfolio_id", "product_type", "risk_factor", "ccy_cd", "unit_cd", "pf_key", "rf_key")
     row_no = inputs.exposures.schema["_row_no"].dataType
     return requested_dates(inputs).select(
@@ -247,9 +274,14 @@ def _synthetic(inputs: LimitInputs, message: str) -> DataFrame:
 
 
 def _all_mapping_errors(inputs: LimitInputs, exposures: DataFrame, message: str) -> DataFrame:
-    rows = exposures.withColumns(_error_columns(message, F.lit(0).cast("long"))).select(*_STATUS_ALL)
-    if inputs.dates is None:
-        return rows
+    """Every exposure row as MAPPING_ERROR, for a limit table that lacks needed columns."""
+    names = {inputs.mapping.physical(c) for c in ("BaseDate", "PortfolioId", "RiskFactor")}
+    limit_rows = F.lit(0).cast("long")
+    if not names & set(inputs.missing_limit):
+        counts = limit_lookup(inputs).select(*KEYS, "limit_rows")
+        exposures = lookup_join(exposures, counts, KEYS, "left")
+        limit_rows = F.coalesce("limit_rows", limit_rows)
+    rows = exposures.withColumns(_error_columns(message, limit_rows)).select(*_STATUS_ALL)
     empty = _synthetic(inputs, message).join(
         exposures.select("base_dt").distinct(), "base_dt", "left_anti"
     )
@@ -257,15 +289,11 @@ def _all_mapping_errors(inputs: LimitInputs, exposures: DataFrame, message: str)
 
 
 def requested_dates(inputs: LimitInputs) -> DataFrame:
-    """The dates analysed, one row each: as requested, or every date either table holds."""
-    if inputs.dates is not None:
-        return inputs.spark.createDataFrame(
-            [(d.normalized, d.requested, d.valid) for d in inputs.dates],
-            "base_dt string, requested string, valid boolean",
-        )
-    found = inputs.exposures.select("base_dt").union(inputs.limits.select("base_dt")).distinct()
-    return found.filter(F.col("base_dt") != "").select(
-        "base_dt", F.col("base_dt").alias("requested"), F.lit(True).alias("valid")
+    """The dates analysed, one row each."""
+    return local_table(
+        inputs.spark,
+        [(d.normalized, d.requested, d.valid) for d in inputs.dates],
+        "base_dt string, requested string, valid boolean",
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from limitlens.functions.text import contains_ignore_case, fold, is_blank
+from limitlens.plans.local import local_table
 
 # File-name and content tokens of source text that may not be stored.
 NAME_TOKENS = (
@@ -75,7 +76,7 @@ def manifest_audit(
         F.explode(problems).alias("problem"), "path", F.coalesce("class", F.lit("App")).alias("class")
     ))
     if required:
-        wanted = spark.createDataFrame([(p,) for p in required], "path string")
+        wanted = local_table(spark, [(p,) for p in required], "path string")
         result = result.unionByName(
             wanted.join(entries.select("path"), "path", "left_anti").select(
                 F.lit("ENTRY_MISSING").alias("problem"), "path", F.lit("App").alias("class")

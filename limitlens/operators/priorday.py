@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from limitlens import schema as S
 from limitlens.functions.dates import BaseDate
 from limitlens.plans.ranking import top_n_per_group
+from limitlens.plans.local import local_table
 
 PAIR = ("current_dt", "prior_dt")
 _MEASURES = ("usage_ratio", "exposure_amt", "limit_amt", "remaining_limit")
@@ -30,8 +31,8 @@ def date_pairs(pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
 
 def _pair_rows(status: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Each status row once per pair and side it belongs to."""
-    roles = status.sparkSession.createDataFrame(
-        [(c, c, p, True) for c, p in pairs] + [(p, c, p, False) for c, p in pairs],
+    roles = local_table(
+        status.sparkSession, [(c, c, p, True) for c, p in pairs] + [(p, c, p, False) for c, p in pairs],
         "base_dt string, current_dt string, prior_dt string, is_current boolean",
     )
     # The pairs are parameters of the call, two rows each: small by construction.
@@ -112,8 +113,8 @@ def duplicate_keys(status: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataF
 def empty_sides(spark: SparkSession, status: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Sides of a pair that have no row at all."""
     checked = date_pairs(pairs)
-    wanted = spark.createDataFrame(
-        [(c, p, s, c if s == "Current" else p) for c, p in checked for s in ("Current", "Prior")],
+    wanted = local_table(
+        spark, [(c, p, s, c if s == "Current" else p) for c, p in checked for s in ("Current", "Prior")],
         "current_dt string, prior_dt string, side string, base_dt string",
     )
     return wanted.join(status.select("base_dt").distinct(), "base_dt", "left_anti").select(

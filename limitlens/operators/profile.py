@@ -6,12 +6,15 @@ turned into rows only after the aggregate, when one row is left.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from limitlens.functions.numbers import PROFILE_NUMBER, parse_profile_number
+from limitlens.functions.numbers import (
+    PROFILE_NUMBER, parse_profile_double, parse_profile_number,
+)
 from limitlens.functions.text import clean, fold, fold_key, text_or_empty
+from limitlens.plans.local import local_table
 
 # Texts that count as missing, besides blank.
 NULL_TOKENS = ("", "NULL", "N/A", "NA")
@@ -77,7 +80,7 @@ def date_distribution(df: DataFrame, base_dt: str) -> DataFrame:
     """Rows per base date, missing dates left out; empty when the column is absent."""
     name = next((c for c in df.columns if c.lower() == base_dt.lower()), None)
     if name is None:
-        return df.sparkSession.createDataFrame([], "base_dt string, row_count long")
+        return local_table(df.sparkSession, [], "base_dt string, row_count long")
     value = clean(F.col(f"`{name}`"))
     return (
         df.filter(~is_null_token(df, name))
@@ -88,90 +91,84 @@ def date_distribution(df: DataFrame, base_dt: str) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class _Numeric:
-    """Values of the candidate columns, as ``v0``, ``v1``, ... with a flag for other text."""
+def _is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(_field(df, name).dataType, T.StringType)
 
-    names: list[str]
-    values: DataFrame
 
+def double_of(df: DataFrame, name: str) -> Column:
+    """Value as a double, for a column known to be numeric."""
+    column = F.col(f"`{name}`")
+    return parse_profile_double(column) if _is_text(df, name) else column.cast("double")
 
-def _candidates(df: DataFrame) -> _Numeric:
-    names = [
-        c for c in table_columns(df)
-        if isinstance(_field(df, c).dataType, (T.NumericType, T.StringType))
-    ]
+
+def _parsed(df: DataFrame, names: list[str]) -> DataFrame:
+    """Parsed values of the text candidates beside the native ones, each parsed once."""
     columns: list[Column] = []
     for i, c in enumerate(names):
-        columns.append(number_of(df, c).alias(f"v{i}"))
-        if isinstance(_field(df, c).dataType, T.StringType):
-            columns.append((~is_null_token(df, c)).alias(f"t{i}"))
+        if _is_text(df, c):
+            columns += [number_of(df, c).alias(f"v{i}"), is_null_token(df, c).alias(f"z{i}")]
         else:
-            columns.append(F.col(f"`{c}`").isNotNull().alias(f"t{i}"))
-    return _Numeric(names, df.select(*columns))
+            columns.append(F.col(f"`{c}`").alias(f"v{i}"))
+    return df.select(*columns)
+
+
+def _first_pass(df: DataFrame, name: str, i: int) -> Column:
+    """Count, text count, sum, range and double sum of one candidate column."""
+    value = F.col(f"v{i}")
+    if _is_text(df, name):
+        number, bad = value, F.count_if(~F.col(f"z{i}") & value.isNull())
+    else:
+        # Native values need no parsing; their range is taken as it is.
+        number, bad = value.try_cast(PROFILE_NUMBER), F.lit(0).cast("long")
+    return F.struct(
+        F.count(value).alias("n"), bad.alias("bad"), F.try_sum(number).alias("total"),
+        F.min(value).try_cast(PROFILE_NUMBER).alias("low"), F.max(value).try_cast(PROFILE_NUMBER).alias("high"),
+        F.sum(value.cast("double")).alias("dsum"),
+    )
 
 
 def numeric_profile(df: DataFrame) -> DataFrame:
     """Count, sum, minimum, maximum and 3-sigma outliers of the numeric columns.
 
     A column is numeric when it has a value and no value is other text. Outliers follow
-    two-pass population deviation, so the table is read three times: sums, squared
-    deviations, outliers. The one-row results of a pass reach the next as a scalar
-    subquery, without a join.
+    two-pass population deviation, so there are three passes: sums, squared deviations,
+    outliers. The first two run here and hand their single result row on as constants;
+    the later passes read the numeric columns only.
     """
-    work = _candidates(df)
-    if not work.names:
-        return df.sparkSession.createDataFrame([], _NUMERIC_SCHEMA)
-    count = len(work.names)
-    first = work.values.agg(*[
-        F.struct(
-            F.count(f"v{i}").alias("n"),
-            F.count_if(F.col(f"t{i}") & F.col(f"v{i}").isNull()).alias("bad"),
-            F.try_sum(f"v{i}").alias("total"),
-            F.min(f"v{i}").alias("low"),
-            F.max(f"v{i}").alias("high"),
-            F.sum(F.col(f"v{i}").cast("double")).alias("dsum"),
-        ).alias(f"s{i}")
-        for i in range(count)
-    ])
-    usable = [
-        F.when((F.col(f"s{i}.bad") == 0) & (F.col(f"s{i}.n") > 0), F.col(f"s{i}")) for i in range(count)
+    names = [
+        c for c in table_columns(df)
+        if isinstance(_field(df, c).dataType, (T.NumericType, T.StringType))
     ]
-    stats = first.select(F.struct(*[u.alias(f"s{i}") for i, u in enumerate(usable)]).alias("stats"))
-
-    # Each pass names a subquery once, as a column; repeating the expression would plan it again.
-    def stat(i: int, name: str) -> Column:
-        return F.col(f"st.s{i}.{name}")
-
-    def gap(i: int) -> Column:
-        enough = stat(i, "n") >= MIN_ROWS_FOR_OUTLIERS
-        return F.col(f"v{i}").cast("double") - F.when(enough, stat(i, "dsum") / stat(i, "n"))
-
-    with_means = work.values.withColumn("st", stats.scalar())
-    second = with_means.agg(*[F.sum(gap(i) * gap(i)).alias(f"q{i}") for i in range(count)])
-    deviation = second.withColumn("st", stats.scalar()).select(F.struct(*[
-        F.sqrt(F.col(f"q{i}") / stat(i, "n")).alias(f"d{i}") for i in range(count)
-    ]).alias("deviation"))
-
-    def outlier(i: int) -> Column:
-        sigma = F.col(f"dv.d{i}")
-        return (sigma != 0) & (F.abs(gap(i)) > sigma * SIGMAS)
-
-    third = with_means.withColumn("dv", deviation.scalar()).agg(*[
-        F.count_if(outlier(i)).alias(f"o{i}") for i in range(count)
-    ]).withColumn("st", stats.scalar())
+    if not names:
+        return local_table(df.sparkSession, [], _NUMERIC_SCHEMA)
+    first = _parsed(df, names).agg(*[_first_pass(df, c, i).alias(f"s{i}") for i, c in enumerate(names)]).first()
+    stats = {c: first[f"s{i}"] for i, c in enumerate(names)}
+    numeric = {c: s for c, s in stats.items() if s["bad"] == 0 and s["n"] > 0}
+    if not numeric:
+        return local_table(df.sparkSession, [], _NUMERIC_SCHEMA)
+
+    tested = [c for c, s in numeric.items() if s["n"] >= MIN_ROWS_FOR_OUTLIERS]
+    gaps = df.select(*[
+        (double_of(df, c) - F.lit(numeric[c]["dsum"] / numeric[c]["n"])).alias(f"g{i}") for i, c in enumerate(tested)
+    ])
+    sigma: dict[str, float] = {}
+    if tested:
+        squares = gaps.agg(*[F.sum(F.col(f"g{i}") * F.col(f"g{i}")).alias(f"q{i}") for i in range(len(tested))]).first()
+        sigma = {c: math.sqrt(squares[f"q{i}"] / numeric[c]["n"]) for i, c in enumerate(tested)}
+    outliers = gaps.agg(F.lit(0).alias("none"), *[
+        F.count_if(F.abs(f"g{i}") > F.lit(sigma[c] * SIGMAS)).alias(f"o{i}")
+        for i, c in enumerate(tested) if sigma[c] != 0
+    ])
     rows = F.array(*[
-        F.when(stat(i, "n").isNotNull(), F.struct(
+        F.struct(
             F.lit(c).alias("column_name"),
-            stat(i, "n").alias("non_null_count"),
-            stat(i, "total").alias("sum"),
-            stat(i, "low").alias("min"),
-            stat(i, "high").alias("max"),
-            F.col(f"o{i}").alias("outlier_count"),
-        ))
-        for i, c in enumerate(work.names)
+            F.lit(s["n"]).cast("long").alias("non_null_count"),
+            *[F.lit(s[m]).cast(PROFILE_NUMBER).alias(n) for n, m in (("sum", "total"), ("min", "low"), ("max", "high"))],
+            (F.col(f"o{tested.index(c)}") if sigma.get(c) else F.lit(0).cast("long")).alias("outlier_count"),
+        )
+        for c, s in numeric.items()
     ])
-    return third.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*")
+    return outliers.select(F.explode(rows).alias("r")).select("r.*")
 
 
 _NUMERIC_SCHEMA = (
@@ -183,7 +180,7 @@ _NUMERIC_SCHEMA = (
 def profile_warnings(df: DataFrame, base_dt: str) -> DataFrame:
     """Ragged rows seen by the scan, and a missing base-date column."""
     spark = df.sparkSession
-    found = spark.createDataFrame([], "code string, rows long")
+    found = local_table(spark, [], "code string, rows long")
     if "_corrupt_record" in df.columns:
         others = F.count(F.lit(1)).alias("__all")
         ragged = df.agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("rows"), others)
@@ -192,7 +189,7 @@ def profile_warnings(df: DataFrame, base_dt: str) -> DataFrame:
         )
     if base_dt.lower() not in {c.lower() for c in df.columns}:
         found = found.unionByName(
-            spark.createDataFrame([("BASE_DATE_COLUMN_MISSING", 0)], "code string, rows long")
+            local_table(spark, [("BASE_DATE_COLUMN_MISSING", 0)], "code string, rows long")
         )
     return found
 

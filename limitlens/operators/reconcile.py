@@ -13,6 +13,7 @@ from limitlens import schema as S
 from limitlens.functions.text import fold
 from limitlens.operators.limits import KEYS, LimitInputs, requested_dates
 from limitlens.plans.ranking import first_per_key
+from limitlens.plans.reuse import materialized
 
 _ORDER = {code: i for i, code in enumerate(S.RECON_CODES, start=1)}
 EXCEPTION_COLUMNS = (
@@ -44,15 +45,30 @@ def _exceptions(df: DataFrame, raised: list[Column]) -> DataFrame:
     ).select("base_dt", "e.*", "portfolio_id", "risk_factor").select(*EXCEPTION_COLUMNS)
 
 
-def source_facts(inputs: LimitInputs) -> DataFrame:
-    """Exposure rows of the source grouped by key, spelling, currency and unit."""
-    return inputs.on_dates(inputs.exposures).groupBy(
-        *KEYS, "portfolio_id", "risk_factor", "ccy_cd", "unit_cd"
-    ).agg(
-        F.count("*").alias("n"),
-        F.sum("exposure_amt").alias("amount"),
-        F.count_if(F.col("exposure_amt").isNull()).alias("unparsed"),
-    )
+def exposure_facts(status: DataFrame) -> DataFrame:
+    """Status rows grouped by everything an exception can depend on.
+
+    A hot key becomes one row per spelling, currency and state. All checks of single keys
+    read this table, so the exposures are read once for them.
+    """
+    return status.groupBy(
+        *KEYS, "portfolio_id", "risk_factor", "ccy_cd", "unit_cd", "status", "note", "limit_rows"
+    ).agg(F.count("*").alias("n"), F.sum("exposure_amt").alias("amount"))
+
+
+def key_facts(inputs: LimitInputs, facts: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Exposure rows per key, spelling, currency and unit, with the limit rows of the key.
+
+    Where exposures lack a column the status table has no row per exposure row; the rows
+    are then counted from the exposures.
+    """
+    keep = (*KEYS, "portfolio_id", "risk_factor", "ccy_cd", "unit_cd")
+    if not inputs.missing_exposure:
+        return facts.select(*keep, "n", "limit_rows")
+    counted = inputs.on_dates(inputs.exposures).groupBy(*keep).agg(F.count("*").alias("n"))
+    if groups is None:
+        return counted.withColumn("limit_rows", F.lit(0).cast("long"))
+    return counted.join(groups.select(*KEYS, "limit_rows"), list(KEYS), "left")
 
 
 def limit_groups(inputs: LimitInputs) -> DataFrame:
@@ -70,22 +86,27 @@ def limit_groups(inputs: LimitInputs) -> DataFrame:
 
 
 def recon_exceptions(inputs: LimitInputs, status: DataFrame) -> DataFrame:
-    """All exceptions, counted: those of the states and those of the nine checks."""
-    source = source_facts(inputs)
+    """All exceptions, counted: those of the states and those of the nine checks.
+
+    The grouped exposures and limits are written once, to be read by every check.
+    """
+    facts = materialized(exposure_facts(status))
     can_exposure, can_limit = _can_key(inputs, "exposure"), _can_key(inputs, "limit")
-    groups = limit_groups(inputs) if can_limit else None
-    both = groups if can_exposure else None
+    groups = materialized(limit_groups(inputs)) if can_limit else None
+    inputs.find_dates(facts, inputs.limits if groups is None else groups)
+    keyed = key_facts(inputs, facts, groups)
     parts = [
-        _from_parameters(inputs),
-        _from_states(status),
-        _from_dates(inputs, status, source, both),
+        _from_states(facts),
+        _from_dates(inputs, facts, keyed if can_exposure and can_limit else None, groups),
     ]
+    if inputs.mapping.warnings or not all(d.valid for d in inputs.dates):
+        parts.append(_from_parameters(inputs))
     if groups is not None:
-        parts.append(_from_limits(inputs, groups, source if can_exposure else None))
+        parts.append(_from_limits(inputs, groups, keyed if can_exposure else None))
     if inputs.currency_applicable:
-        parts.append(_mismatch(inputs, source, "ccy_cd", S.RECON_CURRENCY_MISMATCH))
+        parts.append(_mismatch(inputs, keyed, "ccy_cd", S.RECON_CURRENCY_MISMATCH))
     if inputs.unit_applicable:
-        parts.append(_mismatch(inputs, source, "unit_cd", S.RECON_UNIT_MISMATCH))
+        parts.append(_mismatch(inputs, keyed, "unit_cd", S.RECON_UNIT_MISMATCH))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -115,11 +136,9 @@ def _from_parameters(inputs: LimitInputs) -> DataFrame:
     ])
 
 
-def _from_states(status: DataFrame) -> DataFrame:
+def _from_states(facts: DataFrame) -> DataFrame:
     """One exception per row in a non-numeric state, a second one where no limit exists."""
-    grouped = status.filter(~F.col("status").isin(*S.NUMERIC_STATUSES)).groupBy(
-        "base_dt", "portfolio_id", "risk_factor", "status", "note"
-    ).agg(F.count("*").alias("n"))
+    grouped = facts.filter(~F.col("status").isin(*S.NUMERIC_STATUSES))
     state = F.col("status")
     return _exceptions(grouped, [
         *[
@@ -134,11 +153,11 @@ def _from_states(status: DataFrame) -> DataFrame:
     ])
 
 
-def _from_limits(inputs: LimitInputs, groups: DataFrame, source: DataFrame | None) -> DataFrame:
+def _from_limits(inputs: LimitInputs, groups: DataFrame, keyed: DataFrame | None) -> DataFrame:
     """Limits without exposure, duplicate limits, limits that are not positive."""
     orphan = F.lit(False)
-    if source is not None:
-        seen = source.select(*KEYS).distinct().withColumn("seen", F.lit(True))
+    if keyed is not None:
+        seen = keyed.select(*KEYS).distinct().withColumn("seen", F.lit(True))
         groups = groups.join(seen, list(KEYS), "left")
         orphan = F.col("seen").isNull()
     one = F.lit(1)
@@ -156,7 +175,7 @@ def _from_limits(inputs: LimitInputs, groups: DataFrame, source: DataFrame | Non
     return _exceptions(groups, raised)
 
 
-def _mismatch(inputs: LimitInputs, source: DataFrame, column: str, code: str) -> DataFrame:
+def _mismatch(inputs: LimitInputs, keyed: DataFrame, column: str, code: str) -> DataFrame:
     """Exposure rows whose code differs from a limit row's code; blanks never differ."""
     limits = (
         inputs.on_dates(inputs.limits)
@@ -165,7 +184,7 @@ def _mismatch(inputs: LimitInputs, source: DataFrame, column: str, code: str) ->
         .agg(F.min(column).alias("limit_code"))
     )
     pairs = (
-        source.filter(F.col(column) != "")
+        keyed.filter(F.col(column) != "")
         .join(limits, list(KEYS))
         .filter(fold(column) != F.col("limit_key"))
     )
@@ -174,25 +193,31 @@ def _mismatch(inputs: LimitInputs, source: DataFrame, column: str, code: str) ->
 
 
 def _from_dates(
-    inputs: LimitInputs, status: DataFrame, source: DataFrame, groups: DataFrame | None
+    inputs: LimitInputs, facts: DataFrame, keyed: DataFrame | None, groups: DataFrame | None
 ) -> DataFrame:
-    """Checks of whole dates: other dates only, row amplification, sum balance."""
-    if groups is None:
-        joined = source.withColumn("limit_rows", F.lit(1))
-    else:
-        joined = source.join(groups.select(*KEYS, "limit_rows"), list(KEYS), "left")
-    per_source = joined.groupBy("base_dt").agg(
-        F.sum("n").alias("source_rows"),
-        F.sum(F.col("n") * F.greatest(F.lit(1), F.coalesce("limit_rows", F.lit(1)))).alias("join_rows"),
-        F.sum("amount").alias("source_amt"),
-        F.sum("unparsed").alias("unparsed"),
+    """Checks of whole dates: other dates only, row amplification, sum balance.
+
+    The source side is summed from the exposures themselves, apart from the status table.
+    """
+    per_source = inputs.on_dates(inputs.exposures).groupBy("base_dt").agg(
+        F.count("*").alias("source_rows"),
+        F.sum("exposure_amt").alias("source_amt"),
+        F.count_if(F.col("exposure_amt").isNull()).alias("unparsed"),
     )
-    per_status = status.groupBy("base_dt").agg(
-        F.count("*").alias("status_rows"), F.sum("exposure_amt").alias("status_amt")
+    per_status = facts.groupBy("base_dt").agg(
+        F.sum("n").alias("status_rows"), F.sum("amount").alias("status_amt")
     )
-    per_limit = inputs.on_dates(inputs.limits).groupBy("base_dt").agg(F.count("*").alias("limit_count"))
+    parts = [per_source, per_status]
+    if keyed is not None:
+        fanned = F.col("n") * F.greatest(F.lit(1), F.coalesce("limit_rows", F.lit(1)))
+        parts.append(keyed.groupBy("base_dt").agg(F.sum(fanned).alias("join_rows")))
+    if groups is None:
+        limits = inputs.on_dates(inputs.limits)
+        parts.append(limits.groupBy("base_dt").agg(F.count("*").alias("limit_count")))
+    else:
+        parts.append(groups.groupBy("base_dt").agg(F.sum("limit_rows").alias("limit_count")))
     dates = requested_dates(inputs)
-    for part in (per_source, per_status, per_limit):
+    for part in parts:
         dates = dates.join(part, "base_dt", "left")
 
     def other_dates(table: DataFrame) -> Column:
@@ -212,7 +237,7 @@ def _from_dates(
             raised.append(F.when((count(counted) == 0) & other_dates(table), _raise(
                 S.RECON_BASEDATE_MISMATCH, "Low", f"only other base dates have {side} rows", one)))
     # Where keys cannot be built the rows analysed stand for the rows joined.
-    potential = count("status_rows") if groups is None else count("join_rows")
+    potential = count("status_rows") if keyed is None else count("join_rows")
     compared = F.greatest(count("status_rows"), potential)
     raised.append(F.when(compared > count("source_rows"), _raise(
         S.RECON_ROW_AMPLIFICATION, "High", "more rows analysed or joined than exposure rows", one)))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from limitlens import schema as S
 from limitlens.operators import limits as L, reconcile as R, visual as V
-from limitlens.plans.reuse import checkpointed
+from limitlens.plans.reuse import materialized
+from limitlens.plans.local import local_table
 
 
 @dataclass(frozen=True)
@@ -33,11 +34,11 @@ def analyze(inputs: L.LimitInputs, materialize: bool = True) -> LimitAnalysis:
     """
     status = L.limit_status(inputs)
     if materialize:
-        status = checkpointed(status)
+        status = materialized(status)
     kpis = L.limit_kpis(status)
     exceptions = R.recon_exceptions(inputs, status)
     if materialize:
-        exceptions = checkpointed(exceptions)
+        exceptions = materialized(exceptions)
     summary = R.recon_summary(inputs, exceptions)
     result = R.recon_result(summary)
     findings = L.limit_findings(inputs, kpis).unionByName(_recon_finding(result))
@@ -114,8 +115,8 @@ def report_tables(
         "EXCEPTION_LIST": exception_list(analysis.exceptions, validation),
         "RECONCILIATION": analysis.summary,
         "RISK_VISUAL": risk_visual(analysis.status),
-        "VALIDATION": validation if validation is not None else spark.createDataFrame(
-            [("Info", "VALIDATION_OK", "no findings", None)],
+        "VALIDATION": validation if validation is not None else local_table(
+            spark, [("Info", "VALIDATION_OK", "no findings", None)],
             "severity string, code string, message string, position int",
         ),
     }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from limitlens.functions.text import fold
 from limitlens.plans.sizing import collect_bounded
+from limitlens.plans.local import local_table
 
 SQL_DENY = "sql_deny"
 SQL_WARN = "sql_warn"
@@ -176,7 +177,7 @@ def default_rules(spark) -> DataFrame:
         *[(BLOCKED_FUNCTION, p) for p in DEFAULT_BLOCKED_FUNCTIONS],
     ]
     numbered = [(g, i, p) for i, (g, p) in enumerate(lines)]
-    return with_code(spark.createDataFrame(numbered, "group string, rule_no long, pattern string"))
+    return with_code(local_table(spark, numbered, "group string, rule_no long, pattern string"))
 
 
 def default_rule_set(spark) -> RuleSet:

@@ -7,16 +7,20 @@ match become an array on the row. Texts are not shuffled, joined or copied per r
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limitlens import schema as S
+from limitlens.functions.found import explode_rows, found_array
 from limitlens.functions.text import (
-    call_pattern, contains_ignore_case, fold, is_blank, regex_absent, regex_match, regex_position,
+    call_pattern, fold, is_blank, may_match, regex_absent,
+    regex_match, regex_position,
 )
 from limitlens.operators import rules as R
 
 FINDINGS = "findings"
+FINDING = "struct<code:string,severity:string,severity_rank:int,message:string,matched:string,position:int>"
 
 # Tokens that may not be stored, and the resident-number pattern.
 FORBIDDEN_TERMS = (
@@ -42,40 +46,54 @@ def _found(
     )
 
 
-def pattern_findings(text: Column, rules: Sequence[R.Rule]) -> list[Column]:
+@dataclass(frozen=True)
+class Check:
+    """A finding and when it applies. ``cheap`` is tested first and rules most texts out."""
+
+    cheap: Column
+    holds: Column
+    finding: Column
+
+
+def pattern_checks(text: Column, rules: Sequence[R.Rule]) -> list[Check]:
     """First match of each rule."""
-    found = []
+    checks = []
     for rule in rules:
         position = regex_position(text, rule.pattern)
-        found.append(F.when(position >= 0, _found(
+        checks.append(Check(may_match(text, rule.pattern), position >= 0, _found(
             rule.code, rule.severity, rule.message, regex_match(text, rule.pattern), position
         )))
-    return found
+    return checks
 
 
-def _or_empty(text: Column, empty: Column | None, found: list[Column]) -> Column:
-    """Findings of the text; a blank text has only ``empty``."""
-    none = F.array_compact(F.array(F.when(F.lit(False), _found("", "Info", ""))))
-    blank = F.array(empty) if empty is not None else none
-    return F.when(is_blank(text), blank).otherwise(F.array_compact(F.array(*found)) if found else none)
+def _findings(text: Column, empty: Column | None, checks: list[Check]) -> Column:
+    """Findings of the text; a blank text has only ``empty``.
+
+    Every check is one flat condition, so that the parts they share (the upper-cased text,
+    the blank test) are computed once per row.
+    """
+    filled = ~is_blank(text)
+    found = [(c.cheap & filled & c.holds, c.finding) for c in checks]
+    if empty is not None:
+        found.insert(0, (~filled, empty))
+    return found_array(found, FINDING)
 
 
 def sql_findings(text: Column, rules: R.RuleSet) -> Column:
     """Denied and warned patterns of SQL text; text without SELECT is reported."""
-    found = pattern_findings(text, rules.of(R.SQL_DENY, R.SQL_WARN))
-    found.append(F.when(regex_position(text, _SELECT) < 0, _found(
-        "SQL_NO_SELECT", "Medium", "text holds no SELECT")))
-    return _or_empty(text, _found("SQL_EMPTY", "Low", "SQL text is empty"), found)
+    checks = pattern_checks(text, rules.of(R.SQL_DENY, R.SQL_WARN))
+    absent = ~may_match(text, _SELECT) | (regex_position(text, _SELECT) < 0)
+    checks.append(Check(F.lit(True), absent, _found("SQL_NO_SELECT", "Medium", "text holds no SELECT")))
+    return _findings(text, _found("SQL_EMPTY", "Low", "SQL text is empty"), checks)
 
 
 def macro_findings(text: Column, rules: R.RuleSet) -> Column:
     """Denied and warned patterns of macro text, and required patterns that are absent."""
-    found = pattern_findings(text, rules.of(R.MACRO_DENY, R.MACRO_WARN))
+    checks = pattern_checks(text, rules.of(R.MACRO_DENY, R.MACRO_WARN))
     for rule in rules.of(R.MACRO_REQUIRED):
-        found.append(F.when(
-            regex_absent(text, rule.pattern), _found(rule.code, rule.severity, rule.message)
-        ))
-    return _or_empty(text, _found("VBA_EMPTY", "Low", "macro text is empty"), found)
+        absent = ~may_match(text, rule.pattern) | regex_absent(text, rule.pattern)
+        checks.append(Check(F.lit(True), absent, _found(rule.code, rule.severity, rule.message)))
+    return _findings(text, _found("VBA_EMPTY", "Low", "macro text is empty"), checks)
 
 
 def formula_findings(text: Column, rules: R.RuleSet) -> Column:
@@ -84,24 +102,24 @@ def formula_findings(text: Column, rules: R.RuleSet) -> Column:
         R.Rule(r.group, r.code, call_pattern(r.pattern), r.severity, f"{r.pattern} is not available")
         for r in rules.of(R.BLOCKED_FUNCTION)
     ]
-    return _or_empty(text, None, pattern_findings(text, calls))
+    return _findings(text, None, pattern_checks(text, calls))
 
 
 def forbidden_findings(text: Column) -> Column:
     """Forbidden tokens and resident numbers; the number itself is not repeated."""
     upper = fold(text)
-    found = [
-        F.when(contains_ignore_case(text, term), _found(
+    checks = [
+        Check(F.contains(upper, F.lit(term)), F.lit(True), _found(
             "FEEDBACK_FORBIDDEN_TERM", "Blocker", "forbidden token", F.lit(term),
-            (F.instr(upper, F.lit(term)) - 1),
+            F.instr(upper, F.lit(term)) - 1,
         ))
         for term in FORBIDDEN_TERMS
     ]
     number = regex_position(text, RESIDENT_NUMBER)
-    found.append(F.when(number >= 0, _found(
+    checks.append(Check(F.contains(text, F.lit("-")), number >= 0, _found(
         "FEEDBACK_PII_PATTERN", "Blocker", "personal number pattern", F.lit("RRN_PATTERN"), number
     )))
-    return _or_empty(text, None, found)
+    return _findings(text, None, checks)
 
 
 def with_findings(df: DataFrame, findings: Column) -> DataFrame:
@@ -111,12 +129,12 @@ def with_findings(df: DataFrame, findings: Column) -> DataFrame:
 def scan(df: DataFrame, text: str, rules: Sequence[R.Rule]) -> DataFrame:
     """Rows with their findings for any list of pattern rules."""
     column = F.col(text)
-    return with_findings(df, _or_empty(column, None, pattern_findings(column, rules)))
+    return with_findings(df, _findings(column, None, pattern_checks(column, rules)))
 
 
 def finding_rows(scanned: DataFrame, ids: Sequence[str]) -> DataFrame:
     """One row per finding."""
-    return scanned.select(*ids, F.explode(FINDINGS).alias("f")).select(*ids, "f.*")
+    return explode_rows(scanned, ids, FINDINGS, "f").select(*ids, "f.*")
 
 
 def safety_result(scanned: DataFrame, ids: Sequence[str]) -> DataFrame:

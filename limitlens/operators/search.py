@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from limitlens import schema as S
 from limitlens.functions.dates import search_date, strict_date
+from limitlens.functions.found import explode_rows, found_array
 from limitlens.functions.text import (
     MAX_NGRAM, WHITE_SPACE, bounded_substrings, clean, fold, fold_key, is_blank, is_placeholder,
     length_prefixed, query_delimiter_terms, query_space_terms, query_word_terms, sha256_hex,
@@ -20,6 +21,7 @@ from limitlens.functions.text import (
 )
 from limitlens.plans.ranking import first_per_key, top_n_per_group
 from limitlens.plans.sizing import collect_bounded, fits_broadcast
+from limitlens.plans.local import local_table
 
 MAX_QUERIES = 10_000
 
@@ -98,17 +100,18 @@ def _hits(
     # Folded once per document, in a projection of its own.
     folded = docs.withColumns({f"__f_{f}": fold(F.coalesce(f, F.lit(""))) for f in fields})
     name = lambda field: F.col(f"__f_{field}")
-    found = []
+    found, element = [], ["query_id:string", "score:int"]
     for query in queries:
         points = score_of(query, name)
         more = extra(query) if extra else {}
-        found.append(F.when(points > 0, F.struct(
+        element[2:] = [f"{n}:string" for n in more]
+        found.append((points > 0, F.struct(
             F.lit(query.query_id).alias("query_id"),
             points.alias("score"),
             *[c.alias(n) for n, c in more.items()],
         )))
-    matched = F.array_compact(F.array(*found))
-    return folded.select(*keep, F.explode(matched).alias("__hit")).select("__hit.*", *keep)
+    hits = found_array(found, f"struct<{','.join(element)}>")
+    return explode_rows(folded, keep, hits, "__hit").select("__hit.*", *keep)
 
 
 # --- disclosure ----------------------------------------------------------------------------
@@ -313,7 +316,7 @@ def ngram_postings(
     the row, so the table is written without a shuffle.
     """
     terms = F.array_distinct(F.concat(*[bounded_substrings(fold_key(f)) for f in fields]))
-    return docs.select(F.explode(terms).alias("term"), F.col(doc_id))
+    return explode_rows(docs, [doc_id], terms, "term").select("term", doc_id)
 
 
 def index_statistics(postings: DataFrame) -> DataFrame:
@@ -331,7 +334,7 @@ def candidates(postings: DataFrame, queries, doc_id: str = "source_id") -> DataF
         for q in asked if len(q.text) <= MAX_NGRAM
         for start in range(len(q.text)) for size in range(1, len(q.text) - start + 1)
     ]
-    terms = spark.createDataFrame(sorted(set(pairs)), "query_id string, term string")
+    terms = local_table(spark, sorted(set(pairs)), "query_id string, term string")
     if fits_broadcast(terms):
         terms = F.broadcast(terms)
     return postings.join(terms, "term").select("query_id", doc_id).distinct()

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from limitlens.plans.reuse import materialized
 from limitlens.plans.sizing import fits_broadcast
 
 # Ways a hot key is split when the lookup is too large to broadcast. The lookup is copied
@@ -25,6 +26,8 @@ def lookup_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str =
     ``SALT`` tasks; adaptive skew handling may split those further.
     """
     keys = list(on)
+    # Written once: measuring and joining would otherwise compute it twice.
+    lookup = materialized(lookup)
     if fits_broadcast(lookup):
         return big.join(F.broadcast(lookup), keys, how)
     return salted_join(big, lookup, keys, how)

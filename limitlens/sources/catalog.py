@@ -10,6 +10,7 @@ from limitlens.functions.dates import strict_date
 from limitlens.functions.text import clean, is_blank
 from limitlens.operators.search import CATALOG_FIELDS, catalog_entries, clause_ids
 from limitlens.plans.joins import lookup_join
+from limitlens.plans.local import local_table
 from limitlens.sources.tables import CORRUPT, ROW_NO, TableError
 
 # Required catalog fields and the metadata that should be filled.
@@ -62,7 +63,7 @@ def load_catalog(table: DataFrame) -> Catalog:
             F.when((F.col("n") >= len(REQUIRED_FIELDS)) & (F.col("n") < width), _problem("FIELDS_MISSING", "")),
         ))).alias("v")).select("source_id", "v.*")
     else:
-        lines = entries.sparkSession.createDataFrame([], "source_id string, problem string, field string")
+        lines = local_table(entries.sparkSession, [], "source_id string, problem string, field string")
     fatal = F.col("problem").isin("TOO_MANY_FIELDS", "TOO_FEW_FIELDS")
 
     blank = _explode(entries, ["source_id"], [
@@ -77,8 +78,8 @@ def load_catalog(table: DataFrame) -> Catalog:
         ],
     ])
     absent = [f for f in CATALOG_FIELDS[7:] if f not in present]
-    columns = entries.sparkSession.createDataFrame(
-        [("", "METADATA_COLUMN_MISSING", f) for f in absent], "source_id string, problem string, field string"
+    columns = local_table(
+        entries.sparkSession, [("", "METADATA_COLUMN_MISSING", f) for f in absent], "source_id string, problem string, field string"
     )
     return Catalog(
         entries,
@@ -118,7 +119,7 @@ def load_clause_pack(table: DataFrame) -> ClausePack:
         spark = table.sparkSession
         return ClausePack(
             _shaped(table.withColumns({m: F.lit("") for m in missing})).filter(F.lit(False)),
-            spark.createDataFrame([("KB_CLAUSE_PACK_HEADER_MISSING", m) for m in missing], "code string, detail string"),
+            local_table(spark, [("KB_CLAUSE_PACK_HEADER_MISSING", m) for m in missing], "code string, detail string"),
         )
     rows = _shaped(table)
     first_blank = F.coalesce(*[

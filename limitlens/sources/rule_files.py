@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from limitlens.functions.text import clean, fold, short_id
 from limitlens.operators import rules as R
+from limitlens.plans.local import local_table
 
 
 def _file_name() -> Column:
@@ -39,7 +40,7 @@ def rule_version(spark: SparkSession, folder: str) -> DataFrame:
     One row; the files are the handful named in ``rules.RULE_FILES``. Scans skip files of no
     bytes, so a file not seen counts as empty.
     """
-    expected = spark.createDataFrame([(name,) for name in R.RULE_FILES], "file string")
+    expected = local_table(spark, [(name,) for name in R.RULE_FILES], "file string")
     found = spark.read.format("binaryFile").load(folder).select(
         _file_name().alias("file"),
         F.regexp_replace(F.col("content").cast("string"), "\\A\ufeff", "").alias("content"),
