@@ -16,6 +16,7 @@ from limitlens.functions.dates import BaseDate
 from limitlens.functions.numbers import amount_column
 from limitlens.functions.text import clean, equals_ignore_case, fold
 from limitlens.plans.joins import lookup_join
+from limitlens.plans.reuse import materialized
 from limitlens.plans.sizing import collect_bounded
 from limitlens.sources.mapping import (
     DESK, PRODUCT, ColumnMapping, has_column, missing_columns,
@@ -43,21 +44,28 @@ class LimitInputs:
     currency_applicable: bool
     unit_applicable: bool
     mapping: ColumnMapping
-    _found: list[tuple[BaseDate, ...]] = field(default_factory=list, compare=False, repr=False)
+    _known: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def dates(self) -> tuple[BaseDate, ...]:
         """The dates analysed. Where all are, they are looked up once, when first needed."""
         if not self.every_date:
             return self.requested
-        if not self._found:
+        if "dates" not in self._known:
             self.find_dates(self.exposures, self.limits)
-        return self._found[0]
+        return self._known["dates"]
 
     def find_dates(self, *tables: DataFrame) -> None:
         """Take the dates from tables that hold all of them (e.g. grouped ones, cheaper to read)."""
-        if self.every_date and not self._found:
-            self._found.append(_dates_found(*tables))
+        if self.every_date and "dates" not in self._known:
+            self._known["dates"] = _dates_found(*tables)
+
+    @property
+    def limit_facts(self) -> DataFrame:
+        """The limits of the analysed dates, grouped and written once for all who read them."""
+        if "limit_facts" not in self._known:
+            self._known["limit_facts"] = materialized(_limit_facts(self))
+        return self._known["limit_facts"]
 
     @property
     def spark(self) -> SparkSession:
@@ -167,16 +175,30 @@ def _plain_text(value: Column) -> Column:
     return value.cast("string")
 
 
+def _limit_facts(inputs: LimitInputs) -> DataFrame:
+    """Limit rows grouped by key, spelling, currency and unit, combined before the shuffle."""
+    amount = F.col("limit_amt")
+    usable = F.coalesce((amount > 0) & F.col("in_use"), F.lit(False))
+    return inputs.on_dates(inputs.limits).groupBy(
+        *KEYS, "portfolio_id", "risk_factor", "ccy_cd", "unit_cd"
+    ).agg(
+        F.count("*").alias("limit_rows"),
+        F.count_if(amount.isNull() | (amount <= 0)).alias("nonpositive"),
+        F.max("limit_amt").alias("limit_amt"),
+        F.max(usable.cast("int")).alias("usable"),
+        F.min("_row_no").alias("_row_no"),
+    )
+
+
 def limit_lookup(inputs: LimitInputs) -> DataFrame:
     """One row per (date, key): row count, amount and usability of the limit.
 
     Amount and usability only count where the key has one row, so plain ``max`` does.
     """
-    usable = (F.col("limit_amt") > 0) & F.col("in_use")
-    return inputs.on_dates(inputs.limits).groupBy(*KEYS).agg(
-        F.count("*").alias("limit_rows"),
+    return inputs.limit_facts.groupBy(*KEYS).agg(
+        F.sum("limit_rows").alias("limit_rows"),
         F.max("limit_amt").alias("limit_amt"),
-        F.max(F.coalesce(usable, F.lit(False)).cast("int")).alias("usable"),
+        F.max("usable").alias("usable"),
     )
 
 
@@ -204,7 +226,9 @@ def limit_status(inputs: LimitInputs) -> DataFrame:
             inputs, exposures, f"limit columns missing: {', '.join(inputs.missing_limit)}"
         )
 
-    joined = lookup_join(exposures, limit_lookup(inputs), KEYS, "left")
+    joined = lookup_join(
+        exposures, limit_lookup(inputs), KEYS, "left", bound=inputs.limit_facts
+    )
     status = (
         F.when(F.col("exposure_amt").isNull(), S.MAPPING_ERROR)
         .when(F.col("limit_rows") > 1, S.DUPLICATE_LIMIT)
@@ -279,7 +303,7 @@ def _all_mapping_errors(inputs: LimitInputs, exposures: DataFrame, message: str)
     limit_rows = F.lit(0).cast("long")
     if not names & set(inputs.missing_limit):
         counts = limit_lookup(inputs).select(*KEYS, "limit_rows")
-        exposures = lookup_join(exposures, counts, KEYS, "left")
+        exposures = lookup_join(exposures, counts, KEYS, "left", bound=inputs.limit_facts)
         limit_rows = F.coalesce("limit_rows", limit_rows)
     rows = exposures.withColumns(_error_columns(message, limit_rows)).select(*_STATUS_ALL)
     empty = _synthetic(inputs, message).join(

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limitlens import schema as S
 from limitlens.functions.text import fold
 from limitlens.operators.limits import KEYS, LimitInputs, requested_dates
-from limitlens.plans.ranking import first_per_key
 from limitlens.plans.reuse import materialized
 
 _ORDER = {code: i for i, code in enumerate(S.RECON_CODES, start=1)}
@@ -71,18 +70,13 @@ def key_facts(inputs: LimitInputs, facts: DataFrame, groups: DataFrame | None) -
     return counted.join(groups.select(*KEYS, "limit_rows"), list(KEYS), "left")
 
 
-def limit_groups(inputs: LimitInputs) -> DataFrame:
-    """Limit rows per key: count, unusable amounts, and the spelling of the first row."""
-    rows = inputs.on_dates(inputs.limits)
-    counts = rows.groupBy(*KEYS).agg(
-        F.count("*").alias("limit_rows"),
-        F.count_if(F.col("limit_amt").isNull() | (F.col("limit_amt") <= 0)).alias("nonpositive"),
-    )
-    spelling = first_per_key(
-        rows.select(*KEYS, "_row_no", "portfolio_id", "risk_factor"), KEYS,
-        ["_row_no", "portfolio_id", "risk_factor"],
-    ).drop("_row_no")
-    return counts.join(spelling, list(KEYS))
+def limit_groups(facts: DataFrame) -> DataFrame:
+    """Limit rows per key: count, unusable amounts; a key is spelled as in its first row."""
+    return facts.groupBy(*KEYS).agg(
+        F.sum("limit_rows").alias("limit_rows"),
+        F.sum("nonpositive").alias("nonpositive"),
+        F.min(F.struct("_row_no", "portfolio_id", "risk_factor")).alias("first"),
+    ).select(*KEYS, "limit_rows", "nonpositive", "first.portfolio_id", "first.risk_factor")
 
 
 def recon_exceptions(inputs: LimitInputs, status: DataFrame) -> DataFrame:
@@ -92,8 +86,9 @@ def recon_exceptions(inputs: LimitInputs, status: DataFrame) -> DataFrame:
     """
     facts = materialized(exposure_facts(status))
     can_exposure, can_limit = _can_key(inputs, "exposure"), _can_key(inputs, "limit")
-    groups = materialized(limit_groups(inputs)) if can_limit else None
-    inputs.find_dates(facts, inputs.limits if groups is None else groups)
+    limits = inputs.limit_facts if can_limit else None
+    groups = limit_groups(limits) if limits is not None else None
+    inputs.find_dates(facts, inputs.limits if limits is None else limits)
     keyed = key_facts(inputs, facts, groups)
     parts = [
         _from_states(facts),
@@ -104,9 +99,9 @@ def recon_exceptions(inputs: LimitInputs, status: DataFrame) -> DataFrame:
     if groups is not None:
         parts.append(_from_limits(inputs, groups, keyed if can_exposure else None))
     if inputs.currency_applicable:
-        parts.append(_mismatch(inputs, keyed, "ccy_cd", S.RECON_CURRENCY_MISMATCH))
+        parts.append(_mismatch(limits, keyed, "ccy_cd", S.RECON_CURRENCY_MISMATCH))
     if inputs.unit_applicable:
-        parts.append(_mismatch(inputs, keyed, "unit_cd", S.RECON_UNIT_MISMATCH))
+        parts.append(_mismatch(limits, keyed, "unit_cd", S.RECON_UNIT_MISMATCH))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -175,11 +170,10 @@ def _from_limits(inputs: LimitInputs, groups: DataFrame, keyed: DataFrame | None
     return _exceptions(groups, raised)
 
 
-def _mismatch(inputs: LimitInputs, keyed: DataFrame, column: str, code: str) -> DataFrame:
+def _mismatch(limit_facts: DataFrame, keyed: DataFrame, column: str, code: str) -> DataFrame:
     """Exposure rows whose code differs from a limit row's code; blanks never differ."""
     limits = (
-        inputs.on_dates(inputs.limits)
-        .filter(F.col(column) != "")
+        limit_facts.filter(F.col(column) != "")
         .groupBy(*KEYS, fold(column).alias("limit_key"))
         .agg(F.min(column).alias("limit_code"))
     )
@@ -301,9 +295,9 @@ def recon_result(summary: DataFrame) -> DataFrame:
 
 def join_audit(inputs: LimitInputs, status: DataFrame) -> DataFrame:
     """Duplicate limit keys and rows, blocked exposure rows, applicability, per date."""
-    limits = inputs.on_dates(inputs.limits).groupBy(*KEYS).count().filter("count > 1")
-    duplicates = limits.groupBy("base_dt").agg(
-        F.count("*").alias("duplicate_keys"), F.sum("count").alias("duplicate_rows")
+    repeated = limit_groups(inputs.limit_facts).filter("limit_rows > 1")
+    duplicates = repeated.groupBy("base_dt").agg(
+        F.count("*").alias("duplicate_keys"), F.sum("limit_rows").alias("duplicate_rows")
     )
     blocked = status.filter(F.col("status") == S.DUPLICATE_LIMIT).groupBy("base_dt").agg(
         F.count("*").alias("blocked_rows")

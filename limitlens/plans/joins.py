@@ -18,17 +18,23 @@ def salt_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("limitlens.joinSalt", str(SALT)))
 
 
-def lookup_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def lookup_join(
+    big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", bound: DataFrame | None = None
+) -> DataFrame:
     """Join ``big`` with ``lookup``, which holds at most one row per key.
 
     A lookup measured below the broadcast limit is broadcast: ``big`` is not shuffled.
     Beyond it both sides are shuffled on key + salt, so that one hot key is spread over
     ``SALT`` tasks; adaptive skew handling may split those further.
+
+    ``bound`` is a stored table the lookup is grouped from, hence at least as large: its
+    size is measured instead. Without one the lookup is written first, since measuring and
+    joining would compute it twice.
     """
     keys = list(on)
-    # Written once: measuring and joining would otherwise compute it twice.
-    lookup = materialized(lookup)
-    if fits_broadcast(lookup):
+    if bound is None:
+        lookup = bound = materialized(lookup)
+    if fits_broadcast(bound):
         return big.join(F.broadcast(lookup), keys, how)
     return salted_join(big, lookup, keys, how)
 

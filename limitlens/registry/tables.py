@@ -8,6 +8,7 @@ driver tables.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from limitlens.operators.limits import LimitInputs, bind
 from limitlens.sources.mapping import ColumnMapping
@@ -16,8 +17,15 @@ CURRENT = "19960101"
 PRIOR = "19951201"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. Its schema is read from the file once, not for every use."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
