@@ -58,11 +58,15 @@ def first_of_key(df: DataFrame, row_no: str, name: str) -> DataFrame:
     return df.groupBy(*KEY).agg(F.min(row_no).alias(name))
 
 
-def first_bodies(bodies: DataFrame, row_no: str) -> DataFrame:
-    """First draft body per key. Only keys and row order are grouped; the texts are joined
-    back by their row and never meet in one task."""
+def first_bodies(kept: DataFrame, bodies: DataFrame, row_no: str) -> DataFrame:
+    """First draft body of each kept (feedback, task).
+
+    Keys and row order alone are grouped and joined; only then are the texts of exactly
+    the wanted rows picked, without a shuffle of all texts where the wanted rows are few.
+    """
     first = first_of_key(bodies, row_no, row_no)
-    return bodies.join(first, [*KEY, row_no], "left_semi")
+    wanted = kept.select(*KEY).join(first, list(KEY))
+    return lookup_join(bodies, wanted, [*KEY, row_no], "inner").select(*KEY, "draftBody", "kind")
 
 
 def promote_approved(
@@ -91,7 +95,7 @@ def promote_approved(
             "draftBody": F.lit(None).cast("string"), "kind": F.lit(None).cast("string"),
         })
     else:
-        drafts = first_bodies(bodies, row_no).select(*KEY, "draftBody", "kind")
+        drafts = first_bodies(kept, bodies, row_no)
         with_body = kept.join(drafts, list(KEY), "left")
     gated = _gate(with_body, rules)
 

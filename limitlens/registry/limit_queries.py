@@ -8,8 +8,8 @@ from limitlens.operators import limits as L, reconcile as R
 from limitlens.registry import tables as T
 
 
-def _status(spark: SparkSession, sf_dir: str, base_dts=None) -> DataFrame:
-    return L.limit_status(T.limit_inputs(spark, sf_dir, base_dts))
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.limit_status(T.limit_inputs(spark, sf_dir))
 
 
 def _status_output(status: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def limit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def limit_status_base_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for one requested base date, given as yyyy-MM-dd."""
-    return _status_output(_status(spark, sf_dir, "1996-01-01"))
+    inputs = T.limit_inputs(spark, sf_dir, "1996-01-01", (T.CURRENT,))
+    return _status_output(L.limit_status(inputs))
 
 
 def limit_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,7 +155,7 @@ _PRIOR = {
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return M.prepared(T.limit_inputs(spark, sf_dir))
+    return M.prepared(T.limit_inputs(spark, sf_dir, None, (T.CURRENT, T.PRIOR)))
 
 
 def tmpl_limit_usage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,9 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their customer's nation and segment; the base date is the order's month."""
+def orders_by_nation(spark: SparkSession, sf_dir: str, months: tuple[str, ...] = ()) -> DataFrame:
+    """Orders with their customer's nation and segment; the base date is the order's month.
+
+    ``months`` (base dates) become ranges of the order date, which reach the scan.
+    """
     orders = table(spark, sf_dir, "orders")
+    if months:
+        wanted = F.lit(False)
+        for month in months:
+            start = F.lit(f"{month[:4]}-{month[4:6]}-01").cast("timestamp_ntz")
+            wanted = wanted | (
+                (F.col("o_orderdate") >= start) & (F.col("o_orderdate") < start + F.expr("INTERVAL 1 MONTH"))
+            )
+        orders = orders.filter(wanted)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return orders.join(customer, orders.o_custkey == customer.c_custkey).withColumn(
         "base_dt", F.concat(F.date_format("o_orderdate", "yyyyMM"), F.lit("01"))
@@ -41,13 +52,13 @@ def _portfolio(nation: Column) -> Column:
     return F.concat(F.lit("PF_"), nation.cast("string"))
 
 
-def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exposures(spark: SparkSession, sf_dir: str, months: tuple[str, ...] = ()) -> DataFrame:
     """One exposure per order that is not pending.
 
     Finished orders are short positions; urgent low-value orders carry no usable amount.
     Portfolio and factor spellings vary in case and white space.
     """
-    rows = orders_by_nation(spark, sf_dir).filter(F.col("o_orderstatus") != "P")
+    rows = orders_by_nation(spark, sf_dir, months).filter(F.col("o_orderstatus") != "P")
     price = F.col("o_totalprice").cast("decimal(18,2)")
     signed = F.when(F.col("o_orderstatus") == "F", -price).otherwise(price)
     odd = F.col("c_mktsegment") == "MACHINERY"
@@ -86,14 +97,14 @@ exposures AS (
   FROM ordernation WHERE o_orderstatus <> 'P')"""
 
 
-def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def limits(spark: SparkSession, sf_dir: str, months: tuple[str, ...] = ()) -> DataFrame:
     """A limit per (month, nation, priority) with orders of any status.
 
     Keys with pending orders only have a limit but no exposure; nation 12 has no limits,
     nation 7 has each limit twice, nations 8 to 10 have unusable ones.
     """
     keys = (
-        orders_by_nation(spark, sf_dir)
+        orders_by_nation(spark, sf_dir, months)
         .groupBy("base_dt", "c_nationkey", "o_orderpriority")
         .agg(
             F.max("c_mktsegment").alias("segment"),
@@ -162,10 +173,11 @@ status AS (
 
 
 def limit_inputs(
-    spark: SparkSession, sf_dir: str, base_dts: str | list[str] | None = None
+    spark: SparkSession, sf_dir: str, base_dts: str | list[str] | None = None, months: tuple[str, ...] = ()
 ) -> LimitInputs:
     return bind(
-        exposures(spark, sf_dir), limits(spark, sf_dir), base_dts, ColumnMapping(), row_no="ROW_NO"
+        exposures(spark, sf_dir, months), limits(spark, sf_dir, months), base_dts, ColumnMapping(),
+        row_no="ROW_NO",
     )
 
 
