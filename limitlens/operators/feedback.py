@@ -13,6 +13,7 @@ from limitlens.functions.text import (
 from limitlens.operators.rules import RuleSet
 from limitlens.operators.scan import forbidden_findings, macro_findings, sql_findings
 from limitlens.plans.joins import lookup_join
+from limitlens.plans.reuse import materialized
 
 KEY = ("feedbackId", "taskId")
 # What counts as approved, and the mode written to promoted rows.
@@ -75,18 +76,19 @@ def promote_approved(
     """Promote each approved (feedback, task) once, with its body where the body is clean.
 
     ``feedback`` and ``bodies`` carry their arrival order in ``row_no``, unique per table.
+    The marked feedback and the gated bodies are written once; all three results read them.
     """
     hashed = is_sha256_hex("userId")
     graded = feedback.withColumn("reason", F.when(~hashed, "USER_NOT_HASHED").when(~is_approved(), "NOT_APPROVED"))
     approved = graded.filter(F.col("reason").isNull())
     first = first_of_key(approved, row_no, "__first")
     # Entries of one key may be a large part of the log: the lookup join splits them.
-    marked = lookup_join(graded, first, KEY, "left").withColumn(
+    marked = materialized(lookup_join(graded, first, KEY, "left").withColumn(
         "reason",
         F.coalesce(
             "reason", F.when(F.col(row_no) != F.col("__first"), F.lit("DUPLICATE"))
         ),
-    ).drop("__first")
+    ).drop("__first"))
 
     kept = marked.filter(F.col("reason").isNull()).drop("reason")
     skipped = marked.filter(F.col("reason").isNotNull())
@@ -97,9 +99,9 @@ def promote_approved(
     else:
         drafts = first_bodies(kept, bodies, row_no)
         with_body = kept.join(drafts, list(KEY), "left")
-    gated = _gate(with_body, rules)
-
     ok = F.col("body_state") == "STORED"
+    # Only bodies that are kept are written.
+    gated = materialized(_gate(with_body, rules).withColumn("draftBody", F.when(ok, F.col("draftBody"))))
     body = F.when(ok, F.col("draftBody"))
     promoted = gated.select(
         short_id("example", F.concat_ws("|", *KEY)).alias("exampleId"),

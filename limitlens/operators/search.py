@@ -20,6 +20,7 @@ from limitlens.functions.text import (
     short_id, snippet,
 )
 from limitlens.plans.ranking import first_per_key, top_n_per_group
+from limitlens.plans.reuse import materialized
 from limitlens.plans.sizing import collect_bounded, fits_broadcast
 from limitlens.plans.local import local_table
 
@@ -259,7 +260,9 @@ def clause_search(
         ["chunk_id", "source_id", "clause_ref"], points, snippets,
     )
     order = [F.desc("score"), F.asc("chunk_id")]
-    best = top_n_per_group(hits, ["query_id"], order, max(1, k))
+    # At most k rows per query; written so that the clauses are scored once, not once more
+    # to find the catalog entries the hits name.
+    best = materialized(top_n_per_group(hits, ["query_id"], order, max(1, k)))
     return _with_catalog(best, entries).withColumn("search_date", F.lit(day.isoformat()))
 
 
