@@ -35,8 +35,8 @@ def _pair_rows(status: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         status.sparkSession, [(c, c, p, True) for c, p in pairs] + [(p, c, p, False) for c, p in pairs],
         "base_dt string, current_dt string, prior_dt string, is_current boolean",
     )
-    # The pairs are parameters of the call, two rows each: small by construction.
-    return status.join(F.broadcast(roles), "base_dt")
+    # A local relation of two rows per pair: Spark knows its size and broadcasts it by that.
+    return status.join(roles, "base_dt")
 
 
 def prior_day(status: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

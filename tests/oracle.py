@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from datetime import date, datetime
@@ -75,6 +76,11 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     session, duck = local_session(), connect(sf)
+    if os.environ.get("NO_BROADCAST"):
+        # The way of the queries where no side is small enough to broadcast.
+        session.conf.set("limitlens.broadcastBytes", "0")
+        session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        session.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     oracle = entry.oracle_sql()
     failed = 0
     for key, run in entry.queries().items():
