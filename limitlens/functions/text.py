@@ -117,14 +117,14 @@ def required_word(pattern: str) -> str | None:
     return longest.upper() if len(longest) >= 3 else None
 
 
-def may_match(text: Text, pattern: str) -> Column:
+def may_match(text: Text, pattern: str, needs: str = "") -> Column:
     """False only where the pattern cannot match: a substring test ahead of the regex.
 
     Ignoring case the regex also takes the Kelvin sign for K and the dotted capital I for I,
     which upper-casing leaves as they are.
     """
-    word = required_word(pattern)
-    if word is None:
+    word = needs.upper() or required_word(pattern)
+    if not word:
         return F.lit(True)
     possible = F.contains(fold(text), F.lit(word))
     for letter, twin in (("K", "\u212a"), ("I", "\u0130")):

@@ -78,11 +78,15 @@ MAX_RULES = 10_000
 
 @dataclass(frozen=True)
 class Rule:
+    """A pattern rule. ``needs`` may name a text every match contains; texts without it are
+    passed over quickly. Simple patterns need none, their words are found by themselves."""
+
     group: str
     code: str
     pattern: str
     severity: str
     message: str = ""
+    needs: str = ""
 
 
 @dataclass(frozen=True)

@@ -60,7 +60,7 @@ def pattern_checks(text: Column, rules: Sequence[R.Rule]) -> list[Check]:
     checks = []
     for rule in rules:
         position = regex_position(text, rule.pattern)
-        checks.append(Check(may_match(text, rule.pattern), position >= 0, _found(
+        checks.append(Check(may_match(text, rule.pattern, rule.needs), position >= 0, _found(
             rule.code, rule.severity, rule.message, regex_match(text, rule.pattern), position
         )))
     return checks

@@ -144,3 +144,19 @@ def duplicate_join_keys(table: DataFrame, base_dt: str) -> DataFrame:
            GROUP BY BASE_DT, PORTFOLIO_ID, RISK_FACTOR HAVING count(*) > 1""",
         base_dt, rows=table,
     )
+
+
+def component_rows(components: DataFrame, base_dt: str) -> DataFrame:
+    """Source amounts of the capital components on a date."""
+    return _run(
+        "SELECT base_dt, component_id, source_amount FROM {components} WHERE base_dt = :BASE_DT",
+        base_dt, components=components,
+    )
+
+
+def component_results(results: DataFrame, base_dt: str) -> DataFrame:
+    """Calculated amounts of the capital components on a date."""
+    return _run(
+        "SELECT base_dt, component_id, calculated_amount FROM {results} WHERE base_dt = :BASE_DT",
+        base_dt, results=results,
+    )

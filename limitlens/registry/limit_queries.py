@@ -123,7 +123,7 @@ def orphan_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_EXCEPTIONS = f"""{_DATES},
+EXCEPTIONS_SQL = f"""{_DATES},
 src AS (SELECT base_dt, count(*) AS n, sum(exposure_amt) AS amt, count(*) FILTER (WHERE exposure_amt IS NULL) AS bad
         FROM exposures GROUP BY base_dt),
 st AS (SELECT base_dt, count(*) AS n, sum(exposure_amt) AS amt,
@@ -192,12 +192,12 @@ SQL = {
            WHEN warning_count + no_limit_count + invalid_limit_count + duplicate_limit_count > 0 THEN 'Medium'
            ELSE 'Info' END AS severity FROM kpis""",
     "limit_findings": f"WITH {T.STATUS_SQL}, {_KPIS}, {_DATES} {_FINDINGS}",
-    "recon_exceptions": f"""WITH {T.STATUS_SQL}, {_EXCEPTIONS}
+    "recon_exceptions": f"""WITH {T.STATUS_SQL}, {EXCEPTIONS_SQL}
       SELECT base_dt, code, severity, portfolio_id, risk_factor, CAST(sum(n) AS BIGINT) AS n FROM exc GROUP BY ALL""",
-    "recon_exception_rows": f"""WITH {T.STATUS_SQL}, {_EXCEPTIONS}
+    "recon_exception_rows": f"""WITH {T.STATUS_SQL}, {EXCEPTIONS_SQL}
       SELECT base_dt, code, severity, portfolio_id, risk_factor FROM exc, range(n)""",
-    "recon_summary": f"WITH {T.STATUS_SQL}, {_EXCEPTIONS} SELECT * FROM summary",
-    "recon_result": f"""WITH {T.STATUS_SQL}, {_EXCEPTIONS}
+    "recon_summary": f"WITH {T.STATUS_SQL}, {EXCEPTIONS_SQL} SELECT * FROM summary",
+    "recon_result": f"""WITH {T.STATUS_SQL}, {EXCEPTIONS_SQL}
       SELECT base_dt, count(*) AS check_count, CAST(sum(exception_count) AS BIGINT) AS recon_exceptions,
         CASE WHEN sum(exception_count) FILTER (WHERE code IN
           ('RECON_NONPOSITIVE_LIMIT','RECON_ROW_AMPLIFICATION','RECON_SUM_BALANCE')) = 0

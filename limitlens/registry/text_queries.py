@@ -233,9 +233,9 @@ _CLAUSE_SEARCH = f"""WITH {_CLAUSES_SQL}, s AS ({_clause_scores()}),
 
 # Rules given as data: they hit the driver's texts, which hold no SQL.
 TEXT_RULES = (
-    R.Rule("text", "EMAIL", r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]{2,}", "Blocker"),
+    R.Rule("text", "EMAIL", r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]{2,}", "Blocker", needs="@"),
     R.Rule("text", "LICENSE_LINE", r"license", "Medium"),
-    R.Rule("text", "PHONE", r"[0-9]{3}-[0-9]{3}-[0-9]{4}", "High"),
+    R.Rule("text", "PHONE", r"[0-9]{3}-[0-9]{3}-[0-9]{4}", "High", needs="-"),
     R.Rule("text", "KEY_TOKEN", r"(api[_-]?key|secret|password)", "High"),
 )
 
@@ -382,7 +382,7 @@ def _forbidden_scan() -> str:
     return f"WITH {_DOCS_SQL} " + " UNION ALL ".join(rules)
 
 
-def _text_scan_sql(table: str, ids: str, matched: bool, rules=TEXT_RULES) -> str:
+def text_scan_sql(table: str, ids: str, matched: bool, rules=TEXT_RULES) -> str:
     parts = []
     for rule in rules:
         found = f", regexp_extract(text, '(?is){rule.pattern}') AS matched" if matched else ""
@@ -594,9 +594,9 @@ SQL = {
     "clause_ids": f"""WITH {_CLAUSES_SQL}, h AS (SELECT *, sha256(clause_text) AS source_text_hash FROM clauses)
       SELECT doc_id, 'clause-' || left(sha256(length(source_id) || ':' || source_id || length(clause_ref) || ':' || clause_ref
         || '6:pack-1' || '64:' || source_text_hash), 12) AS chunk_id, source_text_hash FROM h""",
-    "text_scan": _text_scan_sql("documents", "doc_id", True),
-    "text_scan_conversations": _text_scan_sql("conversations", "conv_id, turn", False, CONVERSATION_RULES),
-    "safety_result": f"""WITH hits AS ({_text_scan_sql('documents', 'doc_id', False)})
+    "text_scan": text_scan_sql("documents", "doc_id", True),
+    "text_scan_conversations": text_scan_sql("conversations", "conv_id, turn", False, CONVERSATION_RULES),
+    "safety_result": f"""WITH hits AS ({text_scan_sql('documents', 'doc_id', False)})
       SELECT d.doc_id, CASE WHEN bool_or(severity = 'Blocker') THEN 'BLOCKED' WHEN bool_or(severity = 'High')
         THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS safety_result FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY d.doc_id""",
     "scan_sql": _sql_scan(),
