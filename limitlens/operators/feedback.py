@@ -6,12 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from limitlens import schema as S
 from limitlens.functions.text import (
     clean, contains_ignore_case, equals_ignore_case, is_blank, is_sha256_hex, sha256_hex, short_id,
 )
 from limitlens.operators.rules import RuleSet
-from limitlens.operators.scan import forbidden_findings, macro_findings, sql_findings
+from limitlens.operators.scan import blocker_codes, forbidden_checks, macro_checks, sql_checks
 from limitlens.plans.joins import lookup_join
 from limitlens.plans.reuse import materialized
 
@@ -124,9 +123,9 @@ def _gate(df: DataFrame, rules: RuleSet) -> DataFrame:
     text = F.coalesce("draftBody", F.lit(""))
     kind = body_kind(F.coalesce("kind", F.lit("")), text)
     with_kind = df.withColumns({"body_kind": F.when(~is_blank(text), kind), "__empty": is_blank(text)})
-    found = F.concat(sql_findings(text, rules), macro_findings(text, rules), forbidden_findings(text))
-    blocking = F.filter(found, lambda f: f.getField("severity_rank") == S.SEVERITY_RANK["Blocker"])
-    codes = F.array_sort(F.array_distinct(F.transform(blocking, lambda f: f.getField("code"))))
+    codes = blocker_codes(
+        text, [*sql_checks(text, rules), *macro_checks(text, rules), *forbidden_checks(text)]
+    )
     scanned = with_kind.withColumn(
         "codes", F.when(F.col("body_kind").isNotNull(), codes).otherwise(F.array().cast("array<string>"))
     )

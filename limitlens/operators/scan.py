@@ -52,7 +52,15 @@ class Check:
 
     cheap: Column
     holds: Column
-    finding: Column
+    code: str
+    severity: str
+    message: str
+    matched: Column | None = None
+    position: Column | None = None
+
+    @property
+    def finding(self) -> Column:
+        return _found(self.code, self.severity, self.message, self.matched, self.position)
 
 
 def pattern_checks(text: Column, rules: Sequence[R.Rule]) -> list[Check]:
@@ -60,12 +68,50 @@ def pattern_checks(text: Column, rules: Sequence[R.Rule]) -> list[Check]:
     checks = []
     for rule in rules:
         position = regex_position(text, rule.pattern)
-        checks.append(Check(may_match(text, rule.pattern, rule.needs), position >= 0, _found(
-            rule.code, rule.severity, rule.message, regex_match(text, rule.pattern), position
-        )))
+        checks.append(Check(
+            may_match(text, rule.pattern, rule.needs), position >= 0, rule.code, rule.severity, rule.message,
+            regex_match(text, rule.pattern), position,
+        ))
     return checks
 
 
+def sql_checks(text: Column, rules: R.RuleSet) -> list[Check]:
+    checks = pattern_checks(text, rules.of(R.SQL_DENY, R.SQL_WARN))
+    absent = ~may_match(text, _SELECT) | (regex_position(text, _SELECT) < 0)
+    return [*checks, Check(F.lit(True), absent, "SQL_NO_SELECT", "Medium", "text holds no SELECT")]
+
+
+def macro_checks(text: Column, rules: R.RuleSet) -> list[Check]:
+    checks = pattern_checks(text, rules.of(R.MACRO_DENY, R.MACRO_WARN))
+    for rule in rules.of(R.MACRO_REQUIRED):
+        absent = ~may_match(text, rule.pattern) | regex_absent(text, rule.pattern)
+        checks.append(Check(F.lit(True), absent, rule.code, rule.severity, rule.message))
+    return checks
+
+
+def formula_checks(text: Column, rules: R.RuleSet) -> list[Check]:
+    return pattern_checks(text, [
+        R.Rule(r.group, r.code, call_pattern(r.pattern), r.severity, f"{r.pattern} is not available")
+        for r in rules.of(R.BLOCKED_FUNCTION)
+    ])
+
+
+def forbidden_checks(text: Column) -> list[Check]:
+    upper = fold(text)
+    checks = [
+        Check(
+            F.contains(upper, F.lit(term)), F.lit(True), "FEEDBACK_FORBIDDEN_TERM", "Blocker", "forbidden token",
+            F.lit(term), F.instr(upper, F.lit(term)) - 1,
+        )
+        for term in FORBIDDEN_TERMS
+    ]
+    number = regex_position(text, RESIDENT_NUMBER)
+    return [*checks, Check(
+        F.contains(text, F.lit("-")), number >= 0, "FEEDBACK_PII_PATTERN", "Blocker", "personal number pattern",
+        F.lit("RRN_PATTERN"), number,
+    )]
+
+
 def _findings(text: Column, empty: Column | None, checks: list[Check]) -> Column:
     """Findings of the text; a blank text has only ``empty``.
 
@@ -79,47 +125,33 @@ def _findings(text: Column, empty: Column | None, checks: list[Check]) -> Column
     return found_array(found, FINDING)
 
 
+def blocker_codes(text: Column, checks: Sequence[Check]) -> Column:
+    """Sorted distinct codes of the Blocker checks that hold; the others are not evaluated."""
+    filled = ~is_blank(text)
+    codes = found_array(
+        [(c.cheap & filled & c.holds, F.lit(c.code)) for c in checks if c.severity == "Blocker"], "string"
+    )
+    return F.sort_array(F.array_distinct(codes))
+
+
 def sql_findings(text: Column, rules: R.RuleSet) -> Column:
     """Denied and warned patterns of SQL text; text without SELECT is reported."""
-    checks = pattern_checks(text, rules.of(R.SQL_DENY, R.SQL_WARN))
-    absent = ~may_match(text, _SELECT) | (regex_position(text, _SELECT) < 0)
-    checks.append(Check(F.lit(True), absent, _found("SQL_NO_SELECT", "Medium", "text holds no SELECT")))
-    return _findings(text, _found("SQL_EMPTY", "Low", "SQL text is empty"), checks)
+    return _findings(text, _found("SQL_EMPTY", "Low", "SQL text is empty"), sql_checks(text, rules))
 
 
 def macro_findings(text: Column, rules: R.RuleSet) -> Column:
     """Denied and warned patterns of macro text, and required patterns that are absent."""
-    checks = pattern_checks(text, rules.of(R.MACRO_DENY, R.MACRO_WARN))
-    for rule in rules.of(R.MACRO_REQUIRED):
-        absent = ~may_match(text, rule.pattern) | regex_absent(text, rule.pattern)
-        checks.append(Check(F.lit(True), absent, _found(rule.code, rule.severity, rule.message)))
-    return _findings(text, _found("VBA_EMPTY", "Low", "macro text is empty"), checks)
+    return _findings(text, _found("VBA_EMPTY", "Low", "macro text is empty"), macro_checks(text, rules))
 
 
 def formula_findings(text: Column, rules: R.RuleSet) -> Column:
     """Calls of blocked functions."""
-    calls = [
-        R.Rule(r.group, r.code, call_pattern(r.pattern), r.severity, f"{r.pattern} is not available")
-        for r in rules.of(R.BLOCKED_FUNCTION)
-    ]
-    return _findings(text, None, pattern_checks(text, calls))
+    return _findings(text, None, formula_checks(text, rules))
 
 
 def forbidden_findings(text: Column) -> Column:
     """Forbidden tokens and resident numbers; the number itself is not repeated."""
-    upper = fold(text)
-    checks = [
-        Check(F.contains(upper, F.lit(term)), F.lit(True), _found(
-            "FEEDBACK_FORBIDDEN_TERM", "Blocker", "forbidden token", F.lit(term),
-            F.instr(upper, F.lit(term)) - 1,
-        ))
-        for term in FORBIDDEN_TERMS
-    ]
-    number = regex_position(text, RESIDENT_NUMBER)
-    checks.append(Check(F.contains(text, F.lit("-")), number >= 0, _found(
-        "FEEDBACK_PII_PATTERN", "Blocker", "personal number pattern", F.lit("RRN_PATTERN"), number
-    )))
-    return _findings(text, None, checks)
+    return _findings(text, None, forbidden_checks(text))
 
 
 def with_findings(df: DataFrame, findings: Column) -> DataFrame:

@@ -315,9 +315,11 @@ def ngram_postings(
 ) -> DataFrame:
     """(term, id) for every substring of up to 32 characters of the fields, case-folded.
 
-    About 32 terms per character: meant for short fields. Terms are made distinct within
-    the row, so the table is written without a shuffle.
+    About 32 terms per character: meant for short fields. The documents are spread before
+    they grow; terms are made distinct within the row, so the postings need no shuffle.
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(doc_id, *[f for f in fields if f != doc_id]).repartition(parts, doc_id)
     terms = F.array_distinct(F.concat(*[bounded_substrings(fold_key(f)) for f in fields]))
     return explode_rows(docs, [doc_id], terms, "term").select("term", doc_id)
 
