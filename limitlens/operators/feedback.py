@@ -122,18 +122,20 @@ def _gate(df: DataFrame, rules: RuleSet) -> DataFrame:
     """State of the body: NONE, UNCERTAIN, BLOCKED (with codes) or STORED."""
     text = F.coalesce("draftBody", F.lit(""))
     kind = body_kind(F.coalesce("kind", F.lit("")), text)
-    with_kind = df.withColumns({"body_kind": F.when(~is_blank(text), kind), "__empty": is_blank(text)})
-    codes = blocker_codes(
-        text, [*sql_checks(text, rules), *macro_checks(text, rules), *forbidden_checks(text)]
+    checks = [*sql_checks(text, rules), *macro_checks(text, rules), *forbidden_checks(text)]
+    # Codes are computed for every body, outside any condition: what the checks share is then
+    # computed once per body.
+    scanned = df.withColumns({
+        "__blank": is_blank(text), "body_kind": kind, "__codes": blocker_codes(text, checks),
+    })
+    state = (
+        F.when(F.col("__blank"), "NONE").when(F.col("body_kind").isNull(), "UNCERTAIN")
+        .when(F.size("__codes") > 0, "BLOCKED").otherwise("STORED")
     )
-    scanned = with_kind.withColumn(
-        "codes", F.when(F.col("body_kind").isNotNull(), codes).otherwise(F.array().cast("array<string>"))
-    )
-    return scanned.withColumn(
-        "body_state",
-        F.when(F.col("__empty"), "NONE").when(F.col("body_kind").isNull(), "UNCERTAIN")
-        .when(F.size("codes") > 0, "BLOCKED").otherwise("STORED"),
-    ).drop("__empty")
+    codes = F.when(F.col("body_state") == "BLOCKED", F.col("__codes"))
+    return scanned.withColumn("body_state", state).withColumn(
+        "codes", F.coalesce(codes, F.array().cast("array<string>"))
+    ).drop("__blank", "__codes")
 
 
 def _warnings(skipped: DataFrame, gated: DataFrame, bodies: DataFrame | None, row_no: str) -> DataFrame:

@@ -425,7 +425,7 @@ def document_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # E-mail addresses block a body here; the default keyword rules hit nothing in the documents.
 def promotion_rules(spark: SparkSession) -> R.RuleSet:
     base = R.default_rule_set(spark)
-    return R.RuleSet(base.rules + (R.Rule(R.SQL_DENY, "EMAIL", TEXT_RULES[0].pattern, "Blocker"),))
+    return R.RuleSet(base.rules + (R.Rule(R.SQL_DENY, "EMAIL", TEXT_RULES[0].pattern, "Blocker", needs="@"),))
 
 
 def _promotion(spark: SparkSession, sf_dir: str) -> B.Promotion:
