@@ -4,41 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from limitlens.functions.text import clean
+from limitlens.functions.text import WHITE_SPACE
 from limitlens.schema import AMOUNT
 
-# The two accepted number formats. Thousands separators may stand anywhere
-# after the first digit; the sign leads or trails, not both.
+# The two accepted number formats. White space may surround the number,
+# thousands separators may stand anywhere after the first digit; the sign leads or trails,
+# not both.
 _DIGITS = r"(?:[0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)"
-PLAIN_NUMBER = rf"\A(?:[+-]?{_DIGITS}|{_DIGITS}[ \t-\r]*[+-])\z"
-EXPONENT_NUMBER = (
-    rf"\A(?:[+-]?{_DIGITS}(?:[eE][+-]?[0-9]+)?|{_DIGITS}(?:[eE][+-]?[0-9]+)?[ \t-\r]*[+-])\z"
-)
+_EXPONENT = r"(?:[eE][+-]?[0-9]+)?"
+_TRAILING = r"[ \t-\r]*[+-]"
+PLAIN_NUMBER = rf"(?U)\A\s*(?:[+-]?{_DIGITS}|{_DIGITS}{_TRAILING})\s*\z"
+EXPONENT_NUMBER = rf"(?U)\A\s*(?:[+-]?{_DIGITS}{_EXPONENT}|{_DIGITS}{_EXPONENT}{_TRAILING})\s*\z"
 # Fixed value: largest magnitude of a 96-bit decimal.
 MAX_DECIMAL = "79228162514264337593543950335"
 PROFILE_NUMBER = T.DecimalType(38, 8)
 
-
 # The usual spelling, cast as it is; everything else takes the long way.
 _SIMPLE = r"\A[+-]?[0-9]+(?:\.[0-9]*)?\z"
 
 
 def _parse(value: Column | str, grammar: str, target: T.DataType) -> Column:
     raw = F.col(value) if isinstance(value, str) else value
-    return F.when(raw.rlike(_SIMPLE), raw.try_cast(target)).otherwise(
-        _parse_any(clean(raw), grammar, target)
+    digits = F.translate(raw, WHITE_SPACE + ",", "")
+    sign_first = F.regexp_replace(digits, r"\A(.*)([+-])\z", "$2$1")
+    return F.when(raw.rlike(_SIMPLE), raw.try_cast(target)).when(
+        raw.rlike(grammar), sign_first.try_cast(target)
     )
 
 
-def _parse_any(text: Column, grammar: str, target: T.DataType) -> Column:
-    digits = F.translate(text, ", \t\n\x0b\x0c\r", "")
-    signed = F.when(
-        digits.endswith("-") | digits.endswith("+"),
-        F.concat(F.right(digits, F.lit(1)), F.left(digits, F.length(digits) - 1)),
-    ).otherwise(digits)
-    return F.when(text.rlike(grammar), signed.try_cast(target))
-
-
 def parse_amount(value: Column | str) -> Column:
     """Amount without exponent; NULL when the text is not a number."""
     return _parse(value, PLAIN_NUMBER, AMOUNT)

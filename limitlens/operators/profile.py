@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from limitlens.functions.numbers import (
     PROFILE_NUMBER, parse_profile_double, parse_profile_number,
 )
-from limitlens.functions.text import clean, fold, fold_key, text_or_empty
+from limitlens.functions.text import clean, fold, text_or_empty
 from limitlens.plans.local import local_table
 
 # Texts that count as missing, besides blank.
 NULL_TOKENS = ("", "NULL", "N/A", "NA")
+_NULL_TEXT = rf"(?iU)\A\s*(?:{'|'.join(NULL_TOKENS)})\s*\z"
 MIN_ROWS_FOR_OUTLIERS = 4
 SIGMAS = 3.0
 # Scan columns added by the readers, not part of the table.
@@ -35,7 +36,7 @@ def _field(df: DataFrame, name: str) -> T.StructField:
 def is_null_token(df: DataFrame, name: str) -> Column:
     column = F.col(f"`{name}`")
     if isinstance(_field(df, name).dataType, T.StringType):
-        return fold_key(column).isin(*NULL_TOKENS)
+        return F.coalesce(column.rlike(_NULL_TEXT), F.lit(True))
     return column.isNull()
 
 
