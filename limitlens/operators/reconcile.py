@@ -186,6 +186,19 @@ def _mismatch(limit_facts: DataFrame, keyed: DataFrame, column: str, code: str)
     return _exceptions(pairs, [_raise(code, "Medium", message)])
 
 
+# What a date is summed up by, over all tables.
+_DATE_METRICS = {
+    "wanted": "long", "source_rows": "long", "source_amt": "decimal(32,4)", "unparsed": "long",
+    "status_rows": "long", "status_amt": "decimal(32,4)", "join_rows": "long", "limit_count": "long",
+}
+
+
+def _per_date(df: DataFrame, **values: Column) -> DataFrame:
+    return df.select("base_dt", *[
+        values.get(m, F.lit(None)).cast(kind).alias(m) for m, kind in _DATE_METRICS.items()
+    ])
+
+
 def _from_dates(
     inputs: LimitInputs, facts: DataFrame, keyed: DataFrame | None, groups: DataFrame | None
 ) -> DataFrame:
@@ -193,42 +206,50 @@ def _from_dates(
 
     The source side is summed from the exposures themselves, apart from the status table.
     """
-    per_source = inputs.on_dates(inputs.exposures).groupBy("base_dt").agg(
-        F.count("*").alias("source_rows"),
-        F.sum("exposure_amt").alias("source_amt"),
-        F.count_if(F.col("exposure_amt").isNull()).alias("unparsed"),
-    )
-    per_status = facts.groupBy("base_dt").agg(
-        F.sum("n").alias("status_rows"), F.sum("amount").alias("status_amt")
-    )
-    parts = [per_source, per_status]
+    one, n = F.lit(1), F.col("n")
+    parts = [
+        _per_date(requested_dates(inputs), wanted=one),
+        _per_date(
+            inputs.on_dates(inputs.exposures), source_rows=one, source_amt=F.col("exposure_amt"),
+            unparsed=F.col("exposure_amt").isNull().cast("int"),
+        ),
+        _per_date(facts, status_rows=n, status_amt=F.col("amount")),
+    ]
     if keyed is not None:
-        fanned = F.col("n") * F.greatest(F.lit(1), F.coalesce("limit_rows", F.lit(1)))
-        parts.append(keyed.groupBy("base_dt").agg(F.sum(fanned).alias("join_rows")))
+        fanned = n * F.greatest(one, F.coalesce("limit_rows", one))
+        parts.append(_per_date(keyed, join_rows=fanned))
     if groups is None:
-        limits = inputs.on_dates(inputs.limits)
-        parts.append(limits.groupBy("base_dt").agg(F.count("*").alias("limit_count")))
+        parts.append(_per_date(inputs.on_dates(inputs.limits), limit_count=one))
     else:
-        parts.append(groups.groupBy("base_dt").agg(F.sum("limit_rows").alias("limit_count")))
-    dates = requested_dates(inputs)
-    for part in parts:
-        dates = dates.join(part, "base_dt", "left")
-
-    def other_dates(table: DataFrame) -> Column:
-        """Whether the table has any dated row: stops at the first one found."""
-        found = table.filter(F.col("base_dt") != "").select(F.lit(True)).limit(1)
+        parts.append(_per_date(groups, limit_count=F.col("limit_rows")))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    # One aggregate over all sides instead of a join per side.
+    dates = rows.groupBy("base_dt").agg(
+        *[F.sum(m).alias(m) for m in _DATE_METRICS]
+    ).filter("wanted > 0")
+
+    def other_dates(table: DataFrame, grouped: DataFrame | None) -> Column:
+        """Whether the table has any dated row: stops at the first one found.
+
+        Where every date is analysed the grouped rows tell as much and are quicker to read.
+        """
+        read = grouped if inputs.every_date and grouped is not None else table
+        found = read.filter(F.col("base_dt") != "").select(F.lit(True)).limit(1)
         return F.coalesce(found.scalar(), F.lit(False))
 
     def count(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0))
 
-    one = F.lit(1)
     raised: list[Column] = []
-    for side, counted, table in (
-        ("exposure", "source_rows", inputs.exposures), ("limit", "limit_count", inputs.limits),
+    exposure_rows = None if inputs.missing_exposure else facts
+    for side, counted, table, grouped in (
+        ("exposure", "source_rows", inputs.exposures, exposure_rows),
+        ("limit", "limit_count", inputs.limits, groups),
     ):
         if _has(inputs, side, "BaseDate"):
-            raised.append(F.when((count(counted) == 0) & other_dates(table), _raise(
+            raised.append(F.when((count(counted) == 0) & other_dates(table, grouped), _raise(
                 S.RECON_BASEDATE_MISMATCH, "Low", f"only other base dates have {side} rows", one)))
     # Where keys cannot be built the rows analysed stand for the rows joined.
     potential = count("status_rows") if keyed is None else count("join_rows")
