@@ -150,6 +150,6 @@ def write_standard(df: DataFrame, path: str, partition: str, mode: str = "append
 
 
 def read_standard(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table. Base dates stay text: partition values are not typed."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return spark.read.parquet(path)
+    """A stored table. All columns are text, base dates too, though they are folder names."""
+    names = spark.read.parquet(path).columns
+    return spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).parquet(path)

@@ -38,6 +38,17 @@ def test_regex(spark):
     assert X.call_pattern("A.B") == r"\bA\.B\s*\("
 
 
+def test_substring_test_never_hides_a_match(spark):
+    texts = ["a kill b", "a \u212aill b", "skill", "\u0130NSERT x", "\u0131nsert", "ma\u017fter shell", "\u017fhell", "SHELL", "insert",
+             "cross \n join", "CROSSJOIN", "Declare  ptrsafe", "stra\u00dfe", "x/*+ y", "update\u00e9", "\ufb01lesystemobject"]
+    patterns = [*R.DEFAULT_SQL_DENY, *R.DEFAULT_SQL_WARN, *R.DEFAULT_MACRO_DENY, X.call_pattern("TAKE")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    hidden = [F.when(~X.may_match("t", p) & (X.regex_position("t", p) >= 0), F.lit(p)) for p in patterns]
+    assert df.select(F.array_compact(F.array(*hidden)).alias("h")).filter(F.size("h") > 0).collect() == []
+    assert X.required_word(r"\bDROP\b") == "DROP" and X.required_word("ab+c") is None and X.required_word("a|b") is None
+    assert X.required_word(r"Colou?r") is None and X.required_word(r"[a-z]+") is None
+
+
 def test_tokenizers(spark):
     assert values(spark, ["a-b_c, 가나 1"], X.word_tokens("t")) == [["a", "b_c", "가나", "1"]]
     assert X.query_word_terms("a-b_c, 가나 1") == ["a", "b_c", "가나", "1"]
