@@ -29,7 +29,10 @@ def relative_path(root: str, path: Column) -> Column:
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Path, size and SHA-256 of every file below ``root``; files are hashed in parallel."""
+    """Path, size and SHA-256 of every file below ``root``; files are hashed in parallel.
+
+    A file is one value here: files may have up to 2 GB.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(
         relative_path(root, F.col("path")).alias("path"), F.col("length").alias("actual_size"),

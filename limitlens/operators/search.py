@@ -164,7 +164,10 @@ def citation_warnings(results: DataFrame, ids: Sequence[str] = ("query_id", "sou
 # --- catalog -------------------------------------------------------------------------------
 
 def catalog_entries(catalog: DataFrame, row_no: str | None = None) -> DataFrame:
-    """Trimmed catalog with every field present, and its row order as ``_row_no``."""
+    """Trimmed catalog with every field present, and its row order as ``_row_no``.
+
+    Without a row order the ids must be unique: there is no last entry of an id then.
+    """
     present = {c.lower() for c in catalog.columns}
     order = F.col(row_no) if row_no and row_no.lower() in present else F.lit(0)
     return catalog.select(

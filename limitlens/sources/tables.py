@@ -140,13 +140,12 @@ def write_standard(df: DataFrame, path: str, partition: str, mode: str = "append
     """Store a scanned table trimmed and partitioned by its base date.
 
     Later jobs read columns and partitions they need only (``limits.bind(..., trimmed=True)``).
-    Rows are spread by date and a hash of the row before writing, so a date holding a third
-    of all rows is written by many tasks.
+    Rows are rebalanced by date before writing: files come out near the advisory size, and
+    a date holding a third of all rows is split over many tasks.
     """
     names = [c for c in df.columns if c not in (CORRUPT, ROW_NO)]
     tidy = df.select(*[clean(F.col(f"`{c}`")).alias(c) for c in names])
-    files = F.pmod(F.xxhash64(*names), F.lit(64))
-    tidy.repartition(F.col(f"`{partition}`"), files).write.mode(mode).partitionBy(partition).parquet(path)
+    tidy.hint("rebalance", F.col(f"`{partition}`")).write.mode(mode).partitionBy(partition).parquet(path)
 
 
 def read_standard(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ from limitlens.sources.tables import ROW_NO, TableError, check_header
 MAIN_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 WORKSHEET = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet"
-RAW_SCHEMA = "file string, sheet string, row_no long, cells array<string>"
+RAW_SCHEMA = "file string, sheet string, row_no long, cells array<string>, head array<string>, is_head boolean"
 
 
 def read_workbooks(
@@ -25,6 +25,8 @@ def read_workbooks(
 ) -> DataFrame:
     """Non-empty rows of the chosen or first sheet of every workbook below ``path``.
 
+    Each row carries the first row of its sheet as ``head``, so no join is needed to name
+    its cells.
     ``max_bytes`` leaves out larger files; by default none is left out.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
@@ -34,8 +36,9 @@ def read_workbooks(
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                rows = [(name, title, number, cells) for title, number, cells in sheet_rows(bytes(content), sheet)]
-                yield pd.DataFrame(rows, columns=["file", "sheet", "row_no", "cells"])
+                found = list(sheet_rows(bytes(content), sheet))
+                rows = [(name, *row, found[0][2], i == 0) for i, row in enumerate(found)]
+                yield pd.DataFrame(rows, columns=["file", "sheet", "row_no", "cells", "head", "is_head"])
 
     return files.select("path", "content").mapInPandas(parse, RAW_SCHEMA)
 
@@ -43,12 +46,10 @@ def read_workbooks(
 def read_workbook_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """The rows as a table; the first row of each workbook is its header.
 
-    All workbooks must share the header of the first one; columns come from there.
+    All workbooks must share one header; another one stops the job.
     """
     raw = read_workbooks(spark, path, sheet)
-    top = raw.groupBy("file").agg(F.min("row_no").alias("header_no"))
-    headers = raw.join(top, "file").filter("row_no = header_no").select("file", "header_no", F.col("cells").alias("head"))
-    first = headers.orderBy("file").first()
+    first = raw.filter("is_head").select("head").first()
     if first is None:
         raise TableError("no workbook with a header")
     names = list(first["head"])
@@ -56,13 +57,8 @@ def read_workbook_table(spark: SparkSession, path: str, sheet: str | None = None
         names.pop()
     names = check_header(names)
     same = F.transform(F.slice("head", 1, len(names)), lambda c: clean(c)) == F.array(*[F.lit(n) for n in names])
-    checked = headers.withColumn(
-        "header_no",
-        F.when(same, F.col("header_no")).otherwise(
-            F.raise_error(F.concat(F.lit("other header in "), F.col("file"))).cast("long")
-        ),
-    ).drop("head")
-    rows = raw.join(checked, "file").filter("row_no > header_no")
+    other = F.raise_error(F.concat(F.lit("other header in "), F.col("file"))).cast("boolean")
+    rows = raw.filter(F.when(same, ~F.col("is_head")).otherwise(other))
     return rows.select(
         *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)],
         F.struct("file", "row_no").alias(ROW_NO),

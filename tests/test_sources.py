@@ -337,3 +337,10 @@ def test_corpus_guard(spark, tmp_path):
     write(tmp_path / "kb" / "allowed.md", "official text")
     found = {r["path"] for r in M.corpus_guard(spark, str(tmp_path), ["KB/allowed.md"]).collect()}
     assert found == {"kb/bad.TXT", "kb/Official_Text.bin"}
+
+
+def test_workbooks_with_another_header(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", {"S": [[("A", "inline", "Name")], [("A", "n", "1")]]})
+    workbook(tmp_path / "b.xlsx", {"S": [[("A", "inline", "Other")], [("A", "n", "2")]]})
+    with pytest.raises(Exception, match="other header"):
+        W.read_workbook_table(spark, str(tmp_path)).collect()
