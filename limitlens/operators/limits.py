@@ -126,7 +126,7 @@ def bind(
             value(ccy).alias("ccy_cd"),
             value(unit).alias("unit_cd"),
             *[(value(c) if isinstance(c, str) else c).alias(n) for n, c in extra.items()],
-            (F.col(f"`{row_no}`") if has_column(df, row_no) else F.lit(0)).alias("_row_no"),
+            (F.col(f"`{row_no}`") if has_column(df, row_no) else F.lit("")).alias("_row_no"),
         )
         return base.withColumns(
             {"pf_key": fold("portfolio_id"), "rf_key": fold("risk_factor")}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from limitlens import schema as S
 from limitlens.functions.dates import BaseDate
@@ -39,15 +39,32 @@ def _pair_rows(status: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return status.join(roles, "base_dt")
 
 
+def _candidates(status: DataFrame) -> DataFrame:
+    """First row of each spelling and state of a key, where the row order is a number.
+
+    A hash aggregate over fixed-width values: rows are merged on the map side without
+    sorting them. All measures come from one row, since they are picked by the same order
+    over the same rows. Row orders of other types leave the rows as they are.
+    """
+    keep = ("base_dt", "pf_key", "rf_key", "portfolio_id", "risk_factor", "status")
+    if not isinstance(status.schema["_row_no"].dataType, T.NumericType):
+        return status.select(*keep, "_row_no", *_MEASURES)
+    return status.groupBy(*keep).agg(
+        F.min("_row_no").alias("_row_no"), *[F.min_by(m, "_row_no").alias(m) for m in _MEASURES]
+    )
+
+
 def prior_day(status: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """One row per key and pair, with both sides and their differences.
 
     ``status`` holds the states of every date named. Where a key has several rows on a
-    date the first by portfolio, factor, state and row order stands for it. Picking that
-    row and pairing the dates is one combinable aggregate, i.e. one shuffle; a full outer
-    join of two picked sides would need three.
+    date the first by portfolio, factor, state and row order stands for it. Rows are first
+    merged per spelling and state; picking the row and pairing the dates is then one
+    combinable aggregate, where a full outer join of two picked sides would need three.
     """
-    rows = _pair_rows(status, date_pairs(pairs))
+    checked = date_pairs(pairs)
+    dates = sorted({d for pair in checked for d in pair})
+    rows = _pair_rows(_candidates(status.filter(F.col("base_dt").isin(dates))), checked)
     packed = F.struct("portfolio_id", "risk_factor", "status", "_row_no", *_MEASURES)
     paired = rows.groupBy(*PAIR, "pf_key", "rf_key").agg(
         F.min(F.when(F.col("is_current"), packed)).alias("c"),

@@ -3,12 +3,20 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql.functions import lpad
 
 from limitlens.operators import limits as L, priorday as P, profile as F, visual as V
 from limitlens.plans.ranking import first_per_key, top_n_per_group
 from tests.helpers import DAY, exposures, limits, table
 
 PRIOR = "20260616"
+
+
+def as_text(column):
+    """A number as text of fixed width, so text order is number order."""
+    return lpad(column.cast("string"), 6, "0")
+
+
 PAIR = [(DAY, PRIOR)]
 
 
@@ -85,6 +93,18 @@ def test_duplicate_key_and_empty_side(spark):
     assert [(r["side"], r["base_dt"]) for r in empty] == [("Prior", "20260101")]
 
 
+def test_row_orders_of_any_type_agree(spark):
+    rows = [(p, "F", 10 * i + 1, d) for i in range(6) for p in "AaB" for d in (DAY, PRIOR)]
+    exposure, limit = exposures(spark, rows), limits(spark, both("AB"))
+    text = exposure.withColumn("ROW_NO", as_text(exposure["ROW_NO"]))
+    seen = []
+    for table_, order in ((exposure, "ROW_NO"), (text, "ROW_NO"), (exposure, None)):
+        lim = limit if table_ is exposure else limit.withColumn("ROW_NO", as_text(limit["ROW_NO"]))
+        status = L.limit_status(L.bind(table_, lim, [DAY, PRIOR], row_no=order))
+        seen.append(sorted(map(str, P.prior_day(status, PAIR).collect())))
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_same_date_is_refused(spark):
     with pytest.raises(ValueError):
         P.date_pairs([("20260617", "2026-06-17")])
