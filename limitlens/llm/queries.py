@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from limitlens.llm import queries_dedup
+from limitlens.llm import queries_dedup, queries_filter
 
-_MODULES = (queries_dedup,)
+_MODULES = (queries_dedup, queries_filter)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
