@@ -24,7 +24,7 @@ LEXICONS = {
     "stupidity": "idiot idiots moron morons stupid stupidity imbecile dumb dumbass fool dimwit halfwit brainless retard idiota estúpido estúpida imbécil tonto crétin débile stupide dummkopf trottel blöd idiotisch",
     "worth": "loser losers worthless pathetic useless failure inútil patético perdedor minable pitoyable wertlos erbärmlich versager",
     "filth": "scum trash garbage filth filthy vermin parasite basura escoria ordure déchet vermine abschaum müll dreck",
-    "disgust": "disgusting vile repulsive sickening revolting nasty asqueroso repugnante dégoûtant répugnant ekelhaft widerlich",
+    "disgust": "disgusting repulsive sickening revolting nasty asqueroso repugnante dégoûtant répugnant ekelhaft widerlich",
     "mockery": "clown clowns freak freaks creep jerk weirdo payaso bouffon clownesque",
     "swearing": "fuck fucking fucked shit shitty bullshit asshole bitch bastard cunt dick whore slut mierda puta cabrón putain merde connard salope scheisse scheiße arschloch hure",
     "threat": "kill murder destroy strangle muérete matar crève tuer stirb töten umbringen",
@@ -165,7 +165,7 @@ def _parents(hot: np.ndarray, both: np.ndarray, least: float = 0.005) -> list[in
     return parent
 
 
-def linear_classifier(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def linear_classifier(x: np.ndarray, target: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regression on soft labels by Newton steps: weights with bias, means, scales."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
