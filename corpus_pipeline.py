@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from limitlens.llm.ngram_join import drop_near_duplicates
 from limitlens.llm.packing import pack
-from limitlens.llm.secrets import redact_secrets
+from limitlens.llm.secret_scan import redact_secrets
 from limitlens.llm.suffix_arrays import decontaminate
 from limitlens.llm.toxicity import drop_toxic
 from limitlens.session import ensure_checkpoint_dir

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limitlens.llm import language_id, rule_stats, secrets, suffix_arrays, toxicity
+from limitlens.llm import language_id, language_model, rule_stats, secret_scan, suffix_arrays, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; the source is the owner, its languages are its repositories."""
-    return secrets.secret_spans(_table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"))
+    return secret_scan.secret_spans(_table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document."""
+    return language_model.lm_scores(_table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_secret_scans": op4_secret_scans,
+    "op7_lm_scoring": op7_lm_scoring,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
