@@ -104,10 +104,15 @@ def _prepare(docs: DataFrame, sketch: np.ndarray, key: str, text: str, width: in
 
 
 def _may_link(left: str, right: str, percent: int) -> Column:
-    """Length and positional filter on (n << 32 | position) of a common prefix shingle."""
+    """Length and positional filter on (n << 32 | position) of a common prefix shingle.
+
+    For the first shingle that two sets share, in the global order, only those from there on
+    can be common. For later ones the bound may be too low, but a pair that can link passes
+    in the bucket of its first.
+    """
     n_a, n_b = F.expr(f"{left} div 4294967296"), F.expr(f"{right} div 4294967296")
     p_a, p_b = F.expr(f"{left} & 4294967295"), F.expr(f"{right} & 4294967295")
-    most = F.least(p_a, p_b) + F.least(n_a - p_a, n_b - p_b)
+    most = F.least(n_a - p_a, n_b - p_b)
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (
         most * (100 + percent) >= (n_a + n_b) * percent
     )
