@@ -18,6 +18,7 @@ PROFILE, LENGTH = 300, 3
 #: Languages that profiles are kept for; more are an error.
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
+_GAP = 1  # no letter has this code point
 
 _letters: np.ndarray | None = None
 
@@ -31,7 +32,7 @@ def _letter_table() -> np.ndarray:
 
 
 def _coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased texts, words parted by one 0, and each one's text."""
+    """Code points of the lower-cased texts, words parted by one gap (1), and each one's text."""
     pieces = [data[a:b].tobytes().decode("utf-8", "replace").lower() for a, b in zip(offsets[:-1], offsets[1:])]
     points = np.frombuffer(("\n" + "\n".join(pieces) + "\n").encode("utf-32-le", "replace"), np.uint32)
     sizes = np.array([len(p) + 1 for p in pieces], np.int64)
@@ -41,7 +42,7 @@ def _coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     keep[:-1] |= letter[1:]
-    points, letter, owner = np.where(letter, points, 0)[keep], letter[keep], owner[keep]
+    points, letter, owner = np.where(letter, points, _GAP)[keep], letter[keep], owner[keep]
     # Two gaps in a row mean more than one non-letter between words: one is enough.
     double = np.zeros(len(points), bool)
     double[1:] = ~letter[1:] & ~letter[:-1] & (owner[1:] == owner[:-1])
@@ -49,22 +50,22 @@ def _coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _grams(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all n-grams (21 bits a letter, 0 for a gap) and the text of each."""
+    """Codes of all n-grams (21 bits a letter or gap) and the text of each."""
     codes, owners = [], []
     points = points.astype(np.int64)
     for n in range(1, LENGTH + 1):
         size = max(0, len(points) - n + 1)
         code = np.zeros(size, np.int64)
-        use = np.full(size, n > 1) if n > 1 else points[:size] > 0
+        use = np.full(size, n > 1) if n > 1 else points[:size] > _GAP
         for k in range(n):
             part = points[k : k + size]
             code = (code << 21) | part
             if k:
                 use &= owner[k : k + size] == owner[:size]
             if 0 < k < n - 1:
-                use &= part > 0  # no n-gram goes across a gap
+                use &= part > _GAP  # no n-gram goes across a gap
         if n == 2:
-            use &= code > 0
+            use &= code != (_GAP << 21 | _GAP)
         codes.append(code[use])
         owners.append(owner[:size][use])
     return np.concatenate(codes), np.concatenate(owners)
@@ -105,8 +106,8 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size:
                 yield pa.RecordBatch.from_arrays([pa.array([known[i] for i in langs], pa.string()), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
 
     counts = (
-        labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-        .filter("lang is not null and text is not null").mapInArrow(count, "lang string, gram long, n long")
+        W.map_batches(labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+        .filter("lang is not null and text is not null"), count, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -164,7 +165,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], key: str = "doc_id
                 score = np.where(choice >= 0, 1 - np.where(choice >= 0, best, 0) / np.maximum(used * size, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([ids.slice(low, n), pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return W.map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), 
         run, "doc_id long, lang_pred string, score double"
     )
 

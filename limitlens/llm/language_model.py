@@ -77,7 +77,7 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
                         keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         yield from rows()
 
-    return texts.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return W.map_batches(texts.select(F.col(text).cast("string").alias("text")), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -254,7 +254,7 @@ def train(training: DataFrame, counts: Counts, text: str = "text", vocabulary: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), float(trainer.learned)))], ["i", "v", "w"])
 
         share = parts.filter(F.col("turn") == turn) if rounds > 1 else parts
-        means = share.select("text").mapInArrow(learn, "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow()
+        means = W.map_batches(share.select("text"), learn, "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow()
         if means.num_rows:
             values = np.empty(means.num_rows)
             values[means["i"].to_numpy()] = means["v"].to_numpy()
@@ -311,7 +311,7 @@ def score_texts(docs: DataFrame, counts: Counts, model: LogBilinear, key: str =
                     )
 
     _names = [x.split()[0] for x in schema.split(", ")]
-    found = materialized(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema))
+    found = materialized(W.map_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), run, schema))
     rest = counts.table.filter(F.col("n") < counts.head_least)
     rare = (
         found.filter("word is not null").select("row", "word", "times").join(rest, "word")

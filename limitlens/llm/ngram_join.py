@@ -53,7 +53,7 @@ def shingle_sketch(docs: DataFrame, text: str = "text", width: int = WIDTH, bits
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
 
     rows = (
-        docs.select(F.col(text).alias("text")).mapInArrow(count, "slot int, n long")
+        W.map_batches(docs.select(F.col(text).alias("text")), count, "slot int, n long")
         .groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     )  # at most 2**bits rows
     sketch = np.zeros(1 << bits, np.int64)
@@ -100,7 +100,7 @@ def _prepare(docs: DataFrame, sketch: np.ndarray, key: str, text: str, width: in
                     ["doc", "n", "sig_a", "sig_b", "prefix", "bits"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, _PREPARED)
+    return W.map_batches(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")), run, _PREPARED)
 
 
 def _may_link(left: str, right: str, percent: int) -> Column:
@@ -150,7 +150,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked))
 
     full = pairs.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b")
-    return materialized(full.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
+    return materialized(W.map_batches(full.select("a", "b", "text_a", "text_b"), compare, "a long, b long"))
 
 
 def ngram_components(
@@ -237,11 +237,12 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Rows with a null id, without words, or linked with nothing stay.
     """
     found = materialized(ngram_components(docs, key, text, **options))
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = lookup_join(docs.withColumn("__gone", F.col(key).cast("long")), gone, ["__gone"], "left_anti")
+    name = W.fresh(docs, "__gone")
+    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = lookup_join(docs.withColumn(name, F.col(key).cast("long")), gone, [name], "left_anti")
     again = found.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-    again = materialized(again.select(F.col("doc_id").alias("__gone")))
+    again = materialized(again.select(F.col("doc_id").alias(name)))
     if not again.isEmpty():
-        once = lookup_join(kept, again, ["__gone"], "left_semi", bound=again).dropDuplicates(["__gone"])
-        kept = lookup_join(kept, again, ["__gone"], "left_anti", bound=again).unionByName(once)
+        once = lookup_join(kept, again, [name], "left_semi", bound=again).dropDuplicates([name])
+        kept = lookup_join(kept, again, [name], "left_anti", bound=again).unionByName(once)
     return kept.select(*docs.columns)

@@ -32,7 +32,7 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(bounds))], ["doc_id", "n_tokens"])
 
     kind = docs.select(F.col(key).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return W.map_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {kind}, n_tokens long")
 
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:

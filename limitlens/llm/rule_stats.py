@@ -83,7 +83,7 @@ def rule_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 columns = [pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in counts.T]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *columns], ["doc_id", *COUNTS])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return W.map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), 
         run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
     )
 
@@ -178,7 +178,7 @@ def _scored(stats: DataFrame, forests: dict[str, Forest]) -> DataFrame:
             scores = [pa.array(held.value[f].scores(features[f])) for f in FAMILIES]
             yield pa.RecordBatch.from_arrays([*batch.columns, *scores], [*kind.names, *FAMILIES])
 
-    return stats.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + "".join(f", {f} double" for f in FAMILIES))
+    return W.map_batches(stats, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + "".join(f", {f} double" for f in FAMILIES))
 
 
 def known_quality(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from limitlens.llm import words as W
 from limitlens.plans.joins import lookup_join
 from limitlens.plans.reuse import materialized
 
@@ -164,10 +165,11 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
 def redact_secrets(docs: DataFrame, text: str = "text", owner: str | Column = "source", repo: str | Column | None = None, mark: str = "<secret>", max_owners: int = MAX_OWNERS) -> DataFrame:
     """All rows and columns of ``docs`` with each run of reported spans replaced by ``mark``."""
     owner_col, repo_col = _owner_columns(owner, repo)
-    judged = _judged(_scanned(docs, [], text, owner_col, repo_col), max_owners).select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans"), F.col("last").alias("__last"))
+    digest, spans, last = (W.fresh(docs, c) for c in ("__digest", "__spans", "__last"))
+    judged = _judged(_scanned(docs, [], text, owner_col, repo_col), max_owners).select(F.col("digest").alias(digest), F.col("spans").alias(spans), F.col("last").alias(last))
     whole = F.col(text)
-    pieces = F.transform("__spans", lambda s: F.when(s["start"] >= s["from"], F.concat(F.substring(whole, s["from"] + 1, s["start"] - s["from"]), F.lit(mark))).otherwise(""))
-    cleaned = F.concat(F.array_join(pieces, ""), F.substring(whole, F.col("__last") + 1, F.length(whole)))
-    marked = lookup_join(docs.withColumn("__digest", F.sha2(whole.cast("string"), 256)), judged, ["__digest"], "left")
-    new = F.when(F.col("__last").isNull(), whole).otherwise(cleaned)
+    pieces = F.transform(spans, lambda s: F.when(s["start"] >= s["from"], F.concat(F.substring(whole, s["from"] + 1, s["start"] - s["from"]), F.lit(mark))).otherwise(""))
+    cleaned = F.concat(F.array_join(pieces, ""), F.substring(whole, F.col(last) + 1, F.length(whole)))
+    marked = lookup_join(docs.withColumn(digest, F.sha2(whole.cast("string"), 256)), judged, [digest], "left")
+    new = F.when(F.col(last).isNull(), whole).otherwise(cleaned)
     return marked.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])

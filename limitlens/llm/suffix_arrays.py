@@ -227,7 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 )
 
     kind = docs.select(F.col(key).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return W.map_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), 
         run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     )
 
@@ -255,7 +255,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
                     )
 
     kind = docs.select(F.col(key).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return W.map_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), 
         run, f"doc_id {kind}, doc_word long, item_id string, item_word long, n_words long"
     )
 
@@ -273,4 +273,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 clean[low:high] = _digest(bounds, tokens, held)[0] == 0
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return W.map_batches(docs, run, docs.schema)

@@ -139,7 +139,7 @@ def label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds: int
         return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
 
     for step in range(rounds):
-        if step == rounds // 2:
+        if step in (1, rounds // 2):
             parent = _parents(hot, np.stack([weight * (1 - post), weight * post]))
         classes, tables = fit(post)
         post = posterior(classes, tables)
@@ -190,7 +190,7 @@ def observations(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * _FEATURES), pa.array(features.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(spelled), lists], ["doc_id", "pattern", "features"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return W.map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), 
         run, "doc_id long, pattern string, features array<double>"
     )
 
@@ -238,7 +238,7 @@ def scored(observed: DataFrame, model: Model) -> DataFrame:
             score = model.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return observed.select("doc_id", "features").mapInArrow(run, "doc_id long, score double, predicted int")
+    return W.map_batches(observed.select("doc_id", "features"), run, "doc_id long, score double, predicted int")
 
 
 def held_out_fifth(key: str = "doc_id"):
@@ -271,4 +271,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
                 keep[low:high] = model.scores(features) < 0.5
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return W.map_batches(docs, run, docs.schema)

@@ -130,7 +130,7 @@ def train_naive_bayes(parts: DataFrame, model: dict[str, float], seeds: Sequence
                     seen[token, block] = seen.get((token, block), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["token", "block", "n"])
 
-    counts = parts.select("host", "path").mapInArrow(count, "token string, block int, n long")
+    counts = W.map_batches(parts.select("host", "path"), count, "token string, block int, n long")
     table = counts.groupBy("token").agg(
         F.sum(F.when(F.col("block") == 1, F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0)).alias("a")
     )
@@ -167,7 +167,7 @@ def url_verdicts(pages: DataFrame, key: str = "page_id", url: str = "url", text:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))))], ["page_id", "host", "path", "score"])
 
     kind = parts.schema["page_id"].dataType.simpleString()
-    judged = parts.mapInArrow(run, f"page_id {kind}, host string, path string, score double")
+    judged = W.map_batches(parts, run, f"page_id {kind}, host string, path string, score double")
     name, said = rule_of(F.col("host"), F.col("path"), rules)
     return judged.select(
         "page_id", "host", "path", name.alias("rule"),

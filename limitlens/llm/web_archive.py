@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
+from limitlens.llm import words as W
 from limitlens.plans.joins import lookup_join
 from limitlens.plans.reuse import materialized
 from limitlens.session import ensure_checkpoint_dir
@@ -141,7 +142,7 @@ def write_archive(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
 
     _names = [c.split()[0] for c in _CAPTURE.split(", ")]
     _types = [pa.string() if c.endswith("string") else pa.int64() for c in _CAPTURE.split(", ")]
-    return materialized(keyed.mapInArrow(run, _CAPTURE))
+    return materialized(W.map_batches(keyed, run, _CAPTURE))
 
 
 def _place(urlkey: str, page_id: int | None) -> tuple:
@@ -188,7 +189,7 @@ def build_index(captures: DataFrame, folder: str, block: int = BLOCK_CAPTURES) -
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([json.dumps(ends)]), pa.array([name])], ["ends", "file"])
 
-    rows = ordered.mapInArrow(run, "ends string, file string").toArrow().to_pylist()
+    rows = W.map_batches(ordered, run, "ends string, file string").toArrow().to_pylist()
     parts = [(_place(*first), _place(*last), r["file"]) for r in rows for first, last in [json.loads(r["ends"])]]
     return sorted(parts)
 
@@ -249,7 +250,7 @@ def lookup(wanted: DataFrame, folder: str, parts: list[tuple]) -> DataFrame:
 
     _names = [c.split()[0] for c in _CAPTURE.split(", ")]
     _types = [pa.string() if c.endswith("string") else pa.int64() for c in _CAPTURE.split(", ")]
-    return ordered.mapInArrow(run, _CAPTURE)
+    return W.map_batches(ordered, run, _CAPTURE)
 
 
 def read_records(captures: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
@@ -273,7 +274,7 @@ def read_records(captures: DataFrame, folder: str, with_payload: bool = False) -
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[c.split()[1]]) for n, c in zip(names, schema.split(", "))], names)
 
-    return ordered.mapInArrow(run, schema)
+    return W.map_batches(ordered, run, schema)
 
 
 def archive_folder(spark) -> str:

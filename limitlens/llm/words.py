@@ -13,7 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+# Rows of an Arrow batch at most: batches of whole texts, long ones too, stay small.
+_BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Bytes of text worked on at a time; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 # Spans up to this many bytes are hashed in vectorised lanes, longer ones one by one.
@@ -32,6 +36,22 @@ PLAIN = (_every >= 0x80) | ((_every >= 0x30) & (_every <= 0x39)) | ((_every >= 0
 LOWER = np.where((_every >= 0x41) & (_every <= 0x5A), _every + 32, _every).astype(np.uint8)
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over small batches, so that a worker never holds many texts."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= _BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(_BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit values, one to one."""
     x = x + _A
