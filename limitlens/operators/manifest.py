@@ -52,7 +52,8 @@ def manifest_audit(
 
     ``manifest`` has path, size, sha256, class, required. ``required`` paths must be declared
     and present whatever the manifest says; files for which ``watched`` holds (a condition on
-    ``path``) must be declared. Columns: problem, path, class.
+    ``path``) must be declared. A manifest without entries is a problem of its own, so it
+    fails closed. Columns: problem, path, class.
     """
     spark = manifest.sparkSession
     entry_class = F.when(is_blank("class"), "App").otherwise(F.col("class"))
@@ -78,6 +79,10 @@ def manifest_audit(
     result = rejected.unionByName(both.select(
         F.explode(problems).alias("problem"), "path", F.coalesce("class", F.lit("App")).alias("class")
     ))
+    nothing = manifest.agg(F.count("*").alias("n")).filter("n = 0")
+    result = result.unionByName(nothing.select(
+        F.lit("MANIFEST_EMPTY").alias("problem"), F.lit("").alias("path"), F.lit("App").alias("class")
+    ))
     if required:
         wanted = local_table(spark, [(p,) for p in required], "path string")
         result = result.unionByName(

@@ -129,9 +129,14 @@ def report_tables(
 
 
 def write_report(sections: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """One Parquet table per section; those with a base date are partitioned by it."""
+    """One Parquet table per section; those with a base date are partitioned by it.
+
+    Overwriting replaces the dates that are written and keeps the others. Rows are
+    rebalanced by date first, so a date is a few files, not one from every task.
+    """
     for name, df in sections.items():
         writer = df.write.mode(mode)
         if "base_dt" in df.columns:
-            writer = writer.partitionBy("base_dt")
+            rows = df.hint("rebalance", "base_dt")
+            writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("base_dt")
         writer.parquet(f"{path}/{name.lower()}")

@@ -238,3 +238,13 @@ def test_report(spark, tmp_path):
 
 def test_default_mapping_is_complete():
     assert set(DEFAULT_NAMES) >= {"BaseDate", "PortfolioId", "RiskFactor", "ExposureAmount", "LimitAmount", "UseYn"}
+
+
+def test_report_keeps_other_dates(spark, tmp_path):
+    """A daily run replaces its own date only."""
+    path = str(tmp_path / "report")
+    day = lambda d, v: {"KPI": spark.createDataFrame([(d, v)], "base_dt string, value int")}
+    for d, v in (("20260616", 1), ("20260617", 2), ("20260616", 3)):
+        report.write_report(day(d, v), path)
+    got = {(str(r["base_dt"]), r["value"]) for r in spark.read.parquet(f"{path}/kpi").collect()}
+    assert got == {("20260616", 3), ("20260617", 2)}

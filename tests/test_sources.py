@@ -344,3 +344,10 @@ def test_workbooks_with_another_header(spark, tmp_path):
     workbook(tmp_path / "b.xlsx", {"S": [[("A", "inline", "Other")], [("A", "n", "2")]]})
     with pytest.raises(Exception, match="other header"):
         W.read_workbook_table(spark, str(tmp_path)).collect()
+
+
+def test_empty_manifest_fails_closed(spark):
+    entries = spark.createDataFrame([], "path string, size long, sha256 string, class string, required boolean")
+    files = spark.createDataFrame([], "path string, actual_size long, actual_sha256 string")
+    row = M.manifest_result(M.manifest_audit(entries, files)).first()
+    assert (row["status"], row["problem_count"]) == ("FAIL_CLOSED", 1)
