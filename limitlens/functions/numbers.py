@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from limitlens.functions.text import WHITE_SPACE
-from limitlens.schema import AMOUNT
+from limitlens.schema import AMOUNT, RATIO
 
 # The two accepted number formats. White space may surround the number,
 # thousands separators may stand anywhere after the first digit; the sign leads or trails,
@@ -17,7 +19,8 @@ PLAIN_NUMBER = rf"(?U)\A\s*(?:[+-]?{_DIGITS}|{_DIGITS}{_TRAILING})\s*\z"
 EXPONENT_NUMBER = rf"(?U)\A\s*(?:[+-]?{_DIGITS}{_EXPONENT}|{_DIGITS}{_EXPONENT}{_TRAILING})\s*\z"
 # Fixed value: largest magnitude of a 96-bit decimal.
 MAX_DECIMAL = "79228162514264337593543950335"
-PROFILE_NUMBER = T.DecimalType(38, 8)
+# The most decimals that leave room for its 29 integer digits.
+PROFILE_NUMBER = T.DecimalType(38, 9)
 
 # The usual spelling, cast as it is; everything else takes the long way.
 _SIMPLE = r"\A[+-]?[0-9]+(?:\.[0-9]*)?\z"
@@ -57,6 +60,42 @@ def amount_column(df: DataFrame, name: str) -> Column:
     return parse_amount(F.col(f"`{name}`"))
 
 
+# Operands whose sums, differences and small multiples fit 38 digits with every decimal. From
+# 25 integer digits on a 96-bit decimal has four decimals at most.
+_ORDINARY = T.DecimalType(35, 10)
+_LARGE = T.DecimalType(33, 4)
+# Operands whose quotient keeps 16 decimals: below 10^18 with four, below 10^12 with ten.
+_DIVIDED = (T.DecimalType(22, 4), T.DecimalType(22, 10))
+
+
+def _exactly(a: Column, b: Column, calculate: Callable[[Column, Column], Column]) -> Column:
+    """``calculate`` on both amounts in the first type that holds them."""
+    return F.coalesce(*[calculate(a.try_cast(kind), b.try_cast(kind)) for kind in (_ORDINARY, _LARGE)])
+
+
+def difference(a: Column, b: Column) -> Column:
+    """``a - b`` of two amounts."""
+    return _exactly(a, b, lambda x, y: (x - y).try_cast(AMOUNT))
+
+
+def nine_tenths_reached(used: Column, limit: Column) -> Column:
+    """Whether ``used`` is at least 90 % of ``limit``; without division."""
+    return _exactly(used, limit, lambda x, y: x * 10 >= y * 9)
+
+
+def quotient(used: Column, limit: Column) -> Column:
+    """``used / limit`` with 16 decimals; NULL for a zero limit.
+
+    Amounts too large or too fine for a decimal quotient of that scale are divided as doubles.
+    """
+    def divided(kind: T.DecimalType) -> Column:
+        x, y = used.try_cast(kind), limit.try_cast(kind)
+        return F.when((x == used) & (y == limit), F.try_divide(x, y).try_cast(RATIO))
+
+    rough = F.try_divide(used.cast("double"), limit.cast("double")).try_cast(RATIO)
+    return F.coalesce(*map(divided, _DIVIDED), rough)
+
+
 def round_half_up(value: Column, places: int) -> Column:
     """Spark's ``round`` is half-up and sign-symmetric, i.e. half away from zero."""
     return F.round(value, places)

@@ -13,18 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from limitlens import schema as S
 from limitlens.functions.dates import BaseDate
-from limitlens.functions.numbers import amount_column
+from limitlens.functions.numbers import amount_column, difference, nine_tenths_reached, quotient
 from limitlens.functions.text import clean, equals_ignore_case, fold
 from limitlens.plans.joins import lookup_join
 from limitlens.plans.reuse import materialized
-from limitlens.plans.sizing import collect_bounded
 from limitlens.sources.mapping import (
     DESK, PRODUCT, ColumnMapping, has_column, missing_columns,
 )
 from limitlens.plans.local import local_table
 
 KEYS = ("base_dt", "pf_key", "rf_key")
-MAX_DATES = 100_000
 
 
 @dataclass(frozen=True)
@@ -47,10 +45,13 @@ class LimitInputs:
     _known: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
-    def dates(self) -> tuple[BaseDate, ...]:
-        """The dates analysed. Where all are, they are looked up once, when first needed."""
+    def dates(self) -> DataFrame:
+        """The dates analysed, one row each. Where all are, they are stored when first needed."""
         if not self.every_date:
-            return self.requested
+            return local_table(
+                self.spark, [(d.normalized, d.requested, d.valid) for d in self.requested],
+                "base_dt string, requested string, valid boolean",
+            )
         if "dates" not in self._known:
             self.find_dates(self.exposures, self.limits)
         return self._known["dates"]
@@ -58,7 +59,7 @@ class LimitInputs:
     def find_dates(self, *tables: DataFrame) -> None:
         """Take the dates from tables that hold all of them (e.g. grouped ones, cheaper to read)."""
         if self.every_date and "dates" not in self._known:
-            self._known["dates"] = _dates_found(*tables)
+            self._known["dates"] = materialized(_dates_found(*tables))
 
     @property
     def limit_facts(self) -> DataFrame:
@@ -138,6 +139,7 @@ def bind(
         return F.lit(None).cast(S.AMOUNT)
 
     use_yn = names("UseYn")
+    flag = text(F.col(f"`{use_yn}`")) if has_column(limits, use_yn) else F.lit("")
     exposure_side = side(exposures, {
         "desk_cd": DESK,
         "product_type": PRODUCT,
@@ -145,9 +147,8 @@ def bind(
     })
     limit_side = side(limits, {
         "limit_amt": amount(limits, names("LimitAmount")),
-        "in_use": equals_ignore_case(
-            text(F.col(f"`{use_yn}`")) if has_column(limits, use_yn) else F.lit(""), "Y"
-        ),
+        "use_yn": flag,
+        "in_use": equals_ignore_case(flag, "Y"),
     })
     return LimitInputs(
         exposures=exposure_side,
@@ -162,13 +163,14 @@ def bind(
     )
 
 
-def _dates_found(*sides: DataFrame) -> tuple[BaseDate, ...]:
+def _dates_found(*sides: DataFrame) -> DataFrame:
     """Base dates of the tables: a scan of one column, a few rows per task shuffled."""
     found = sides[0].select("base_dt")
     for side in sides[1:]:
         found = found.unionByName(side.select("base_dt"))
-    rows = collect_bounded(found.filter(F.col("base_dt") != "").distinct(), MAX_DATES, "base dates")
-    return tuple(BaseDate(v, v, True) for v in sorted(r["base_dt"] for r in rows))
+    return found.filter(F.col("base_dt") != "").distinct().select(
+        "base_dt", F.col("base_dt").alias("requested"), F.lit(True).alias("valid")
+    )
 
 
 def _plain_text(value: Column) -> Column:
@@ -207,7 +209,7 @@ def classify(amount: Column, limit: Column) -> Column:
     used = F.abs(amount)
     return (
         F.when(used > limit, S.BREACH)
-        .when(used * 10 >= limit * 9, S.WARNING)
+        .when(nine_tenths_reached(used, limit), S.WARNING)
         .otherwise(S.NORMAL)
     )
 
@@ -261,9 +263,9 @@ def _shape(joined: DataFrame) -> DataFrame:
         F.when(F.col("status") == S.MAPPING_ERROR, zero)
         .otherwise(F.col("exposure_amt")).alias("exposure_amt"),
         F.when(keeps_limit, F.coalesce("limit_amt", zero)).otherwise(zero).alias("limit_amt"),
-        F.when(numeric, F.try_divide(used, F.col("limit_amt")).cast(S.RATIO))
+        F.when(numeric, quotient(used, F.col("limit_amt")))
         .otherwise(F.lit(0).cast(S.RATIO)).alias("usage_ratio"),
-        F.when(numeric, (F.col("limit_amt") - used).cast(S.REMAINING))
+        F.when(numeric, difference(F.col("limit_amt"), used))
         .otherwise(F.lit(0).cast(S.REMAINING)).alias("remaining_limit"),
         "status",
         note.alias("note"),
@@ -314,11 +316,7 @@ def _all_mapping_errors(inputs: LimitInputs, exposures: DataFrame, message: str)
 
 def requested_dates(inputs: LimitInputs) -> DataFrame:
     """The dates analysed, one row each."""
-    return local_table(
-        inputs.spark,
-        [(d.normalized, d.requested, d.valid) for d in inputs.dates],
-        "base_dt string, requested string, valid boolean",
-    )
+    return inputs.dates
 
 
 # --- aggregates over the status table ------------------------------------------------------

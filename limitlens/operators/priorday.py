@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from limitlens import schema as S
 from limitlens.functions.dates import BaseDate
+from limitlens.functions.numbers import difference
 from limitlens.plans.ranking import top_n_per_group
 from limitlens.plans.local import local_table
 
@@ -81,7 +82,7 @@ def prior_day(status: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         columns += [
             current.alias(f"current_{name}"),
             prior.alias(f"prior_{name}"),
-            (current - prior).alias(f"{name}_delta"),
+            (current - prior if name == "usage_ratio" else difference(current, prior)).alias(f"{name}_delta"),
         ]
     compared = paired.select(*PAIR, *columns)
     return compared.withColumn("movement", movement())
@@ -90,13 +91,13 @@ def prior_day(status: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 def movement() -> Column:
     """Movement class of a compared row."""
     current, prior = F.col("current_status"), F.col("prior_status")
-    delta = F.col("usage_ratio_delta")
+    used, before = F.col("current_usage_ratio"), F.col("prior_usage_ratio")
     return (
         F.when(current.isNull(), "Resolved")
         .when(prior.isNull(), "New")
         .when(~current.isin(*S.NUMERIC_STATUSES) | (current != prior), "StateTransition")
-        .when(delta > 0, "Increased")
-        .when(delta < 0, "Decreased")
+        .when(used > before, "Increased")
+        .when(used < before, "Decreased")
         .otherwise("Unchanged")
     )
 

@@ -107,7 +107,9 @@ def _parsed(df: DataFrame, names: list[str]) -> DataFrame:
     columns: list[Column] = []
     for i, c in enumerate(names):
         if _is_text(df, c):
-            columns += [number_of(df, c).alias(f"v{i}"), is_null_token(df, c).alias(f"z{i}")]
+            columns += [
+                number_of(df, c).alias(f"v{i}"), double_of(df, c).alias(f"d{i}"), is_null_token(df, c).alias(f"z{i}")
+            ]
         else:
             columns.append(F.col(f"`{c}`").alias(f"v{i}"))
     return df.select(*columns)
@@ -118,13 +120,15 @@ def _first_pass(df: DataFrame, name: str, i: int) -> Column:
     value = F.col(f"v{i}")
     if _is_text(df, name):
         number, bad = value, F.count_if(~F.col(f"z{i}") & value.isNull())
+        rough = F.col(f"d{i}")
     else:
         # Native values need no parsing; their range is taken as it is.
         number, bad = value.try_cast(PROFILE_NUMBER), F.lit(0).cast("long")
+        rough = value.cast("double")
     return F.struct(
         F.count(value).alias("n"), bad.alias("bad"), F.try_sum(number).alias("total"),
         F.min(value).try_cast(PROFILE_NUMBER).alias("low"), F.max(value).try_cast(PROFILE_NUMBER).alias("high"),
-        F.sum(value.cast("double")).alias("dsum"),
+        F.sum(rough).alias("dsum"),
     )
 
 
@@ -173,8 +177,8 @@ def numeric_profile(df: DataFrame) -> DataFrame:
 
 
 _NUMERIC_SCHEMA = (
-    "column_name string, non_null_count long, sum decimal(38,8), min decimal(38,8), "
-    "max decimal(38,8), outlier_count long"
+    "column_name string, non_null_count long, sum decimal(38,9), min decimal(38,9), "
+    "max decimal(38,9), outlier_count long"
 )
 
 

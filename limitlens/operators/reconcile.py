@@ -94,7 +94,7 @@ def recon_exceptions(inputs: LimitInputs, status: DataFrame) -> DataFrame:
         _from_states(facts),
         _from_dates(inputs, facts, keyed if can_exposure and can_limit else None, groups),
     ]
-    if inputs.mapping.warnings or not all(d.valid for d in inputs.dates):
+    if inputs.mapping.warnings or not all(d.valid for d in inputs.requested):
         parts.append(_from_parameters(inputs))
     if groups is not None:
         parts.append(_from_limits(inputs, groups, keyed if can_exposure else None))
@@ -188,8 +188,8 @@ def _mismatch(limit_facts: DataFrame, keyed: DataFrame, column: str, code: str)
 
 # What a date is summed up by, over all tables.
 _DATE_METRICS = {
-    "wanted": "long", "source_rows": "long", "source_amt": "decimal(32,4)", "unparsed": "long",
-    "status_rows": "long", "status_amt": "decimal(32,4)", "join_rows": "long", "limit_count": "long",
+    "wanted": "long", "source_rows": "long", "source_amt": S.AMOUNT, "unparsed": "long",
+    "status_rows": "long", "status_amt": S.AMOUNT, "join_rows": "long", "limit_count": "long",
 }
 
 

@@ -11,20 +11,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from limitlens.functions.numbers import difference, nine_tenths_reached, quotient
 from limitlens.operators.limits import LimitInputs
+from limitlens.plans.joins import lookup_join
 
 
 def prepared(inputs: LimitInputs) -> tuple[DataFrame, DataFrame]:
-    """Both tables of a bound input in the shape the reports read."""
+    """Both tables of a bound input in the shape the reports read.
+
+    Identifiers and flags are the trimmed texts: the reports compare them as they are spelled.
+    """
     exposures = inputs.exposures.select(
         F.col("base_dt").alias("BASE_DT"), F.col("desk_cd").alias("DESK_CD"),
-        F.col("pf_key").alias("PORTFOLIO_ID"), F.col("rf_key").alias("RISK_FACTOR"),
+        F.col("portfolio_id").alias("PORTFOLIO_ID"), F.col("risk_factor").alias("RISK_FACTOR"),
         F.col("exposure_amt").alias("EXPOSURE_AMT"),
     )
     limits = inputs.limits.select(
-        F.col("base_dt").alias("BASE_DT"), F.col("pf_key").alias("PORTFOLIO_ID"),
-        F.col("rf_key").alias("RISK_FACTOR"), F.col("limit_amt").alias("LIMIT_AMT"),
-        F.when(F.col("in_use"), "Y").otherwise("N").alias("USE_YN"),
+        F.col("base_dt").alias("BASE_DT"), F.col("portfolio_id").alias("PORTFOLIO_ID"),
+        F.col("risk_factor").alias("RISK_FACTOR"), F.col("limit_amt").alias("LIMIT_AMT"),
+        F.col("use_yn").alias("USE_YN"),
     )
     return exposures, limits
 
@@ -39,7 +44,7 @@ def limit_usage(exposures: DataFrame, limits: DataFrame, base_dt: str) -> DataFr
 
     A zero limit with zero exposure would divide by zero; it counts as NORMAL.
     """
-    return _run(
+    rows = _run(
         """
         WITH used AS (
           SELECT BASE_DT, DESK_CD, PORTFOLIO_ID, RISK_FACTOR, sum(EXPOSURE_AMT) AS EXPOSURE_AMT
@@ -48,16 +53,19 @@ def limit_usage(exposures: DataFrame, limits: DataFrame, base_dt: str) -> DataFr
         active AS (
           SELECT PORTFOLIO_ID, RISK_FACTOR, LIMIT_AMT
           FROM {limits} WHERE BASE_DT = :BASE_DT AND USE_YN = 'Y')
-        SELECT u.BASE_DT, u.DESK_CD, u.PORTFOLIO_ID, u.RISK_FACTOR, u.EXPOSURE_AMT, a.LIMIT_AMT,
-          round(try_cast(abs(u.EXPOSURE_AMT) AS decimal(22,4)) / nullif(a.LIMIT_AMT, 0), 4) * 100 AS LIMIT_USAGE_RATE,
-          CASE WHEN a.LIMIT_AMT IS NULL THEN 'NO_LIMIT'
-               WHEN abs(u.EXPOSURE_AMT) > a.LIMIT_AMT THEN 'BREACH'
-               WHEN a.LIMIT_AMT <> 0 AND abs(u.EXPOSURE_AMT) * 10 >= a.LIMIT_AMT * 9 THEN 'WARNING'
-               ELSE 'NORMAL' END AS LIMIT_STATUS
+        SELECT u.BASE_DT, u.DESK_CD, u.PORTFOLIO_ID, u.RISK_FACTOR, u.EXPOSURE_AMT, a.LIMIT_AMT
         FROM used u LEFT JOIN active a USING (PORTFOLIO_ID, RISK_FACTOR)
         """,
         base_dt, exposures=exposures, limits=limits,
     )
+    used, limit = F.abs("EXPOSURE_AMT"), F.col("LIMIT_AMT")
+    return rows.withColumns({
+        "LIMIT_USAGE_RATE": F.round(quotient(used, limit), 4) * 100,
+        "LIMIT_STATUS": F.when(limit.isNull(), "NO_LIMIT")
+        .when(used > limit, "BREACH")
+        .when((limit != 0) & nine_tenths_reached(used, limit), "WARNING")
+        .otherwise("NORMAL"),
+    })
 
 
 def ordered_usage(usage: DataFrame) -> DataFrame:
@@ -110,31 +118,40 @@ def grouped_exposure(exposures: DataFrame, base_dt: str) -> DataFrame:
 
 
 def usage_ratio(exposures: DataFrame, limits: DataFrame, base_dt: str) -> DataFrame:
-    """Ratio per exposure row and limit in use (inner join, zero limit gives NULL)."""
-    return _run(
-        """
-        SELECT e.BASE_DT, e.PORTFOLIO_ID, e.RISK_FACTOR, e.EXPOSURE_AMT, l.LIMIT_AMT,
-          abs(e.EXPOSURE_AMT) / nullif(l.LIMIT_AMT, 0) AS USAGE_RATIO
-        FROM {exposures} e JOIN {limits} l
-          ON e.BASE_DT = l.BASE_DT AND e.PORTFOLIO_ID = l.PORTFOLIO_ID AND e.RISK_FACTOR = l.RISK_FACTOR
-        WHERE e.BASE_DT = :BASE_DT AND l.USE_YN = 'Y'
-        """,
-        base_dt, exposures=exposures, limits=limits,
+    """Ratio per exposure row and limit in use (inner join, zero limit gives NULL).
+
+    Limits beyond the broadcast size are joined on salted keys.
+    """
+    active = _run(
+        "SELECT PORTFOLIO_ID, RISK_FACTOR, LIMIT_AMT FROM {limits} WHERE BASE_DT = :BASE_DT AND USE_YN = 'Y'",
+        base_dt, limits=limits,
+    )
+    rows = lookup_join(filtered_rows(exposures, base_dt), active, ("PORTFOLIO_ID", "RISK_FACTOR"), "inner")
+    return rows.select(
+        "BASE_DT", "PORTFOLIO_ID", "RISK_FACTOR", "EXPOSURE_AMT", "LIMIT_AMT",
+        quotient(F.abs("EXPOSURE_AMT"), F.col("LIMIT_AMT")).alias("USAGE_RATIO"),
     )
 
 
 def exposure_delta(exposures: DataFrame, current: str, prior: str) -> DataFrame:
-    """Every pairing of a key's rows on two dates (self join, as the report defines it)."""
-    return exposures.sparkSession.sql(
+    """Exposure of each key that has rows on both dates, and the change.
+
+    The rows of a key are summed per date, so a key with many rows gives one row instead of
+    every pairing of them; where a key has one row per date this is the plain self join.
+    """
+    sums = exposures.sparkSession.sql(
         """
-        SELECT cur.PORTFOLIO_ID, cur.RISK_FACTOR, cur.EXPOSURE_AMT AS CURRENT_EXPOSURE_AMT,
-          prev.EXPOSURE_AMT AS PRIOR_EXPOSURE_AMT, cur.EXPOSURE_AMT - prev.EXPOSURE_AMT AS EXPOSURE_DELTA
-        FROM {cur} cur JOIN {prev} prev
-          ON cur.PORTFOLIO_ID = prev.PORTFOLIO_ID AND cur.RISK_FACTOR = prev.RISK_FACTOR
-        WHERE cur.BASE_DT = :CURRENT_BASE_DT AND prev.BASE_DT = :PRIOR_BASE_DT
+        SELECT PORTFOLIO_ID, RISK_FACTOR,
+          sum(CASE WHEN BASE_DT = :CURRENT_BASE_DT THEN EXPOSURE_AMT END) AS CURRENT_EXPOSURE_AMT,
+          sum(CASE WHEN BASE_DT = :PRIOR_BASE_DT THEN EXPOSURE_AMT END) AS PRIOR_EXPOSURE_AMT
+        FROM {rows} WHERE BASE_DT IN (:CURRENT_BASE_DT, :PRIOR_BASE_DT)
+        GROUP BY PORTFOLIO_ID, RISK_FACTOR
+        HAVING count_if(BASE_DT = :CURRENT_BASE_DT) > 0 AND count_if(BASE_DT = :PRIOR_BASE_DT) > 0
         """,
-        args={"CURRENT_BASE_DT": current, "PRIOR_BASE_DT": prior}, cur=exposures, prev=exposures,
+        args={"CURRENT_BASE_DT": current, "PRIOR_BASE_DT": prior}, rows=exposures,
     )
+    change = difference(F.col("CURRENT_EXPOSURE_AMT"), F.col("PRIOR_EXPOSURE_AMT"))
+    return sums.withColumn("EXPOSURE_DELTA", change)
 
 
 def duplicate_join_keys(table: DataFrame, base_dt: str) -> DataFrame:

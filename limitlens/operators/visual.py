@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limitlens import schema as S
-from limitlens.functions.numbers import round_half_up
+from limitlens.functions.numbers import quotient, round_half_up
 from limitlens.functions.text import fold_key
 from limitlens.plans.ranking import top_n_per_group
 
@@ -60,7 +60,7 @@ def concentration(status: DataFrame, n: int = DEFAULT_TOP_N) -> DataFrame:
     )
     total = F.col("total_abs_exposure")
     top_sum = F.coalesce("top_abs_exposure", F.lit(0).cast(S.AMOUNT))
-    share = F.try_divide(top_sum.cast("decimal(30,4)"), total.cast("decimal(30,4)"))
+    share = quotient(top_sum, total)
     hhi = F.try_divide(F.col("squares"), F.pow(total.cast("double"), F.lit(2.0)))
     zero = total == 0
     return totals.join(top, "base_dt", "left").select(

@@ -37,6 +37,14 @@ def limit_status_base_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _status_output(L.limit_status(inputs))
 
 
+def limit_status_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of positions within a millionth of 90 % and 100 % of their limits."""
+    status = L.limit_status(T.edge_inputs(spark, sf_dir)).select(
+        "base_dt", "portfolio_id", "risk_factor", "exposure_amt", "remaining_limit", "status"
+    )
+    return T.doubles(status, "exposure_amt", "remaining_limit")
+
+
 def limit_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.doubles(
         L.limit_kpis(_status(spark, sf_dir)), "exposure_amt_sum", "limit_amt_sum", "remaining_limit_sum"
@@ -172,6 +180,7 @@ summary AS (
 QUERIES = {
     "limit_status": limit_status,
     "limit_status_base_date": limit_status_base_date,
+    "limit_status_edges": limit_status_edges,
     "limit_kpis": limit_kpis,
     "run_severity": run_severity,
     "limit_findings": limit_findings,
@@ -186,6 +195,10 @@ QUERIES = {
 SQL = {
     "limit_status": f"WITH {T.STATUS_SQL} {_STATUS_OUT}",
     "limit_status_base_date": f"WITH {T.STATUS_SQL} {_STATUS_OUT} WHERE base_dt = '19960101'",
+    "limit_status_edges": f"""WITH {T.EDGES_SQL} SELECT base_dt, portfolio_id, risk_factor,
+      CAST(e AS DOUBLE) AS exposure_amt, status,
+      CASE WHEN status IN ('NORMAL','WARNING','BREACH') THEN CAST(l - abs(e) AS DOUBLE) ELSE 0 END AS remaining_limit
+      FROM edge_status""",
     "limit_kpis": f"WITH {T.STATUS_SQL}, {_KPIS} SELECT * FROM kpis",
     "run_severity": f"""WITH {T.STATUS_SQL}, {_KPIS} SELECT base_dt,
       CASE WHEN breach_count + mapping_error_count > 0 THEN 'High'

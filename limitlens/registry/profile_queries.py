@@ -57,11 +57,16 @@ def _outliers(table: str, columns: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
+def profile_duplicates_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated whole rows of the line items."""
+    return P.duplicate_rows(T.table(spark, sf_dir, "lineitem")).drop("column_count")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         profile_nulls, profile_dates, profile_numeric, profile_numeric_text,
-        profile_duplicates, profile_duplicates_lineitem,
+        profile_duplicates, profile_duplicates_lineitem, profile_duplicates_rows,
     )
 }
 _COLUMNS = {
@@ -82,6 +87,8 @@ SQL = {
         "AS o_totalprice FROM orders) " + _outliers("t", ["o_orderkey", "o_totalprice"]),
     "profile_duplicates": """SELECT count(*) AS row_count, CAST(2 AS BIGINT) AS column_count,
       count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS duplicate_count FROM documents""",
+    "profile_duplicates_rows": """SELECT count(*) AS row_count,
+      count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_count FROM lineitem""",
     "profile_duplicates_lineitem": """SELECT count(*) AS row_count, CAST(4 AS BIGINT) AS column_count,
       count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_quantity, l_discount, l_returnflag FROM lineitem))
       AS duplicate_count FROM lineitem""",

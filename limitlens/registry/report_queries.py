@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from limitlens.operators import limits as L, priorday as P, templates as M, visual as V
 from limitlens.registry import tables as T
 
-# Every pair of neighbouring months; wide enough for all order dates.
-_MONTHS = [f"{y}{m:02d}01" for y in range(1990, 2010) for m in range(1, 13)]
-MONTH_PAIRS = list(zip(_MONTHS[1:], _MONTHS[:-1]))
+
+def month_pairs(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """Neighbouring months, from that of the first order to that of the last."""
+    span = T.table(spark, sf_dir, "orders").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b")).first()
+    first, last = (d.year * 12 + d.month - 1 for d in (span["a"], span["b"]))
+    months = [f"{m // 12}{m % 12 + 1:02d}01" for m in range(first, last + 1)]
+    return list(zip(months[1:], months[:-1]))
 
 
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +49,7 @@ _DELTAS = ("usage_ratio", "exposure_amt", "limit_amt", "remaining_limit")
 
 def prior_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All neighbouring months compared in one job."""
-    compared = P.prior_day(_status(spark, sf_dir), MONTH_PAIRS)
+    compared = P.prior_day(_status(spark, sf_dir), month_pairs(spark, sf_dir))
     for m in _DELTAS:
         places = 9 if m == "usage_ratio" else None
         compared = T.doubles(compared, f"current_{m}", f"prior_{m}", f"{m}_delta", places=places)
@@ -53,11 +57,11 @@ def prior_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prior_day_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.prior_day_kpis(P.prior_day(_status(spark, sf_dir), MONTH_PAIRS))
+    return P.prior_day_kpis(P.prior_day(_status(spark, sf_dir), month_pairs(spark, sf_dir)))
 
 
 def prior_day_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    movers = P.prior_day_movers(P.prior_day(_status(spark, sf_dir), MONTH_PAIRS))
+    movers = P.prior_day_movers(P.prior_day(_status(spark, sf_dir), month_pairs(spark, sf_dir)))
     return T.doubles(
         movers.select("current_dt", "prior_dt", "rank", "portfolio_id", "risk_factor",
                       "usage_ratio_delta", "movement"),
@@ -66,12 +70,13 @@ def prior_day_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prior_day_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.duplicate_keys(_status(spark, sf_dir), MONTH_PAIRS)
+    return P.duplicate_keys(_status(spark, sf_dir), month_pairs(spark, sf_dir))
 
 
 def prior_day_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = _status(spark, sf_dir)
-    found = P.prior_day_findings(status, P.prior_day(status, MONTH_PAIRS), MONTH_PAIRS)
+    pairs = month_pairs(spark, sf_dir)
+    found = P.prior_day_findings(status, P.prior_day(status, pairs), pairs)
     return found.groupBy("current_dt", "prior_dt", "code", "severity").agg(F.count("*").alias("findings"))
 
 
@@ -104,7 +109,8 @@ _VISUAL = {
 
 _PAIRED = """
 months AS (SELECT strftime(d, '%Y%m%d') AS prior_dt, strftime(d + INTERVAL 1 MONTH, '%Y%m%d') AS current_dt
-  FROM (SELECT unnest(range(TIMESTAMP '1990-01-01', TIMESTAMP '2009-12-01', INTERVAL 1 MONTH)) AS d)),
+  FROM (SELECT unnest(range(CAST(date_trunc('month', min(o_orderdate)) AS TIMESTAMP),
+    CAST(date_trunc('month', max(o_orderdate)) AS TIMESTAMP), INTERVAL 1 MONTH)) AS d FROM orders)),
 rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY base_dt, pf_key, rf_key
     ORDER BY trim(portfolio_id), risk_factor, status, row_no) AS rn FROM status) WHERE rn = 1),
 cur AS (SELECT m.current_dt, m.prior_dt, r.* FROM rep r JOIN months m ON r.base_dt = m.current_dt),
@@ -201,7 +207,7 @@ def tmpl_duplicate_join_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _E = f"""WITH {T.EXPOSURES_SQL},{T.LIMITS_SQL},
-e AS (SELECT base_dt AS BASE_DT, desk_cd AS DESK_CD, pf_key AS PORTFOLIO_ID, rf_key AS RISK_FACTOR,
+e AS (SELECT base_dt AS BASE_DT, desk_cd AS DESK_CD, portfolio_id AS PORTFOLIO_ID, risk_factor AS RISK_FACTOR,
   exposure_amt AS EXPOSURE_AMT FROM exposures),
 l AS (SELECT base_dt AS BASE_DT, pf_key AS PORTFOLIO_ID, rf_key AS RISK_FACTOR, limit_amt AS LIMIT_AMT,
   use_yn AS USE_YN FROM limits)"""
@@ -229,9 +235,10 @@ _TEMPLATES = {
         CAST(l.LIMIT_AMT AS DOUBLE) AS LIMIT_AMT,
         round(abs(CAST(e.EXPOSURE_AMT AS DOUBLE)) / nullif(CAST(l.LIMIT_AMT AS DOUBLE), 0), 9) AS USAGE_RATIO
       FROM e JOIN l USING (BASE_DT, PORTFOLIO_ID, RISK_FACTOR) WHERE e.BASE_DT = '19960101' AND l.USE_YN = 'Y'""",
-    "tmpl_exposure_delta": f"""{_E} SELECT c.PORTFOLIO_ID, c.RISK_FACTOR, CAST(c.EXPOSURE_AMT AS DOUBLE) AS CURRENT_EXPOSURE_AMT,
-        CAST(p.EXPOSURE_AMT AS DOUBLE) AS PRIOR_EXPOSURE_AMT, CAST(c.EXPOSURE_AMT - p.EXPOSURE_AMT AS DOUBLE) AS EXPOSURE_DELTA
-      FROM e c JOIN e p ON c.PORTFOLIO_ID = p.PORTFOLIO_ID AND c.RISK_FACTOR = p.RISK_FACTOR
+    "tmpl_exposure_delta": f"""{_E}, sums AS (SELECT BASE_DT, PORTFOLIO_ID, RISK_FACTOR, sum(EXPOSURE_AMT) AS x FROM e GROUP BY ALL)
+      SELECT c.PORTFOLIO_ID, c.RISK_FACTOR, CAST(c.x AS DOUBLE) AS CURRENT_EXPOSURE_AMT,
+        CAST(p.x AS DOUBLE) AS PRIOR_EXPOSURE_AMT, CAST(c.x - p.x AS DOUBLE) AS EXPOSURE_DELTA
+      FROM sums c JOIN sums p ON c.PORTFOLIO_ID = p.PORTFOLIO_ID AND c.RISK_FACTOR = p.RISK_FACTOR
       WHERE c.BASE_DT = '19960101' AND p.BASE_DT = '19951201'""",
     "tmpl_duplicate_join_keys": f"""{_E} SELECT BASE_DT, PORTFOLIO_ID, RISK_FACTOR, count(*) AS ROW_COUNT FROM l
       WHERE BASE_DT = '19960101' GROUP BY ALL HAVING count(*) > 1""",

@@ -7,6 +7,8 @@ driver tables.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -53,12 +55,12 @@ def _portfolio(nation: Column) -> Column:
 
 
 def exposures(spark: SparkSession, sf_dir: str, months: tuple[str, ...] = ()) -> DataFrame:
-    """One exposure per order that is not pending.
+    """One exposure per order.
 
     Finished orders are short positions; urgent low-value orders carry no usable amount.
     Portfolio and factor spellings vary in case and white space.
     """
-    rows = orders_by_nation(spark, sf_dir, months).filter(F.col("o_orderstatus") != "P")
+    rows = orders_by_nation(spark, sf_dir, months)
     price = F.col("o_totalprice").cast("decimal(18,2)")
     signed = F.when(F.col("o_orderstatus") == "F", -price).otherwise(price)
     odd = F.col("c_mktsegment") == "MACHINERY"
@@ -94,14 +96,14 @@ exposures AS (
          WHEN o_orderstatus = 'F' THEN -CAST(o_totalprice AS DECIMAL(18,2))
          ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS exposure_amt,
     o_orderkey AS row_no
-  FROM ordernation WHERE o_orderstatus <> 'P')"""
+  FROM ordernation)"""
 
 
 def limits(spark: SparkSession, sf_dir: str, months: tuple[str, ...] = ()) -> DataFrame:
-    """A limit per (month, nation, priority) with orders of any status.
+    """A limit per (month, nation, priority) with orders.
 
-    Keys with pending orders only have a limit but no exposure; nation 12 has no limits,
-    nation 7 has each limit twice, nations 8 to 10 have unusable ones.
+    Beside each limit of the lowest priority stands a reserve that no exposure uses; nation 12
+    has no limits, nation 7 has each limit twice, nations 8 to 10 have unusable ones.
     """
     keys = (
         orders_by_nation(spark, sf_dir, months)
@@ -112,20 +114,22 @@ def limits(spark: SparkSession, sf_dir: str, months: tuple[str, ...] = ()) -> Da
         )
         .filter("c_nationkey <> 12")
     )
-    nation = F.col("c_nationkey")
-    level = nation * 7 + F.substring("o_orderpriority", 1, 1).cast("int") * 3
+    nation, lowest = F.col("c_nationkey"), F.col("o_orderpriority") == "5-LOW"
+    factors = F.when(lowest, F.array("o_orderpriority", F.lit("6-RESERVE"))).otherwise(F.array("o_orderpriority"))
+    keys = keys.withColumn("factor", F.explode(factors))
+    level = nation * 7 + F.substring("factor", 1, 1).cast("int") * 3
     amount = F.lit(60000) * (1 + level % 5)
     amount = F.when(nation == 8, 0).otherwise(amount)
     copies = F.when(nation == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return keys.withColumn("copy", F.explode(copies)).select(
         F.col("base_dt").alias("BASE_DT"),
         _portfolio(nation).alias("PORTFOLIO_ID"),
-        F.col("o_orderpriority").alias("RISK_FACTOR"),
+        F.col("factor").alias("RISK_FACTOR"),
         F.when(nation == 9, "unlimited").otherwise((amount + F.col("copy")).cast("string")).alias("LIMIT_AMT"),
         F.when(nation == 10, "N").when(nation == 11, "y").otherwise("Y").alias("USE_YN"),
         F.when(F.col("segment") == "BUILDING", "USD").otherwise("krw").alias("CCY_CD"),
         F.lit("KRW").alias("UNIT_CD"),
-        (F.col("row_no") * 2 + F.col("copy")).alias("ROW_NO"),
+        (F.col("row_no") * 4 + F.when(F.col("factor") == "6-RESERVE", 2).otherwise(0) + F.col("copy")).alias("ROW_NO"),
     )
 
 
@@ -134,15 +138,16 @@ limitkeys AS (
   SELECT base_dt, c_nationkey, o_orderpriority, max(c_mktsegment) AS segment, min(o_orderkey) AS row_no
   FROM ordernation WHERE c_nationkey <> 12 GROUP BY ALL),
 limits AS (
-  SELECT base_dt, 'PF_' || c_nationkey AS pf_key, o_orderpriority AS rf_key,
+  SELECT base_dt, 'PF_' || c_nationkey AS pf_key, factor AS rf_key,
     CASE WHEN c_nationkey = 9 THEN NULL ELSE CAST(
       (CASE WHEN c_nationkey = 8 THEN 0 ELSE
-        60000 * (1 + (c_nationkey * 7 + CAST(left(o_orderpriority, 1) AS INTEGER) * 3) % 5) END)
+        60000 * (1 + (c_nationkey * 7 + CAST(left(factor, 1) AS INTEGER) * 3) % 5) END)
       + copy AS DECIMAL(22,4)) END AS limit_amt,
-    CASE WHEN c_nationkey = 10 THEN 'N' ELSE 'Y' END AS use_yn,
+    CASE c_nationkey WHEN 10 THEN 'N' WHEN 11 THEN 'y' ELSE 'Y' END AS use_yn,
     CASE WHEN segment = 'BUILDING' THEN 'USD' ELSE 'KRW' END AS ccy_cd,
-    'KRW' AS unit_cd, row_no * 2 + copy AS row_no
-  FROM limitkeys, LATERAL (SELECT unnest(CASE WHEN c_nationkey = 7 THEN [0, 1] ELSE [0] END) AS copy))"""
+    'KRW' AS unit_cd, row_no * 4 + CASE factor WHEN '6-RESERVE' THEN 2 ELSE 0 END + copy AS row_no
+  FROM limitkeys, LATERAL (SELECT unnest(CASE WHEN o_orderpriority = '5-LOW' THEN [o_orderpriority, '6-RESERVE']
+      ELSE [o_orderpriority] END) AS factor), LATERAL (SELECT unnest(CASE WHEN c_nationkey = 7 THEN [0, 1] ELSE [0] END) AS copy))"""
 
 # Status of every exposure row, as SQL.
 STATUS_SQL = f"""{EXPOSURES_SQL},{LIMITS_SQL},
@@ -181,6 +186,34 @@ def limit_inputs(
     )
 
 
+def edge_inputs(spark: SparkSession, sf_dir: str) -> LimitInputs:
+    """A limit per line item, and a position at 90 % or 100 % of it or a millionth beside that."""
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    share = F.when(F.col("l_linenumber") % 2 == 0, Decimal("0.9")).otherwise(Decimal("1.0"))
+    step = F.when(F.col("l_orderkey") % 3 == 0, Decimal("-0.000001")).when(
+        F.col("l_orderkey") % 3 == 1, Decimal("0.000000")).otherwise(Decimal("0.000001"))
+    items = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.date_format("l_shipdate", "yyyyMM"), F.lit("01")).alias("BASE_DT"),
+        F.col("l_orderkey").cast("string").alias("PORTFOLIO_ID"),
+        F.col("l_linenumber").cast("string").alias("RISK_FACTOR"),
+        ((price * share).cast("decimal(24,6)") + step).cast("string").alias("EXPOSURE_AMT"),
+        price.cast("string").alias("LIMIT_AMT"), F.lit("Y").alias("USE_YN"),
+    )
+    return bind(items.drop("LIMIT_AMT", "USE_YN"), items.drop("EXPOSURE_AMT"), None, ColumnMapping())
+
+
+EDGES_SQL = """
+edges AS (
+  SELECT strftime(l_shipdate, '%Y%m') || '01' AS base_dt, CAST(l_orderkey AS VARCHAR) AS portfolio_id,
+    CAST(l_linenumber AS VARCHAR) AS risk_factor, CAST(l_extendedprice AS DECIMAL(18,2)) AS l,
+    CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CASE WHEN l_linenumber % 2 = 0 THEN 0.9 ELSE 1.0 END AS DECIMAL(24,6))
+      + CASE l_orderkey % 3 WHEN 0 THEN -0.000001 WHEN 1 THEN 0.000000 ELSE 0.000001 END AS e FROM lineitem),
+edge_status AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY base_dt, portfolio_id, risk_factor) > 1 THEN 'DUPLICATE_LIMIT'
+    WHEN l <= 0 THEN 'INVALID_LIMIT' WHEN abs(e) > l THEN 'BREACH' WHEN abs(e) * 10 >= l * 9 THEN 'WARNING'
+    ELSE 'NORMAL' END AS status FROM edges)"""
+
+
 def doubles(df: DataFrame, *names: str, places: int | None = None) -> DataFrame:
     """Decimals as doubles, so both engines return the same type."""
     return df.withColumns({

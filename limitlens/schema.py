@@ -46,10 +46,11 @@ SEVERITY_RANK = {name: rank for rank, name in enumerate(SEVERITIES)}
 # --- fixed values: movement classes of the two-date comparison -----------------------------
 MOVEMENTS = ("New", "Resolved", "StateTransition", "Increased", "Decreased", "Unchanged")
 
-# decimal(22,4) / decimal(22,4) keeps 16 decimals in Spark; wider inputs lose them.
-AMOUNT = T.DecimalType(22, 4)
+# 28 integer digits and ten decimals. Arithmetic on the full width drops decimals in Spark:
+# ``functions.numbers`` compares, subtracts and divides amounts without that.
+AMOUNT = T.DecimalType(38, 10)
 RATIO = T.DecimalType(38, 16)
-REMAINING = T.DecimalType(23, 4)
+REMAINING = AMOUNT
 
 STATUS_COLUMNS = (
     "base_dt", "desk_cd", "portfolio_id", "product_type", "risk_factor", "ccy_cd",

@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 
 from limitlens import schema as S
 from limitlens.functions.dates import BaseDate
-from limitlens.operators import limits as L, reconcile as R, report
+from limitlens.operators import limits as L, reconcile as R, report, templates as M
 from limitlens.plans import joins
 from limitlens.plans.expand import expand_counts
 from limitlens.sources.mapping import DEFAULT_NAMES, ColumnMapping
 from tests.helpers import DAY, EXPOSURE, LIMIT, Run, exposures, limits, table
 
 SAMPLE_EXPOSURES = [
-    ("20260617", "EQD", "PF_EQ_001", "ELS", "KOSPI200", "KRW", "1250000000"),
-    ("20260617", "EQD", "PF_EQ_002", "ELS", "HSCEI", "HKD", "850000000"),
-    ("20260617", "FICC", "PF_FI_001", "DLS", "KRW_IRS_5Y", "KRW", "-420000000"),
-    ("20260617", "FICC", "PF_FX_001", "FX_SWAP", "USD/KRW", "USD", "650000000"),
-    ("20260617", "FICC", "PF_CR_001", "DLS", "KR_CREDIT_A", "KRW", "310000000"),
-    ("20260616", "EQD", "PF_EQ_001", "ELS", "KOSPI200", "KRW", "1190000000"),
+    (DAY, "RATES", "BOOK-1", "SWAP", "EUR-10Y", "EUR", "700"),
+    (DAY, "RATES", "BOOK-2", "SWAP", "USD-2Y", "USD", "455"),
+    (DAY, "EQUITY", "BOOK-3", "OPTION", "DAX", "EUR", "-240"),
+    (DAY, "EQUITY", "BOOK-4", "FUTURE", "NIKKEI", "JPY", "9300"),
+    (DAY, "CREDIT", "BOOK-5", "CDS", "ITRAXX", "EUR", "81.5"),
+    ("20260616", "RATES", "BOOK-1", "SWAP", "EUR-10Y", "EUR", "650"),
 ]
 SAMPLE_LIMITS = [
-    ("20260617", "PF_EQ_001", "KOSPI200", "1500000000", "Y"),
-    ("20260617", "PF_EQ_002", "HSCEI", "900000000", "Y"),
-    ("20260617", "PF_FI_001", "KRW_IRS_5Y", "500000000", "Y"),
-    ("20260617", "PF_FX_001", "USD/KRW", "700000000", "Y"),
-    ("20260617", "PF_CR_001", "KR_CREDIT_A", "300000000", "Y"),
+    (DAY, "BOOK-1", "EUR-10Y", "1000", "Y"),
+    (DAY, "BOOK-2", "USD-2Y", "500", "Y"),
+    (DAY, "BOOK-3", "DAX", "320", "Y"),
+    (DAY, "BOOK-4", "NIKKEI", "10000", "Y"),
+    (DAY, "BOOK-5", "ITRAXX", "80", "Y"),
 ]
 
 
@@ -35,8 +35,8 @@ def test_sample_tables(spark):
     rows = {r["portfolio_id"]: r for r in run.status.collect()}
     assert len(rows) == 5
     assert sorted(r["status"] for r in rows.values()) == ["BREACH", "NORMAL", "NORMAL", "WARNING", "WARNING"]
-    assert rows["PF_FI_001"]["exposure_amt"] == -420_000_000
-    assert rows["PF_FI_001"]["usage_ratio"] == Decimal("0.84")
+    assert rows["BOOK-3"]["exposure_amt"] == -240
+    assert rows["BOOK-3"]["usage_ratio"] == Decimal("0.75")
     assert run.result() == "PASS"
     summary = run.summary()
     assert list(S.RECON_CODES) == [r["code"] for r in sorted(summary.values(), key=lambda r: r["check_order"])]
@@ -77,6 +77,45 @@ def test_boundaries(spark):
     assert run.states() == {"A": "NORMAL", "B": "WARNING", "C": "WARNING", "D": "BREACH"}
 
 
+def test_amounts_are_compared_as_given(spark):
+    whole = "1234567890123456789012345"
+    rows = [
+        ("A", "100.00004", 100, "BREACH"), ("B", "0.899996", 1, "NORMAL"), ("C", "0.9000000001", 1, "WARNING"),
+        ("D", "0.8999999999", 1, "NORMAL"), ("E", whole, whole, "WARNING"), ("F", whole, whole[:-1] + "4", "BREACH"),
+        ("G", "9" * 28, "9" * 28, "WARNING"), ("H", "8" * 28, "9" * 28, "NORMAL"), ("I", "0.0000000002", "0.0000000001", "BREACH"),
+        ("J", "1" + "0" * 28, 1, "MAPPING_ERROR"),
+    ]
+    run = Run(exposures(spark, [(p, "F", e) for p, e, _, _ in rows]), limits(spark, [(p, "F", l) for p, _, l, _ in rows]))
+    assert run.states() == {p: s for p, _, _, s in rows}
+    found = {r["portfolio_id"]: r for r in run.status.collect()}
+    assert found["B"]["usage_ratio"] == Decimal("0.899996") and found["B"]["remaining_limit"] == Decimal("0.100004")
+    assert found["F"]["remaining_limit"] == -1 and found["I"]["usage_ratio"] == 2
+    assert found["D"]["remaining_limit"] == Decimal("0.1000000001")
+
+
+def test_reports_compare_ids_and_flags_as_spelled(spark):
+    inputs = L.bind(
+        exposures(spark, [("p", "F", 10), ("P", "F", 5), ("P", "F", "4.00004"), ("q", "F", 1)]),
+        limits(spark, [("p", "F", 100, "y"), ("P", "F", 10), ("q", "F", 0)]), [DAY],
+    )
+    prepared = M.prepared(inputs)
+    usage = {r["PORTFOLIO_ID"]: r for r in M.limit_usage(*prepared, DAY).collect()}
+    assert {p: r["LIMIT_STATUS"] for p, r in usage.items()} == {"p": "NO_LIMIT", "P": "WARNING", "q": "BREACH"}
+    assert usage["P"]["EXPOSURE_AMT"] == Decimal("9.00004") and usage["q"]["LIMIT_USAGE_RATE"] is None
+    rows = M.usage_ratio(*prepared, DAY).collect()
+    assert sorted((r["PORTFOLIO_ID"], r["USAGE_RATIO"]) for r in rows if r["USAGE_RATIO"] is not None) == [
+        ("P", Decimal("0.400004")), ("P", Decimal("0.5"))
+    ]
+    assert {r["PORTFOLIO_ID"] for r in M.unmapped(*prepared, DAY).collect()} == {"p"}
+
+
+def test_exposure_delta_has_a_row_per_key(spark):
+    rows = [("A", "F", 1), ("A", "F", 2), ("A", "F", 5, "20260616"), ("A", "F", 7, "20260616"), ("B", "F", 1)]
+    prepared = M.prepared(L.bind(exposures(spark, rows), limits(spark, [("A", "F", 1)]), [DAY, "20260616"]))[0]
+    found = M.exposure_delta(prepared, DAY, "20260616").collect()
+    assert [tuple(map(float, r[2:])) for r in found] == [(3.0, 12.0, -9.0)]
+
+
 def test_date_formats(spark):
     exposure, limit = exposures(spark, [("A", "F", 1)]), limits(spark, [("A", "F", 10)])
     run = Run(exposure, limit, "2026-06-17")

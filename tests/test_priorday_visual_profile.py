@@ -196,6 +196,12 @@ def test_profile_small(spark):
     assert F.profile_table(F.profile(df, "BASE_DT")).filter("section = 'Numeric' and metric = 'Sum' and name = 'AMT'").count() == 1
 
 
+def test_profile_of_tiny_values(spark):
+    df = frame(spark, ["AMT"], [("1e-9",), ("0.000000002",), ("3e-9",), ("4e-9",)])
+    found = numeric(df)["AMT"]
+    assert (found["sum"], found["min"], found["max"]) == (Decimal("1E-8"), Decimal("1E-9"), Decimal("4E-9"))
+
+
 @pytest.mark.parametrize("values, outliers", [
     ([0] * 10 + [1000], 1), ([10**15] * 9 + [10**15 + 1], 1), ([1, 2, 1000], 0), ([5, 5, 5, 5], 0),
 ])
