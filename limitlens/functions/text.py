@@ -169,9 +169,13 @@ def delimiter_tokens(value: Text) -> Column:
         F.transform(F.split(_c(value), r"[ \t\r\n,.;:/\\|()\[\]]+"), trim_ws),
         lambda t: F.length(t) > 0,
     )
-    folded = F.transform(pieces, F.upper)
-    return F.filter(
-        pieces, lambda t, i: F.array_position(folded, F.upper(t)) == i + 1
+    # Equal spellings become neighbours; the lambda variable holds the sorted list once.
+    ranked = F.array_sort(F.transform(pieces, lambda t, i: F.struct(F.upper(t).alias("key"), i.alias("at"), t.alias("piece"))))
+    first = F.transform(F.array(ranked), lambda s: F.filter(
+        s, lambda t, i: ~F.get(s, i - 1)["key"].eqNullSafe(t["key"])
+    ))[0]
+    return F.transform(
+        F.array_sort(F.transform(first, lambda t: F.struct(t["at"], t["piece"]))), lambda t: t["piece"]
     )
 
 

@@ -108,6 +108,18 @@ def corpus_guard(spark: SparkSession, root: str, allowed: Sequence[str] = ()) ->
 
     Text files are read by line, so large ones are split over tasks; no token spans lines.
     """
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    globs = "{" + ",".join("*" + _any_case(s) for s in TEXT_SUFFIXES) + "}"
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", globs).text(root)
+    return guarded(
+        names.select(relative_path(root, F.col("path")).alias("path")),
+        lines.select(relative_path(root, F.col("_metadata.file_path")).alias("path"), "value"),
+        allowed,
+    )
+
+
+def guarded(paths: DataFrame, lines: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
+    """The guard over a table of paths and one of lines (``path``, ``value``) of text files."""
     def listed(df: DataFrame) -> DataFrame:
         keep = ~fold("path").isin([a.upper() for a in allowed]) if allowed else F.lit(True)
         return df.filter(keep)
@@ -118,15 +130,7 @@ def corpus_guard(spark: SparkSession, root: str, allowed: Sequence[str] = ()) ->
             found = found | contains_ignore_case(value, token)
         return found
 
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    by_name = listed(names.select(relative_path(root, F.col("path")).alias("path"))).filter(
-        any_of(F.col("path"), NAME_TOKENS)
-    )
-    globs = "{" + ",".join("*" + _any_case(s) for s in TEXT_SUFFIXES) + "}"
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", globs).text(root)
-        .select("value", relative_path(root, F.col("_metadata.file_path")).alias("path"))
-    )
+    by_name = listed(paths.select("path")).filter(any_of(F.col("path"), NAME_TOKENS))
     by_content = listed(lines).filter(any_of(F.col("value"), CONTENT_TOKENS)).select("path")
     return by_name.union(by_content).distinct().select(
         F.lit("KB_FORBIDDEN_SOURCE_TEXT").alias("code"), F.lit("Blocker").alias("severity"), "path"

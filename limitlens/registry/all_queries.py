@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from limitlens.registry import limit_queries, profile_queries, report_queries, table_queries, text_queries
+from limitlens.registry import limit_queries, profile_queries, report_queries, source_queries, table_queries, text_queries
 
-_MODULES = (limit_queries, report_queries, profile_queries, text_queries, table_queries)
+_MODULES = (limit_queries, report_queries, profile_queries, text_queries, table_queries, source_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -11,6 +11,7 @@ from limitlens.functions.text import clean, is_blank
 from limitlens.operators.search import CATALOG_FIELDS, catalog_entries, clause_ids
 from limitlens.plans.joins import lookup_join
 from limitlens.plans.local import local_table
+from limitlens.plans.reuse import materialized
 from limitlens.sources.tables import CORRUPT, ROW_NO, TableError
 
 # Required catalog fields and the metadata that should be filled.
@@ -111,7 +112,8 @@ def load_clause_pack(table: DataFrame) -> ClausePack:
     """Clauses of a pack; any finding rejects the whole pack.
 
     The first row of a (source, reference, version) counts. A later row with the same text
-    is dropped, one with another text is a finding.
+    is dropped, one with another text is a finding. Without a row order the smallest text hash
+    counts as first. The graded rows are written once, so all parts see the same row order.
     """
     present = {c.lower() for c in table.columns}
     missing = [c for c in CLAUSE_COLUMNS if c not in present]
@@ -126,15 +128,15 @@ def load_clause_pack(table: DataFrame) -> ClausePack:
         F.when(is_blank("clause_text" if c == "clause_body" else c), F.lit(c)) for c in CLAUSE_VALUES
     ])
     skipped = F.when(F.col("too_many"), F.lit("TOO_MANY_FIELDS")).otherwise(first_blank)
-    graded = clause_ids(rows.withColumn("skipped", skipped))
+    graded = materialized(clause_ids(rows.withColumn("skipped", skipped)))
     good = graded.filter(F.col("skipped").isNull())
 
     # First row per key by row order alone; texts are compared through their hash.
     first = good.groupBy(*NATURAL_KEY).agg(
-        F.min(F.struct("_row_no", "source_text_hash")).alias("first")
+        F.min(F.struct("_row_no", "source_text_hash", "effective_date", "repeal_date")).alias("first")
     )
     marked = lookup_join(good, first, NATURAL_KEY, "inner")
-    is_first = F.col("_row_no") == F.col("first._row_no")
+    is_first = F.struct("_row_no", "source_text_hash", "effective_date", "repeal_date") == F.col("first")
     conflict = F.col("source_text_hash") != F.col("first.source_text_hash")
     findings = graded.filter(F.col("skipped").isNotNull()).select(
         F.lit("KB_CLAUSE_PACK_ROW_SKIPPED").alias("code"), F.col("skipped").alias("detail")
@@ -144,6 +146,8 @@ def load_clause_pack(table: DataFrame) -> ClausePack:
     ))
     accepted = findings.agg(F.count("*").alias("n")).scalar() == 0
     clauses = marked.filter(is_first & accepted).drop("first", "skipped", "too_many", "_row_no")
+    if ROW_NO not in table.columns:
+        clauses = clauses.dropDuplicates(list(NATURAL_KEY))  # rows that are equal throughout
     return ClausePack(clauses, findings)
 
 

@@ -60,6 +60,18 @@ def read_rule_sets(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("*", F.col("_metadata.file_path").alias("file"))
 
 
+def parse_rule_sets(documents: DataFrame) -> DataFrame:
+    """The same rows from a table of ``file`` and ``content``, one JSON document each.
+
+    A null or empty document is an unreadable one.
+    """
+    schema = T.StructType([*RULE_SET.fields, T.StructField("_corrupt_record", _TEXT)])
+    options = {"mode": "PERMISSIVE", "allowComments": "true", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = documents.select("file", "content", F.from_json("content", schema, options).alias("r"))
+    broken = F.when(F.col("r").isNull(), F.coalesce("content", F.lit(""))).otherwise(F.col("r._corrupt_record"))
+    return parsed.select(*[F.col(f"r.{f.name}") for f in RULE_SET.fields], broken.alias("_corrupt_record"), "file")
+
+
 def _missing(field: str) -> Column:
     return S.finding("NCR_RULESET_REQUIRED_FIELD_MISSING", "Medium", field)
 

@@ -15,12 +15,16 @@ def _file_name() -> Column:
 
 def read_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rules table of a folder of rule files."""
-    pairs = [F.lit(x) for item in R.RULE_FILES.items() for x in item]
-    lines = spark.read.text(folder).select(
-        _file_name().alias("file"),
-        clean("value").alias("line"),
+    return rules_of_lines(spark.read.text(folder).select(
+        _file_name().alias("file"), "value",
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
-    )
+    ))
+
+
+def rules_of_lines(lines: DataFrame) -> DataFrame:
+    """Rules table of lines: ``file`` (its name), ``value`` and ``at``, the order within a file."""
+    pairs = [F.lit(x) for item in R.RULE_FILES.items() for x in item]
+    lines = lines.select("file", clean("value").alias("line"), "at")
     active = lines.filter((F.col("line") != "") & ~F.startswith("line", F.lit("#"))).withColumn(
         "file_group", F.create_map(*pairs)[F.col("file")]
     ).filter(F.col("file_group").isNotNull())
@@ -40,11 +44,15 @@ def rule_version(spark: SparkSession, folder: str) -> DataFrame:
     One row; the files are the handful named in ``rules.RULE_FILES``. Scans skip files of no
     bytes, so a file not seen counts as empty.
     """
-    expected = local_table(spark, [(name,) for name in R.RULE_FILES], "file string")
-    found = spark.read.format("binaryFile").load(folder).select(
-        _file_name().alias("file"),
-        F.regexp_replace(F.col("content").cast("string"), "\\A\ufeff", "").alias("content"),
-    )
+    return version_of(spark.read.format("binaryFile").load(folder).select(
+        _file_name().alias("file"), F.col("content").cast("string").alias("content")
+    ))
+
+
+def version_of(contents: DataFrame) -> DataFrame:
+    """Version of rule files given as ``file`` (its name) and ``content``."""
+    expected = local_table(contents.sparkSession, [(name,) for name in R.RULE_FILES], "file string")
+    found = contents.select("file", F.regexp_replace("content", "\\A\ufeff", "").alias("content"))
     files = expected.join(found, "file", "left").withColumn("content", F.coalesce("content", F.lit("")))
     ordered = F.array_sort(F.collect_list(F.struct(fold("file").alias("key"), "file", "content")))
     joined = F.array_join(

@@ -30,10 +30,12 @@ def check_header(names: list[str]) -> list[str]:
 
 
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """Whether each file below ``path`` is valid UTF-8, decided line by line in parallel."""
+    """Whether each file below ``path`` is valid UTF-8 and whether it is plain ASCII, decided
+    line by line in parallel."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     return lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("valid_utf8")
+        F.bool_and(F.is_valid_utf8("value")).alias("valid_utf8"),
+        F.bool_and(~F.col("value").rlike(r"[^\x00-\x7F]")).alias("ascii"),
     )
 
 
@@ -41,14 +43,14 @@ def _charset(spark: SparkSession, path: str, encoding: str) -> str:
     if encoding == CP949:
         return CP949
     verdict = file_encodings(spark, path).agg(
-        F.count_if("valid_utf8").alias("good"), F.count_if(~F.col("valid_utf8")).alias("bad")
+        F.count_if(F.col("valid_utf8") & ~F.col("ascii")).alias("good"), F.count_if(~F.col("valid_utf8")).alias("bad")
     ).first()
     if encoding == UTF8:
         if verdict["bad"]:
             raise TableError("the file is not valid UTF-8")
         return UTF8
     if verdict["bad"] and verdict["good"]:
-        # Pure ASCII files read alike in both; a folder must not mix real encodings.
+        # ASCII files read alike in both and count for neither; a folder must not mix the two.
         raise TableError("the folder mixes encodings; read it in parts with an explicit encoding")
     return CP949 if verdict["bad"] else UTF8
 
@@ -61,6 +63,8 @@ def _options(spark: SparkSession, charset: str) -> dict[str, str]:
         # Ragged rows are only seen when all columns are parsed.
         "columnPruning": "false", "columnNameOfCorruptRecord": CORRUPT,
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+        # The header of every file is compared with the first one's; another order is an error.
+        "enforceSchema": "false",
     }
     if charset == CP949:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -73,7 +77,7 @@ def read_table(spark: SparkSession, path: str, encoding: str = AUTO) -> DataFram
 
     All columns are text, values as written. ``_corrupt_record`` holds the line of a ragged
     row (missing fields are empty, extra ones dropped), ``_row_no`` orders the rows. Blank
-    rows are left out. ``auto`` and ``utf8`` check the bytes first, in one pass; pass
+    rows are left out. A file whose header differs from the first one's stops the job. ``auto`` and ``utf8`` check the bytes first, in one pass; pass
     ``cp949`` or use ``read_checked`` for input whose encoding is known.
     """
     if encoding not in (AUTO, UTF8, CP949):
@@ -88,11 +92,12 @@ def read_checked(spark: SparkSession, path: str) -> DataFrame:
 
 def _scan(spark: SparkSession, path: str, charset: str) -> DataFrame:
     options = _options(spark, charset)
-    header = _header(spark, path, charset)
-    fields = [T.StructField(n, T.StringType()) for n in header]
+    written = _header(spark, path, charset)
+    header = check_header(written)
+    fields = [T.StructField(n, T.StringType()) for n in written]
     schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
     raw = spark.read.options(**options).schema(schema).csv(path)
-    values = [F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in header]
+    values = [F.coalesce(F.col(f"`{n.replace('`', '``')}`"), F.lit("")) for n in written]
     if charset == CP949:
         values = [_strict(v) for v in values]
     rows = raw.select(
@@ -126,14 +131,15 @@ def _strict(value: Column) -> Column:
 
 
 def _header(spark: SparkSession, path: str, charset: str) -> list[str]:
-    """Header of the first file that has one, read by a scan that stops at the first line."""
+    """Header, as written, of the first file that has one, read by a scan that stops at the
+    first line."""
     reader = spark.read.option("header", "false").option("quote", "\u0000").option("sep", "\u0001")
     if charset == CP949:
         reader = reader.option("encoding", "MS949")
     first = reader.schema("line string").csv(path).filter(F.length(clean("line")) > 0).first()
     if first is None:
         raise TableError("the file has no header")
-    return check_header(next(csv.reader(io.StringIO(first["line"]))))
+    return next(csv.reader(io.StringIO(first["line"].lstrip("\ufeff"))))
 
 
 def write_standard(df: DataFrame, path: str, partition: str, mode: str = "append") -> None:

@@ -65,6 +65,35 @@ def test_encodings(spark, tmp_path):
         S.read_table(spark, utf8, "latin1")
 
 
+def test_header_of_every_file(spark, tmp_path):
+    write(tmp_path / "a.csv", "A,B\n1,2\n")
+    write(tmp_path / "b.csv", "A,B\n3,4\n")
+    assert sorted(rows(S.read_table(spark, str(tmp_path)))) == [("1", "2"), ("3", "4")]
+    write(tmp_path / "c.csv", "B,A\n5,6\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        S.read_table(spark, str(tmp_path)).collect()
+
+
+def test_ascii_files_fit_either_encoding(spark, tmp_path):
+    for folder, encoding in (("x", "cp949"), ("y", "utf-8")):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder / "a.csv", "A,B\nplain,1\n")
+        write(tmp_path / folder / "b.csv", "A,B\n한도,2\n", encoding)
+        assert sorted(rows(S.read_table(spark, str(tmp_path / folder)))) == [("plain", "1"), ("한도", "2")]
+    write(tmp_path / "y" / "c.csv", "A,B\n한도,3\n", "cp949")
+    with pytest.raises(S.TableError):
+        S.read_table(spark, str(tmp_path / "y"))
+
+
+def test_clause_pack_without_row_order(spark):
+    def pack(*texts):
+        return G.load_clause_pack(spark.createDataFrame(
+            [("R1", t, "S", "2026-01-01", "", "p") for t in texts], list(G.CLAUSE_COLUMNS)))
+
+    assert pack("one", "one", "one").clauses.count() == 1
+    assert pack("one", "two").clauses.count() == 0 and pack("one", "two").findings.count() == 1
+
+
 def test_standard_layout_prunes_partitions(spark, tmp_path):
     text = "BASE_DT,PORTFOLIO_ID,RISK_FACTOR,EXPOSURE_AMT\n" + "".join(
         f" 2026061{d} ,P{i},F,{i}\n" for d in range(3) for i in range(4))

@@ -55,6 +55,7 @@ def test_tokenizers(spark):
     assert values(spark, [" a  b\tc "], X.space_tokens("t")) == [["a", "b\tc"]]
     assert X.query_space_terms(" a  b\tc ") == ["a", "b\tc"]
     assert values(spark, ["a,B;(b) a/c"], X.delimiter_tokens("t")) == [["a", "B", "c"]]
+    assert values(spark, ["", None, "z b Z a B z"], X.delimiter_tokens("t")) == [[], None, ["z", "b", "a"]]
     assert X.query_delimiter_terms("a,B;(b) a/c") == ["a", "B", "c"]
 
 
