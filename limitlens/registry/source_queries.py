@@ -367,7 +367,7 @@ SQL = {
       "'kb/' || doc_id || CASE lang WHEN 'de' THEN '_Full_Text.md' ELSE '.md' END AS path FROM documents "
       "WHERE lang IN ('de', 'fr') AND text IS NOT NULL OR lang = 'de'"
       + "".join(f" OR contains(upper(text), '{t.upper()}')" for t in M.CONTENT_TOKENS),
-    "missing_exposure_column": f"""WITH {T.EXPOSURES_SQL},{T.LIMITS_SQL} SELECT base_dt, 'MAPPING_ERROR' AS status, 1 AS n
+    "missing_exposure_column": f"""WITH {T.EXPOSURES_SQL},{T.LIMITS_SQL} SELECT base_dt, 'MAPPING_ERROR' AS status, CAST(1 AS BIGINT) AS n
       FROM (SELECT base_dt FROM exposures UNION SELECT base_dt FROM limits)""",
     "missing_limit_column": f"""WITH {T.EXPOSURES_SQL} SELECT base_dt, 'MAPPING_ERROR' AS status, count(*) AS n
       FROM exposures GROUP BY base_dt""",
