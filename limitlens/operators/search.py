@@ -240,11 +240,13 @@ def clause_search(
     """Best ``k`` clauses per query valid on a date, with catalog metadata and gated snippet.
 
     A query longer than 32 characters must occur as a whole in the text or the reference.
+    ``search_date`` is the date used; ``search_date_valid`` is false where ``as_of`` was not
+    usable and today's date stands in for it.
     """
     asked = as_queries(queries)
     if not asked:
         raise ValueError("no query given")
-    day, _ = search_date(as_of)
+    day, usable = search_date(as_of)
 
     def points(query: Query, folded: Callable[[str], Column]) -> Column:
         total = score(query.text, query_word_terms(query.text), CLAUSE_WEIGHTS, CLAUSE_TERM_WEIGHTS, folded)
@@ -266,7 +268,9 @@ def clause_search(
     # At most k rows per query; written so that the clauses are scored once, not once more
     # to find the catalog entries the hits name.
     best = materialized(top_n_per_group(hits, ["query_id"], order, max(1, k)))
-    return _with_catalog(best, entries).withColumn("search_date", F.lit(day.isoformat()))
+    return _with_catalog(best, entries).withColumns({
+        "search_date": F.lit(day.isoformat()), "search_date_valid": F.lit(usable),
+    })
 
 
 def _with_catalog(best: DataFrame, entries: DataFrame) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limitlens.plans.joins import row_bucket
 
-# Spark prunes ranks up to this on the map side (spark.sql.optimizer.windowGroupLimitThreshold).
-_PRUNED = 1000
-_BUCKETS = 64
+# Up to this rank Spark prunes on the map side.
+_PRUNED = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_n_per_group(
@@ -19,13 +18,15 @@ def top_n_per_group(
     """The first ``n`` rows of each group with their 1-based rank.
 
     For n up to the threshold Spark's window group limit keeps n rows per group and map
-    task before the shuffle. Above it the group is first cut within hashed buckets, which
-    keeps every row that can be among the first n.
+    task before the shuffle. Above it (or where the session switches that off) the group is
+    first cut within hashed buckets, as many as there are shuffle partitions, which keeps
+    every row that can be among the first n.
     """
     n = max(0, n)
     source = df
-    if n > _PRUNED:
-        bucket = row_bucket(df, _BUCKETS)
+    conf = df.sparkSession.conf
+    if n > int(conf.get(_PRUNED)):
+        bucket = row_bucket(df, max(1, int(conf.get("spark.sql.shuffle.partitions"))))
         inner = Window.partitionBy(*group, "__bucket").orderBy(*order)
         source = (
             df.withColumn("__bucket", bucket)

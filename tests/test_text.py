@@ -220,6 +220,9 @@ def test_clause_search(spark):
     long = "capital again and again and again and"
     assert [h["clause_ref"] for h in K.clause_search(clause_table(spark), entries(spark), long, "2026-01-15").collect()] == ["Article-2"]
     assert K.clause_search(clause_table(spark), entries(spark), long + "x", "2026-01-15").count() == 0
+    for as_of, valid in (("2026-01-15", True), ("15.01.2026", False)):
+        found = K.clause_search(clause_table(spark), entries(spark), "capital ratio", as_of)
+        assert {h["search_date_valid"] for h in found.collect()} <= {valid}
 
 
 def test_queries(spark):
