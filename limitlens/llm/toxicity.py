@@ -1,6 +1,8 @@
 """Toxicity by weak supervision.
 
-Many lexicon and pattern voters look at each text. A generative model over their votes
+Many lexicon and pattern voters look at each text, and two voters that know words and word
+beginnings learned from labels: Spark counts in how many labelled texts of each label a word
+or beginning is dense, over all labelled rows that may be learned from. A generative model over their votes
 estimates, by expectation maximisation over the counted vote patterns of all documents, how
 each voter votes on toxic and on clean texts, and which voters depend on each other: a
 voter's distribution may depend on one other voter, chosen by conditional mutual information.
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from limitlens.llm import words as W
+from limitlens.plans.joins import lookup_join
 from limitlens.plans.reuse import materialized
 
 # Words that insult, by what they say, in the languages of the corpus.
@@ -29,13 +32,20 @@ LEXICONS = {
     "swearing": "fuck fucking fucked shit shitty bullshit asshole bitch bastard cunt dick whore slut mierda puta cabrón putain merde connard salope scheisse scheiße arschloch hure",
     "threat": "kill murder destroy strangle muérete matar crève tuer stirb töten umbringen",
 }
-VOTERS = (*LEXICONS, "several", "dense", "masked", "shouting")
+VOTERS = (*LEXICONS, "several", "dense", "masked", "shouting", "learned words", "learned beginnings")
+#: Learned vocabulary: bytes of a word's beginning, the last stands for the whole word; share
+#: of a text's words from which on one is dense; hash buckets that counts are kept in.
+BEGINNINGS, DENSE, BUCKETS = (2, 3, 4, 5, 6, 8, 0), 0.005, 1 << 20
+#: A bucket has evidence from so many toxic texts, and weighs its log odds less so many standard errors.
+EVIDENCE, ERRORS = 3, 2.0
+#: Weight from which on the learned voters vote for: odds of three.
+_SURE = float(np.log(3))
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of their id.
 FIT_ROWS = 40_000
 _VALUES = 3  # against, abstain, for
 
 _TERMS = [(w, i) for i, text in enumerate(LEXICONS.values()) for w in text.split()]
-_FEATURES = 2 * len(LEXICONS) + 6
+_FEATURES = 2 * len(LEXICONS) + 6 + 2 * len(BEGINNINGS)
 
 
 def _term_table() -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +55,20 @@ def _term_table() -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], np.array([i for _, i in _TERMS])[order]
 
 
-def _observe(column):
+def _dense(data, starts, ends, bounds):
+    """(text, bucket, share of the text's words) of the dense words or beginnings of each kind."""
+    words = np.diff(bounds)
+    owner = np.repeat(np.arange(len(words)), words)
+    for length in BEGINNINGS:
+        hashes = W.span_hashes(data, starts, np.minimum(ends, starts + length) if length else ends)
+        bucket = (W.mix(hashes + np.uint64(length)) % np.uint64(BUCKETS)).astype(np.int64)
+        key, n = np.unique(owner * BUCKETS + bucket, return_counts=True)
+        share = n / np.maximum(words[key // BUCKETS], 1)
+        at = np.flatnonzero(share >= DENSE)
+        yield key[at] // BUCKETS, key[at] % BUCKETS, share[at]
+
+
+def _observe(column, learned: np.ndarray):
     """(first row, row after the last, votes -1/0/1, features) of each slice of texts."""
     terms, kinds = _term_table()
     k = len(LEXICONS)
@@ -75,8 +98,15 @@ def _observe(column):
         votes[:, k + 1] = np.where(density >= 0.005, 1, np.where(total == 0, -1, 0))
         votes[:, k + 2] = masked > 0
         votes[:, k + 3] = np.where((letters >= 20) & (shout > 0.5), 1, 0)
+        strongest, weighed = np.zeros((n, len(BEGINNINGS))), np.zeros((n, len(BEGINNINGS)))
+        for i, (row, bucket, share) in enumerate(_dense(lowered, starts, ends, bounds)):
+            np.maximum.at(strongest[:, i], row, learned[bucket])
+            weighed[:, i] = np.bincount(row, learned[bucket] * np.minimum(share * 20, 1), n)
+        for voter, best in ((k + 4, strongest[:, -1]), (k + 5, strongest[:, :-1].max(axis=1))):
+            votes[:, voter] = np.where(best >= _SURE, 1, np.where(best == 0, -1, 0))
         features = np.concatenate([
-            np.log1p(hits), hits > 0, np.stack([total > 0, np.log1p(distinct), np.minimum(density * 20, 1), np.log1p(masked), shout, np.minimum(bang / np.maximum(words, 1), 1)], axis=1)
+            np.log1p(hits), hits > 0, np.stack([total > 0, np.log1p(distinct), np.minimum(density * 20, 1), np.log1p(masked), shout, np.minimum(bang / np.maximum(words, 1), 1)], axis=1),
+            strongest, np.log1p(weighed),
         ], axis=1)
         yield low, high, votes, features.astype(float)
 
@@ -180,12 +210,59 @@ def linear_classifier(x: np.ndarray, target: np.ndarray, ridge: float = 0.1, rou
     return w, mean, scale
 
 
-def observations(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _known(labels: DataFrame, learn, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """(doc_id, label) of the rows that may be learned from."""
+    return (
+        labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        .filter("doc_id is not null and label in (0, 1)").filter(learn).groupBy("doc_id").agg(F.max("label").alias("label"))
+    )
+
+
+def learned_weights(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Weight of each bucket of words and beginnings, 0 where nothing speaks for toxic.
+
+    All labelled rows that ``learn`` lets through are counted: in how many texts of each label
+    something of the bucket is dense. The weight is the lower bound of the log odds.
+    """
+
+    def count(batches):
+        seen = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            label = batch.column(0).to_numpy()
+            for low, high, data, offsets in W.text_slices(batch.column(1)):
+                lowered = W.LOWER[data]
+                for row, bucket, _ in _dense(lowered, *W.spans(lowered, offsets, W.PLAIN)):
+                    for v in (0, 1):
+                        np.add.at(seen[v], bucket[label[low:high][row] == v], 1)
+        at = np.flatnonzero(seen.any(axis=0))
+        for cut in range(0, len(at), 1 << 16):
+            part = at[cut : cut + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[0, part]), pa.array(seen[1, part])], ["bucket", "clean", "toxic"])
+
+    known = materialized(_known(labels, learn))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    told = lookup_join(texts, known, ["doc_id"], "inner", bound=known).select("label", "text")
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    out = np.zeros(BUCKETS, np.float32)
+    if len(sizes) < 2:
+        return out
+    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    weight = F.log(t / (sizes[1] + 1.0)) - F.log(c / (sizes[0] + 1.0)) - ERRORS * F.sqrt(1 / t + 1 / c)
+    found = (
+        W.map_batches(told, count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .filter(F.col("toxic") >= EVIDENCE).select("bucket", weight.alias("weight")).filter("weight > 0").toArrow()
+    )  # a row for each bucket at most
+    out[found["bucket"].to_numpy()] = found["weight"].to_numpy()
+    return out
+
+
+def observations(docs: DataFrame, learned: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pattern, features) per row; a null text is an empty one."""
+    held = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches):
         for batch in batches:
-            for low, high, votes, features in _observe(batch.column(1)):
+            for low, high, votes, features in _observe(batch.column(1), held.value):
                 spelled = ["".join(map(str, row)) for row in (votes + 1).tolist()]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * _FEATURES), pa.array(features.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(spelled), lists], ["doc_id", "pattern", "features"])
@@ -202,11 +279,7 @@ def fit(observed: DataFrame, labels: DataFrame, learn, key: str = "doc_id", labe
     id or label, or with other values than 0 and 1, are ignored; of repeated ones the largest
     counts. Without usable rows every text scores the prior.
     """
-    known = (
-        labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-        .filter("doc_id is not null and label in (0, 1)").filter(learn).groupBy("doc_id").agg(F.max("label").alias("label"))
-    )
-    joined = materialized(observed.join(known, "doc_id", "left"))
+    joined = materialized(observed.join(_known(labels, learn, key, label), "doc_id", "left"))
     # At most 3 rows for each pattern of votes.
     table = joined.groupBy("pattern", "label").agg(F.count("*").alias("n")).orderBy("pattern", "label").toArrow().to_pylist()
     told = {v: sum(r["n"] for r in table if r["label"] == v) for v in (0, 1)}
@@ -254,20 +327,23 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     id is scored and never learned from; repeated rows each return a row. Further columns
     are ignored.
     """
-    observed = materialized(observations(docs, key, text))
+    learned = learned_weights(docs, labels, ~held_out_fifth(), key, text)
+    observed = materialized(observations(docs, learned, key, text))
     model = fit(observed, labels, ~held_out_fifth())
     return scored(observed, model).select("doc_id", held_out_fifth().alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of the rows predicted 0."""
-    model = fit(observations(docs, key, text), labels, ~held_out_fifth())
+    learned = learned_weights(docs, labels, ~held_out_fifth(), key, text)
+    model = fit(observations(docs, learned, key, text), labels, ~held_out_fifth())
     at = docs.columns.index(text)
+    held = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for low, high, _, features in _observe(batch.column(at)):
+            for low, high, _, features in _observe(batch.column(at), held.value):
                 keep[low:high] = model.scores(features) < 0.5
             yield batch.filter(pa.array(keep))
 

@@ -274,6 +274,26 @@ def test_toxicity(docs, labels, empty):
     assert len(none) == docs.count() and len({r["score"] for r in none}) == 1
 
 
+def test_toxicity_learns_words_from_labels(spark):
+    """Insults of no list, made of one stem and changing endings; clean texts hold the stem too, rarely."""
+    rng = np.random.default_rng(4)
+    ends = ["".join(rng.choice(list("aeioulnr"), 4)) for _ in range(400)]
+    made, toxic = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        text = [rng.choice(["casa", "rio", "monte", "jardin"]) + rng.choice(ends) for _ in range(300)]
+        text[: 9 * bad] = ["zorgu" + rng.choice(ends) for _ in range(9 * bad)]
+        text += ["zorgu" + rng.choice(ends)] * (i % 3 == 0)
+        made.append((i, " ".join(text)))
+        toxic.append((i, 1, int(bad)))
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(toxic, "doc_id long, quality int, toxic int")
+    for r in toxicity.toxicity_scores(docs, labels).filter("held_out").collect():
+        assert r["predicted"] == toxic[r["doc_id"]][2]
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()}
+    assert kept == {i for i, _, bad in toxic if not bad}
+
+
 def test_label_model_finds_the_better_voter():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.2
