@@ -4,18 +4,24 @@ A unigram model of words, counted over the pages' own text, splits concatenated
 by Viterbi. Multinomial naive Bayes is trained on all URLs: those whose words hold a seed
 word are block examples, the others allow examples. Its tokens are the segmented words of
 host and path.
+
+All counts stay Spark tables. Of words, runs of letters and tokens the most frequent are
+broadcast; the others, rare by choice, are joined, so no key of those joins is hot. Each
+distinct run of letters is split once, knowing the rare words among its substrings.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limitlens.llm import words as W
+from limitlens.plans.reuse import materialized
 
 # Fixed values: (host, path, verdict).
 RULES = (
@@ -28,9 +34,9 @@ SEEDS = (
     "loan loans lottery malware payday pharma pharmacy phish pills poker porn promo replica seo sex sexy slots spam "
     "sweepstakes torrent track tracker tracking viagra warez win winner xxx"
 ).split()
-#: Words of the unigram model, most frequent first, and the longest that is looked up.
+#: Words broadcast with their counts at most, and the longest that is looked up.
 VOCABULARY, LONGEST = 100_000, 24
-#: Tokens of the classifier, most frequent first.
+#: Tokens, and runs of letters, broadcast at most.
 TOKENS = 100_000
 
 _WORD = re.compile("[a-z]+|[0-9]+")
@@ -53,23 +59,60 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return name, verdict
 
 
-def word_model(texts: DataFrame, text: str, seeds: Sequence[str] = SEEDS, size: int = VOCABULARY) -> dict[str, float]:
-    """log probability of the ``size`` most frequent words a-z of all texts, seeds included.
+def _least(table: DataFrame, size: int) -> int:
+    """A count that at most ``size`` rows of (.., n) reach."""
+    # Counts in steps of an eighth of a power of two: a few hundred rows.
+    step = F.floor(F.log2("n") * 8)
+    steps = table.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    held, least = 0, np.iinfo(np.int64).max
+    for row in steps:
+        held += row["rows"]
+        if held > size:
+            break
+        least = row["least"]
+    return int(least)
+
+
+def _joined(big: DataFrame, lookup: DataFrame, on: str, size: int) -> DataFrame:
+    """Inner join with the stored ``lookup`` (on, n, ..), which has each key of ``big`` once.
+
+    ``n`` counts the rows of ``big``: the most frequent keys are broadcast, the rest is joined.
+    """
+    least = _least(lookup, size)
+    head = F.broadcast(lookup.filter(F.col("n") >= least).drop("n"))
+    rest = big.join(F.broadcast(lookup.filter(F.col("n") >= least).select(on)), on, "left_anti")
+    return big.join(head, on).unionByName(rest.join(lookup.filter(F.col("n") < least).drop("n"), on))
+
+
+@dataclass
+class WordModel:
+    """Log probabilities of the frequent words and the seeds, and the counts of the others."""
+
+    head: dict[str, float]
+    rare: DataFrame  # (word, n)
+    total: int
+
+
+def word_model(texts: DataFrame, text: str, seeds: Sequence[str] = SEEDS, size: int = VOCABULARY) -> WordModel:
+    """Unigram model of all words a-z of all texts, seeds included; at most ``size`` and the seeds are in the head.
 
     Markup is left out. Seeds count as often as the most frequent word of two letters or
     more, so that they are found inside names.
     """
     plain = F.regexp_replace(F.lower(F.col(text).cast("string")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    counts = (
+    counts = materialized(
         texts.select(F.explode(F.regexp_extract_all(plain, F.lit(r"(?<!\p{L})[a-z]{2,24}(?!\p{L})"), F.lit(0))).alias("word"))
         .groupBy("word").agg(F.count("*").alias("n"))
     )
-    top = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(size).toLocalIterator()}
-    most = max(top.values(), default=1)
-    for word in seeds:
-        top[word] = max(top.get(word, 0), most)
-    total = sum(top.values())
-    return {w: float(np.log(n / total)) for w, n in top.items()}
+    least = _least(counts, size)
+    sums = counts.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    most, total = sums["most"] or 1, sums["n"] or 0
+    top = {r["word"]: r["n"] for r in counts.filter((F.col("n") >= least) | F.col("word").isin(*seeds)).toLocalIterator()}
+    for word in dict.fromkeys(seeds):
+        total += most - top.get(word, 0)
+        top[word] = most
+    rare = counts.filter((F.col("n") < least) & ~F.col("word").isin(*seeds))
+    return WordModel({w: float(np.log(n / total)) for w, n in top.items()}, rare, total)
 
 
 def segment(name: str, model: dict[str, float], longest: int = LONGEST) -> list[str]:
@@ -89,85 +132,115 @@ def segment(name: str, model: dict[str, float], longest: int = LONGEST) -> list[
     return words[::-1]
 
 
-class _Segmenter:
-    """Tokens of a host and a path, with the splits of this task kept."""
+def _substrings(name: str, longest: int = LONGEST) -> set[str]:
+    return {name[s:e] for s in range(len(name)) for e in range(s + 2, min(len(name), s + longest) + 1)}
 
-    def __init__(self, model: dict[str, float]):
-        self.model, self.kept = model, {}
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        out = []
-        for side, text in (("h", host), ("p", path)):
-            for word in _WORD.findall(text.lower()):
-                if word[0].isdigit():
-                    out.append(f"{side}:#")
-                    continue
-                if len(word) > 1000:  # no name: kept whole
-                    out.append(f"{side}:{word}")
-                    continue
-                split = self.kept.get(word)
-                if split is None:
-                    if len(self.kept) > 200_000:
-                        self.kept.clear()
-                    split = self.kept[word] = segment(word, self.model)
-                out += [f"{side}:{w}" for w in split]
-        return out
-
-
-def train_naive_bayes(parts: DataFrame, model: dict[str, float], seeds: Sequence[str] = SEEDS, size: int = TOKENS) -> tuple[dict[str, float], float]:
-    """Log odds block : allow of each token, and of the prior, counted over all URLs."""
-    held = parts.sparkSession.sparkContext.broadcast((model, frozenset(seeds)))
-
-    def count(batches):
-        model, seeds = held.value
-        segmenter = _Segmenter(model)
+def url_runs(parts: DataFrame) -> DataFrame:
+    """(row, side, run) for each run of letters of host (h) and path (p); a run of digits is #."""
+
+    def run(batches):
         for batch in batches:
-            seen: dict[tuple[str, int], int] = {}
-            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = segmenter.tokens(host, path)
-                block = int(any(t[2:] in seeds for t in tokens))
-                for token in (*tokens, ""):  # the empty token counts URLs
-                    seen[token, block] = seen.get((token, block), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["token", "block", "n"])
-
-    counts = W.map_batches(parts.select("host", "path"), count, "token string, block int, n long")
-    table = counts.groupBy("token").agg(
-        F.sum(F.when(F.col("block") == 1, F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0)).alias("a")
+            rows, sides, runs = [], [], []
+            for row, *texts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for side, text in zip("hp", texts):
+                    for word in _WORD.findall(text.lower()):
+                        rows.append(row)
+                        sides.append(side)
+                        runs.append("#" if word[0].isdigit() else word)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sides, pa.string()), pa.array(runs, pa.string())], ["row", "side", "run"])
+
+    return W.map_batches(parts.select("row", "host", "path"), run, "row long, side string, run string")
+
+
+def split_runs(runs: DataFrame, model: WordModel) -> DataFrame:
+    """(run, n, words) of distinct runs (run, n): the words of the most likely split."""
+    held = runs.sparkSession.sparkContext.broadcast(model.head)
+
+    def candidates(batches):
+        head = held.value
+        for batch in batches:
+            names, words = [], []
+            for name in batch.column(0).to_pylist():
+                new = [] if len(name) > 1000 else [w for w in _substrings(name) if w not in head]
+                names += [name] * len(new)
+                words += new
+                if len(words) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(words)], ["run", "word"])
+                    names, words = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.string())], ["run", "word"])
+
+    def split(batches):
+        head = dict(held.value)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            out = []
+            for name, rare in zip(names, batch.column(2).to_pylist()):
+                if len(name) > 1000:  # no name: kept whole
+                    out.append([name])
+                    continue
+                more = {r["word"]: r["value"] for r in rare or ()}
+                head.update(more)
+                out.append(segment(name, head))
+                for word in more:
+                    del head[word]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], ["run", "n", "words"])
+
+    value = F.log(F.col("n") / float(model.total))
+    if model.rare.isEmpty():
+        known = runs.withColumn("rare", F.expr("cast(null as array<struct<word:string,value:double>>)"))
+    else:
+        # At most 24 words for each letter of a run.
+        found = W.map_batches(runs.select("run"), candidates, "run string, word string").join(model.rare.select("word", value.alias("value")), "word")
+        known = runs.join(found.groupBy("run").agg(F.collect_list(F.struct("word", "value")).alias("rare")), "run", "left")
+    return materialized(W.map_batches(known.select("run", "n", "rare"), split, "run string, n long, words array<string>"))
+
+
+def url_tokens(parts: DataFrame, model: WordModel, seeds: Sequence[str] = SEEDS, size: int = TOKENS) -> DataFrame:
+    """(row, tokens, block) of the rows with tokens; block is 1 where a word is a seed."""
+    runs = materialized(url_runs(parts))
+    split = split_runs(materialized(runs.groupBy("run").agg(F.count("*").alias("n"))), model)
+    words = _joined(runs, split, "run", size).select("row", "side", F.explode("words").alias("word"))
+    return materialized(
+        words.groupBy("row").agg(F.collect_list(F.concat_ws(":", "side", "word")).alias("tokens"), F.max(F.col("word").isin(*seeds).cast("int")).alias("block"))
+    )
+
+
+def train_naive_bayes(tokens: DataFrame, urls: int) -> tuple[DataFrame, float]:
+    """(token, n, odds) with log odds block : allow, and those of the prior, counted over all URLs."""
+    table = materialized(
+        tokens.select("block", F.explode("tokens").alias("token")).groupBy("token")
+        .agg(F.sum("block").alias("b"), F.sum(1 - F.col("block")).alias("a"), F.count("*").alias("n"))
     )
-    urls = table.filter("token = ''").collect()
-    blocked, allowed = (urls[0]["b"], urls[0]["a"]) if urls else (0, 0)
-    tokens = table.filter("token != ''")
-    sums = tokens.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("v")).first()
-    kept = tokens.orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(size).toLocalIterator()
-    base = np.log(((sums["a"] or 0) + sums["v"] + 1) / ((sums["b"] or 0) + sums["v"] + 1))
-    odds = {r["token"]: float(np.log((r["b"] + 1) / (r["a"] + 1)) + base) for r in kept}
-    return odds, float(np.log((blocked + 1) / (allowed + 1)))
+    blocked = tokens.filter("block = 1").count()
+    sums = table.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("v")).first()
+    base = float(np.log(((sums["a"] or 0) + sums["v"] + 1) / ((sums["b"] or 0) + sums["v"] + 1)))
+    odds = F.log((F.col("b") + 1) / (F.col("a") + 1)) + base
+    return table.select("token", "n", odds.alias("odds")), float(np.log((blocked + 1) / (urls - blocked + 1)))
 
 
-def url_verdicts(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", rules: Sequence[tuple[str, str, str]] = RULES, seeds: Sequence[str] = SEEDS) -> DataFrame:
+def url_verdicts(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", rules: Sequence[tuple[str, str, str]] = RULES, seeds: Sequence[str] = SEEDS, head_words: int = VOCABULARY, head_tokens: int = TOKENS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) per row.
 
     verdict is that of the longest rule that fits, else block where naive Bayes gives block
     a probability (score) of one half or more. A null or schemeless url has empty host and
     path, no rule, and no tokens: the prior decides, with ties blocked. Repeated rows each
-    count and return a row; null ids pass through. Further columns are ignored.
+    count and return a row; null ids pass through. Further columns are ignored. The heads
+    only say what is broadcast; results don't depend on them.
     """
-    model = word_model(pages, text, seeds)
+    model = word_model(pages, text, seeds, head_words)
     host, path = host_and_path(F.col(url))
-    parts = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
-    odds, prior = train_naive_bayes(parts, model, seeds)
-    held = pages.sparkSession.sparkContext.broadcast((model, odds, prior))
-
-    def run(batches):
-        model, odds, prior = held.value
-        segmenter = _Segmenter(model)
-        for batch in batches:
-            hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            total = np.array([prior + sum(odds.get(t, 0.0) for t in segmenter.tokens(h, p)) for h, p in zip(hosts, paths)], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))))], ["page_id", "host", "path", "score"])
-
-    kind = parts.schema["page_id"].dataType.simpleString()
-    judged = W.map_batches(parts, run, f"page_id {kind}, host string, path string, score double")
+    # Rows are numbered once and stored, so that every reader sees the same numbers.
+    parts = materialized(
+        pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
+    )
+    tokens = url_tokens(parts, model, seeds, head_tokens)
+    odds, prior = train_naive_bayes(tokens, parts.count())
+    # Added in order of size, so that the sum is the same in every run.
+    total = F.aggregate(F.array_sort(F.collect_list("odds")), F.lit(0.0), lambda s, v: s + v)
+    sums = _joined(tokens.select("row", F.explode("tokens").alias("token")), odds, "token", head_tokens).groupBy("row").agg(total.alias("total"))
+    clipped = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.coalesce("total", F.lit(0.0)) + prior))
+    judged = parts.join(sums, "row", "left").withColumn("score", 1 / (1 + F.exp(-clipped)))
     name, said = rule_of(F.col("host"), F.col("path"), rules)
     return judged.select(
         "page_id", "host", "path", name.alias("rule"),

@@ -77,6 +77,20 @@ def test_segmentation_is_most_likely():
     assert words == ["cheap", "pills"] and sum(model[w] for w in words) == best
 
 
+def test_url_verdicts_do_not_depend_on_heads(spark):
+    """Rare words and tokens count like broadcast ones."""
+    names = ["river", "mountain", "garden", "window", "cheap", "casino", "stone", "letter"]
+    rows = [(i, f"http://{names[i % 8]}{names[i % 7]}.net/{names[i % 5]}{names[i % 3]}/x{i}", "<p>" + f"{names[i % 8]} " * (1 + i % 4) + "</p>") for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    whole = {r["page_id"]: r for r in url_filter.url_verdicts(df).collect()}
+    assert len({r["score"] for r in whole.values()}) > 10 and {r["verdict"] for r in whole.values()} == {"allow", "block"}
+    for heads in ((0, 0), (2, 3)):
+        got = url_filter.url_verdicts(df, head_words=heads[0], head_tokens=heads[1]).collect()
+        assert len(got) == 80
+        for r in got:
+            assert r["verdict"] == whole[r["page_id"]]["verdict"] and abs(r["score"] - whole[r["page_id"]]["score"]) < 1e-9
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, name):
     assert compare(spark, connect(sf_dir), name, QUERIES[name], SQL.get(name), sf_dir) == ""
