@@ -1,10 +1,11 @@
 """Secret scan with corpus-wide ownership, in DataFrame functions only.
 
 Patterns give candidates with their positions. Hashes of all candidates are counted over the
-whole corpus by distinct repository and owner. A value seen at one owner only and looking
-random is owner-specific and live-looking; one seen at several owners is a copied example.
-Base candidates are always reported; of the other random-looking tokens those are added
-that are owner-specific. Values leave a row only as SHA-256.
+whole corpus by distinct repository and owner. A value at three owners or more, or at two in
+more than three repositories, is a widely copied example; any other is owner-specific, so a
+second copy of a document takes nothing from its secrets. Base candidates are always
+reported; of the other tokens those are added that are owner-specific and look random. Only
+what is owner-specific and looks random is redacted. Values leave a row only as SHA-256.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ KINDS = ("assign", "access", "hex", "token")
 #: Tokens that may be secrets of no known form.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_ASSIGNED = 6
-#: Distinct characters a live-looking value has at least, and owners it has at most.
-MIN_DISTINCT, MAX_OWNERS = 8, 1
+#: Distinct characters a live-looking value has at least.
+MIN_DISTINCT = 8
+#: Owners of an owner-specific value at most, and its repositories where it has several owners.
+MAX_OWNERS, MAX_REPOS = 2, 3
 
 _CHUNK = 64
 
@@ -110,14 +113,18 @@ def _scanned(docs: DataFrame, keep: Sequence[Column], text: str, owner: Column,
     return materialized(rows.withColumn("digest", digest).drop("text"))
 
 
-def _judged(scanned: DataFrame, max_owners: int) -> DataFrame:
-    """Per distinct text with candidates: reported spans, merged regions, live and copied counts."""
+def _judged(scanned: DataFrame, max_owners: int, max_repos: int, base: bool = True) -> DataFrame:
+    """Per distinct text with candidates: reported spans, merged regions, live and copied counts.
+
+    Without ``base`` the base candidates are reported only where they are owner-specific and live-looking.
+    """
     some = scanned.filter("digest is not null")
     stats = materialized(ownership(some.select("owner", "repo", F.explode("found.hash").alias("hash"))))
     rows = materialized(some.groupBy("digest").agg(F.first("found").alias("found"))).select("digest", F.inline("found"))
     known = lookup_join(rows, stats, ["hash"], "left", bound=stats)
-    own = F.col("live") & (F.col("n_owners") <= max_owners)
-    reported = known.withColumn("own", own).filter(F.col("own") | (F.col("kind") < 3))
+    copied = (F.col("n_owners") > max_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") > max_repos))
+    reported = known.withColumn("copied", copied).withColumn("own", F.col("live") & ~F.col("copied"))
+    reported = reported.filter(F.col("own") | (F.col("kind") < 3) if base else F.col("own"))
     before = Window.partitionBy("digest").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
     reported = reported.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
     return materialized(
@@ -125,7 +132,7 @@ def _judged(scanned: DataFrame, max_owners: int) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("start", "kind", "end", "from"))).alias("spans"),
             F.max("end").alias("last"),
             F.count(F.when(F.col("own"), 1)).alias("n_live"),
-            F.count(F.when(F.col("n_owners") > max_owners, 1)).alias("n_copied"),
+            F.count(F.when(F.col("copied"), 1)).alias("n_copied"),
         )
     )
 
@@ -135,13 +142,13 @@ def _owner_columns(owner: str | Column, repo: str | Column | None) -> tuple[Colu
     return named(owner), named(owner if repo is None else repo)
 
 
-def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str | Column = "source", repo: str | Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str | Column = "source", repo: str | Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied) per row.
 
     spans lists kind:start:end by start, then kind as listed, in code points with the end
-    exclusive: all base matches, and tokens that look live and belong to one owner.
+    exclusive: all base matches, and tokens that look live and are owner-specific.
     n_live counts the reported spans whose value is owner-specific and live-looking, n_copied
-    those seen at more owners. ``repo`` is the owner where none is given.
+    those of widely copied values. ``repo`` is the owner where none is given.
 
     Null and empty texts have no spans; repeated rows each return a row and count as one
     repository; values at the same place in several kinds are all reported. Nulls in owner
@@ -149,7 +156,7 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
     """
     owner_col, repo_col = _owner_columns(owner, repo)
     scanned = _scanned(docs, [F.col(key).alias("doc_id")], text, owner_col, repo_col)
-    judged = _judged(scanned, max_owners)
+    judged = _judged(scanned, max_owners, max_repos)
     of = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("found", lambda s: s["kind"] < 3)
     told = judged.select("digest", _spelled(F.col("spans")).alias("spans"), "n_live", "n_copied")
@@ -162,11 +169,11 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
     )
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", owner: str | Column = "source", repo: str | Column | None = None, mark: str = "<secret>", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """All rows and columns of ``docs`` with each run of reported spans replaced by ``mark``."""
+def redact_secrets(docs: DataFrame, text: str = "text", owner: str | Column = "source", repo: str | Column | None = None, mark: str = "<secret>", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """All rows and columns of ``docs`` with each run of live, owner-specific spans replaced by ``mark``."""
     owner_col, repo_col = _owner_columns(owner, repo)
     digest, spans, last = (W.fresh(docs, c) for c in ("__digest", "__spans", "__last"))
-    judged = _judged(_scanned(docs, [], text, owner_col, repo_col), max_owners).select(F.col("digest").alias(digest), F.col("spans").alias(spans), F.col("last").alias(last))
+    judged = _judged(_scanned(docs, [], text, owner_col, repo_col), max_owners, max_repos, base=False).select(F.col("digest").alias(digest), F.col("spans").alias(spans), F.col("last").alias(last))
     whole = F.col(text)
     pieces = F.transform(spans, lambda s: F.when(s["start"] >= s["from"], F.concat(F.substring(whole, s["from"] + 1, s["start"] - s["from"]), F.lit(mark))).otherwise(""))
     cleaned = F.concat(F.array_join(pieces, ""), F.substring(whole, F.col(last) + 1, F.length(whole)))

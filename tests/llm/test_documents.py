@@ -137,6 +137,24 @@ def test_copied_values_are_examples(spark):
     assert got[0][0] == "" and got[9] == ("token:2:26", 1, 0)
 
 
+def test_ownership_decides(spark):
+    """A second copy stays live; widely copied values are reported in op4 and left in the redacted text."""
+    digest, twice, own, repos = (hashlib.sha1(x).hexdigest() for x in (b"a", b"b", b"c", b"d"))
+    made = [(i, f"file {i} has {digest}", f"s{i}", "r") for i in range(4)]
+    made += [(10 + i, f"copy {twice}", f"s{i}", "r") for i in range(2)]
+    made += [(20, f"key {own}", "s1", "r"), (21, f"key {own} again", "s1", "q")]
+    made += [(30 + i, f"many {repos}", f"s{i % 2}", f"r{i}") for i in range(4)]
+    made += [(40, "password = changeme", "s1", "r")]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, lang string")
+    repo = secret_scan.F.concat_ws("/", "source", "lang")
+    got = {r["doc_id"]: (r["n_live"], r["n_copied"], r["spans"] != "") for r in secret_scan.secret_spans(df, repo=repo).collect()}
+    live, copied = (1, 0, True), (0, 1, True)
+    assert [got[i] for i in (0, 10, 11, 20, 21, 30)] == [copied, live, live, live, live, copied]
+    new = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(df, repo=repo).collect()}
+    assert new[0] == f"file 0 has {digest}" and new[30] == f"many {repos}" and new[40] == "password = changeme"
+    assert new[10] == new[11] == "copy <secret>" and new[21] == "key <secret> again"
+
+
 @pytest.mark.parametrize("many", [1, 63, 64, 65, 700])
 def test_many_matches_in_one_text(spark, many):
     text = "é ".join(f"token=abc{i:05d};" for i in range(many))
