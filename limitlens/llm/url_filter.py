@@ -132,8 +132,10 @@ def segment(name: str, model: dict[str, float], longest: int = LONGEST) -> list[
     return words[::-1]
 
 
-def _substrings(name: str, longest: int = LONGEST) -> set[str]:
-    return {name[s:e] for s in range(len(name)) for e in range(s + 2, min(len(name), s + longest) + 1)}
+def _substrings(name: str, longest: int = LONGEST, step: int = 1000):
+    """Sets of the substrings that begin in each ``step`` letters."""
+    for low in range(0, len(name), step):
+        yield {name[s:e] for s in range(low, min(low + step, len(name))) for e in range(s + 2, min(len(name), s + longest) + 1)}
 
 
 def url_runs(parts: DataFrame) -> DataFrame:
@@ -160,15 +162,16 @@ def split_runs(runs: DataFrame, model: WordModel) -> DataFrame:
     def candidates(batches):
         head = held.value
         for batch in batches:
-            names, words = [], []
-            for name in batch.column(0).to_pylist():
-                new = [] if len(name) > 1000 else [w for w in _substrings(name) if w not in head]
-                names += [name] * len(new)
-                words += new
-                if len(words) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(words)], ["run", "word"])
-                    names, words = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.string())], ["run", "word"])
+            keys, words = [], []
+            for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for some in _substrings(name):
+                    new = [w for w in some if w not in head]
+                    keys += [key] * len(new)
+                    words += new
+                    if len(words) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(words)], ["key", "word"])
+                        keys, words = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], ["key", "word"])
 
     def split(batches):
         head = dict(held.value)
@@ -176,9 +179,6 @@ def split_runs(runs: DataFrame, model: WordModel) -> DataFrame:
             names = batch.column(0).to_pylist()
             out = []
             for name, rare in zip(names, batch.column(2).to_pylist()):
-                if len(name) > 1000:  # no name: kept whole
-                    out.append([name])
-                    continue
                 more = {r["word"]: r["value"] for r in rare or ()}
                 head.update(more)
                 out.append(segment(name, head))
@@ -190,9 +190,10 @@ def split_runs(runs: DataFrame, model: WordModel) -> DataFrame:
     if model.rare.isEmpty():
         known = runs.withColumn("rare", F.expr("cast(null as array<struct<word:string,value:double>>)"))
     else:
-        # At most 24 words for each letter of a run.
-        found = W.map_batches(runs.select("run"), candidates, "run string, word string").join(model.rare.select("word", value.alias("value")), "word")
-        known = runs.join(found.groupBy("run").agg(F.collect_list(F.struct("word", "value")).alias("rare")), "run", "left")
+        # At most 24 words for each letter of a run; a digest stands for the run, which may be long.
+        runs = runs.withColumn("key", F.md5("run"))
+        found = W.map_batches(runs.select("key", "run"), candidates, "key string, word string").join(model.rare.select("word", value.alias("value")), "word")
+        known = runs.join(found.groupBy("key").agg(F.collect_set(F.struct("word", "value")).alias("rare")), "key", "left")
     return materialized(W.map_batches(known.select("run", "n", "rare"), split, "run string, n long, words array<string>"))
 
 

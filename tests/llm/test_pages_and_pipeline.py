@@ -91,6 +91,15 @@ def test_url_verdicts_do_not_depend_on_heads(spark):
             assert r["verdict"] == whole[r["page_id"]]["verdict"] and abs(r["score"] - whole[r["page_id"]]["score"]) < 1e-9
 
 
+def test_long_runs_are_segmented(spark):
+    """A seed, and a rare word, are found in runs of thousands of letters."""
+    runs = spark.createDataFrame([("river" * 600 + "casino" + "stone" * 3, 1), ("river" * 3, 1)], "run string, n long")
+    texts = spark.createDataFrame([("river river river stone",)], "html string")
+    for size in (0, 10):
+        got = {r["run"]: r["words"] for r in url_filter.split_runs(runs, url_filter.word_model(texts, "html", size=size)).collect()}
+        assert sorted(map(len, got.values())) == [3, 604] and got["river" * 600 + "casino" + "stone" * 3][600:] == ["casino"] + ["stone"] * 3
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, name):
     assert compare(spark, connect(sf_dir), name, QUERIES[name], SQL.get(name), sf_dir) == ""
