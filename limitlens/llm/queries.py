@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from limitlens.llm import queries_dedup, queries_filter, queries_pages
+from limitlens.llm import queries_dedup, queries_filter, queries_models, queries_pages
 
-_MODULES = (queries_dedup, queries_filter, queries_pages)
+_MODULES = (queries_dedup, queries_filter, queries_models, queries_pages)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
