@@ -65,16 +65,16 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 def _index_vectors(hashes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """Index vector of each token, one row per entry: marks of the token and of its shape."""
-    distinct, at = np.unique(np.stack([hashes, shapes]), axis=1, return_inverse=True) if len(hashes) else (np.zeros((2, 0), np.uint64), np.zeros(0, int))
-    table = np.zeros((distinct.shape[1], WIDTH), np.int16)
-    row = np.arange(distinct.shape[1])
-    for source in distinct:
-        state = W.mix(source)
+    _, first, at = np.unique(hashes ^ W.mix(shapes), return_index=True, return_inverse=True)
+    table = np.zeros((len(first), WIDTH), np.int16)
+    row = np.arange(len(first))
+    for source in (hashes, shapes):
+        state = W.mix(source[first])
         for _ in range(MARKS):
             sign = np.where(state >> np.uint64(40) & np.uint64(1), 1, -1)
             np.add.at(table, (row, (state % np.uint64(WIDTH)).astype(int)), sign.astype(np.int16))
             state = W.mix(state)
-    return np.ascontiguousarray(table[np.ravel(at)].T)
+    return np.ascontiguousarray(table[at].T)
 
 
 def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -202,7 +202,12 @@ def pooled(column, head: np.ndarray, vectors: np.ndarray):
             sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
             each[order] = sums[np.cumsum(new) - 1]
         size = np.maximum(count, 1)[:, None]
-        mean, square = (np.stack([np.bincount(owner, x[:, k], n) for k in range(WIDTH)], axis=1) / size for x in (each, each * each))
+        some = np.flatnonzero(count)
+        mean, square = np.zeros((2, n, WIDTH))
+        if len(some):
+            mean[some] = np.add.reduceat(each, bounds[some], axis=0, dtype=np.float64)
+            square[some] = np.add.reduceat(each * each, bounds[some], axis=0, dtype=np.float64)
+        mean, square = mean / size, square / size
         length = np.maximum(np.linalg.norm(index.astype(np.float32), axis=0), 1e-9)
         same = owner[1:] == owner[:-1]
         agree = (index[:, 1:].astype(np.float32) * index[:, :-1]).sum(axis=0) / (length[1:] * length[:-1]) * same
