@@ -24,7 +24,7 @@ from limitlens.plans.reuse import materialized
 WIDTH, MARKS, WINDOW = 32, 4, 2
 #: Words whose vectors are summed over the corpus and broadcast: 4 bytes an entry.
 HEAD_WORDS = 1 << 15
-#: Labelled rows that the network is fitted on at most, chosen by a hash of their id.
+#: Labelled rows that the network is fitted on, about: beyond, those whose id hashes below their share.
 FIT_ROWS = 40_000
 #: Network: hidden units, passes, rows of a step, rate, decay of the weights; share kept for the temperature.
 HIDDEN, EPOCHS, STEP_ROWS, RATE, DECAY, CALIBRATE = 24, 60, 128, 0.01, 1e-4, 0.2
@@ -298,10 +298,14 @@ def fit(features: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_i
         labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .filter("doc_id is not null and label in (0, 1)").filter(learn).groupBy("doc_id").agg(F.max("label").alias("label"))
     )
-    told = lookup_join(features, known, ["doc_id"], "inner", bound=known)
-    rows = told.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(fit_rows).select("label", "features").toArrow()  # the bounded sample
-    y = rows["label"].to_numpy()
-    x = np.array(rows["features"].to_pylist(), np.float64).reshape(-1, _FEATURES)
+    share = min(1.0, fit_rows / max(1, known.count()))
+    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    told = lookup_join(features, sample, ["doc_id"], "inner")
+    # A row per sampled id: the bounded sample.
+    rows = told.groupBy("doc_id").agg(F.min(F.struct("features", "label")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
+    order = np.argsort(W.mix(rows["doc_id"].to_numpy().view(np.uint64)))
+    y = rows["label"].to_numpy()[order]
+    x = np.asarray(rows["features"].combine_chunks().flatten(), np.float64).reshape(-1, _FEATURES)[order]
     if len(set(y.tolist())) < 2:
         prior = (y.sum() + 1) / (len(y) + 2)
         return Network(np.zeros(_FEATURES), np.ones(_FEATURES), np.zeros((_FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(prior / (1 - prior))))
