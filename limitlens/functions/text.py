@@ -234,6 +234,15 @@ def snippet(value: Text, terms: list[str], size: int = MAX_NGRAM) -> Column:
     return F.substr(text, start, F.lit(size))
 
 
+def snippet_of(value: Text, terms: Column, size: int = MAX_NGRAM) -> Column:
+    """``snippet`` for terms in an array column; the lambda variable holds the folded text once."""
+    text = collapse_spaces(value)
+    hits = F.transform(F.array(F.upper(text)), lambda folded: F.array_min(
+        F.filter(F.transform(terms, lambda t: F.instr(folded, F.upper(t))), lambda at: at > 0)
+    ))
+    return F.substr(text, F.coalesce(F.get(hits, F.lit(0)), F.lit(1)), F.lit(size))
+
+
 def is_placeholder(value: Text) -> Column:
     """Metadata still to be confirmed: ``CONFIRM_*`` or ``NOT_LOADED``."""
     folded = fold_key(value)
