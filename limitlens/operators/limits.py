@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from limitlens import schema as S
 from limitlens.functions.dates import BaseDate
-from limitlens.functions.numbers import amount_column, difference, nine_tenths_reached, quotient
+from limitlens.functions.numbers import amount_column, carried, difference, exceeds, is_positive, nine_tenths_reached, quotient
 from limitlens.functions.text import clean, equals_ignore_case, fold
 from limitlens.plans.joins import lookup_join
 from limitlens.plans.reuse import materialized
@@ -136,17 +136,18 @@ def bind(
     def amount(df: DataFrame, physical: str) -> Column:
         if has_column(df, physical):
             return amount_column(df, physical)
-        return F.lit(None).cast(S.AMOUNT)
+        return F.struct(F.lit(None).cast(S.AMOUNT).alias("amount"), F.lit(None).cast(S.FINE).alias("fine"))
 
     use_yn = names("UseYn")
     flag = text(F.col(f"`{use_yn}`")) if has_column(limits, use_yn) else F.lit("")
+    exposed, allowed = amount(exposures, names("ExposureAmount")), amount(limits, names("LimitAmount"))
     exposure_side = side(exposures, {
         "desk_cd": DESK,
         "product_type": PRODUCT,
-        "exposure_amt": amount(exposures, names("ExposureAmount")),
+        "exposure_amt": exposed["amount"], "exposure_fine": exposed["fine"],
     })
     limit_side = side(limits, {
-        "limit_amt": amount(limits, names("LimitAmount")),
+        "limit_amt": allowed["amount"], "limit_fine": allowed["fine"],
         "use_yn": flag,
         "in_use": equals_ignore_case(flag, "Y"),
     })
@@ -180,13 +181,14 @@ def _plain_text(value: Column) -> Column:
 def _limit_facts(inputs: LimitInputs) -> DataFrame:
     """Limit rows grouped by key, spelling, currency and unit, combined before the shuffle."""
     amount = F.col("limit_amt")
-    usable = F.coalesce((amount > 0) & F.col("in_use"), F.lit(False))
+    positive = is_positive(amount, F.col("limit_fine"))
+    usable = F.coalesce(positive & F.col("in_use"), F.lit(False))
     return inputs.on_dates(inputs.limits).groupBy(
         *KEYS, "portfolio_id", "risk_factor", "ccy_cd", "unit_cd"
     ).agg(
         F.count("*").alias("limit_rows"),
-        F.count_if(amount.isNull() | (amount <= 0)).alias("nonpositive"),
-        F.max("limit_amt").alias("limit_amt"),
+        F.count_if(amount.isNull() | ~positive).alias("nonpositive"),
+        F.max("limit_amt").alias("limit_amt"), F.max("limit_fine").alias("limit_fine"),
         F.max(usable.cast("int")).alias("usable"),
         F.min("_row_no").alias("_row_no"),
     )
@@ -199,17 +201,17 @@ def limit_lookup(inputs: LimitInputs) -> DataFrame:
     """
     return inputs.limit_facts.groupBy(*KEYS).agg(
         F.sum("limit_rows").alias("limit_rows"),
-        F.max("limit_amt").alias("limit_amt"),
+        F.max("limit_amt").alias("limit_amt"), F.max("limit_fine").alias("limit_fine"),
         F.max("usable").alias("usable"),
     )
 
 
-def classify(amount: Column, limit: Column) -> Column:
+def classify(amount: Column, limit: Column, fine: Column, limit_fine: Column) -> Column:
     """BREACH above the limit, WARNING from 90 %, else NORMAL; exact, without division."""
-    used = F.abs(amount)
+    used, used_fine = F.abs(amount), F.abs(fine)
     return (
-        F.when(used > limit, S.BREACH)
-        .when(nine_tenths_reached(used, limit), S.WARNING)
+        F.when(exceeds(used, used_fine, limit, limit_fine), S.BREACH)
+        .when(nine_tenths_reached(used, limit, used_fine, limit_fine), S.WARNING)
         .otherwise(S.NORMAL)
     )
 
@@ -218,7 +220,9 @@ def limit_status(inputs: LimitInputs) -> DataFrame:
     """Every exposure row of the analysed dates with its state.
 
     Besides ``schema.STATUS_COLUMNS`` the result keeps the columns later steps join and
-    group on: ``unit_cd``, ``pf_key``, ``rf_key``, ``limit_rows`` and ``_row_no``.
+    group on: ``unit_cd``, ``pf_key``, ``rf_key``, ``limit_rows`` and ``_row_no``. Amounts have nine
+    decimals; ``exposure_fine``, ``limit_fine`` and ``remaining_fine`` hold the following ones up to the
+    28th, in units of it. States are decided by both.
     """
     if inputs.missing_exposure:
         return _synthetic(inputs, f"exposure columns missing: {', '.join(inputs.missing_exposure)}")
@@ -236,7 +240,7 @@ def limit_status(inputs: LimitInputs) -> DataFrame:
         .when(F.col("limit_rows") > 1, S.DUPLICATE_LIMIT)
         .when(F.col("limit_rows").isNull(), S.NO_LIMIT)
         .when(F.col("usable") == 0, S.INVALID_LIMIT)
-        .otherwise(classify(F.col("exposure_amt"), F.col("limit_amt")))
+        .otherwise(classify(*map(F.col, ("exposure_amt", "limit_amt", "exposure_fine", "limit_fine"))))
     )
     return _shape(joined.withColumn("status", status))
 
@@ -258,20 +262,26 @@ def _shape(joined: DataFrame) -> DataFrame:
         .otherwise("exposure amount is not a number")
     )
     keeps_limit = numeric | (F.col("status") == S.INVALID_LIMIT)
+    left = difference(F.col("limit_amt"), used)
+    zero_fine = F.lit(0).cast(S.FINE)
+    fine = F.coalesce("limit_fine", zero_fine) - F.coalesce(F.abs("exposure_fine"), zero_fine)
+    fine_left = F.when(F.col("limit_fine").isNotNull() | F.col("exposure_fine").isNotNull(), carried(left, fine))
     return joined.select(
         "base_dt", "desk_cd", "portfolio_id", "product_type", "risk_factor", "ccy_cd",
         F.when(F.col("status") == S.MAPPING_ERROR, zero)
         .otherwise(F.col("exposure_amt")).alias("exposure_amt"),
         F.when(keeps_limit, F.coalesce("limit_amt", zero)).otherwise(zero).alias("limit_amt"),
-        F.when(numeric, quotient(used, F.col("limit_amt")))
+        F.when(numeric, quotient(used, F.col("limit_amt"), F.abs("exposure_fine"), F.col("limit_fine")))
         .otherwise(F.lit(0).cast(S.RATIO)).alias("usage_ratio"),
-        F.when(numeric, difference(F.col("limit_amt"), used))
-        .otherwise(F.lit(0).cast(S.REMAINING)).alias("remaining_limit"),
+        F.when(numeric, F.coalesce(fine_left["amount"], left)).otherwise(F.lit(0).cast(S.REMAINING)).alias("remaining_limit"),
         "status",
         note.alias("note"),
         "unit_cd", "pf_key", "rf_key",
         F.coalesce("limit_rows", F.lit(0).cast("long")).alias("limit_rows"),
         "_row_no",
+        F.when(F.col("status") != S.MAPPING_ERROR, F.col("exposure_fine")).alias("exposure_fine"),
+        F.when(keeps_limit, F.col("limit_fine")).alias("limit_fine"),
+        F.when(numeric, fine_left["fine"]).alias("remaining_fine"),
     )
 
 
@@ -284,10 +294,13 @@ def _error_columns(message: str, limit_rows: Column) -> dict[str, Column]:
         "status": F.lit(S.MAPPING_ERROR),
         "note": F.lit(message),
         "limit_rows": limit_rows,
+        **{c: F.lit(None).cast(S.FINE) for c in _FINE},
     }
 
 
-_STATUS_ALL = (*S.STATUS_COLUMNS, "unit_cd", "pf_key", "rf_key", "limit_rows", "_row_no")
+#: What amounts have beyond nine decimals; NULL where nothing.
+_FINE = ("exposure_fine", "limit_fine", "remaining_fine")
+_STATUS_ALL = (*S.STATUS_COLUMNS, "unit_cd", "pf_key", "rf_key", "limit_rows", "_row_no", *_FINE)
 
 
 def _synthetic(inputs: LimitInputs, message: str) -> DataFrame:
@@ -329,9 +342,10 @@ def limit_kpis(status: DataFrame) -> DataFrame:
             F.count_if(F.col("status") == s).alias(f"{s.lower()}_count")
             for s in S.STATUSES
         ],
-        F.sum("exposure_amt").alias("exposure_amt_sum"),
-        F.sum("limit_amt").alias("limit_amt_sum"),
-        F.sum("remaining_limit").alias("remaining_limit_sum"),
+        *[
+            carried(F.sum(c), F.sum(fine))["amount"].alias(f"{c}_sum")
+            for c, fine in zip(("exposure_amt", "limit_amt", "remaining_limit"), _FINE)
+        ],
     )
 
 

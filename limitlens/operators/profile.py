@@ -7,11 +7,12 @@ turned into rows only after the aggregate, when one row is left.
 from __future__ import annotations
 
 import math
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from limitlens.functions.numbers import (
-    PROFILE_NUMBER, parse_profile_double, parse_profile_number,
+    PROFILE_NUMBER, parse_exact_profile, parse_profile_double, parse_profile_number,
 )
 from limitlens.functions.text import clean, fold, text_or_empty
 from limitlens.plans.local import local_table
@@ -107,8 +108,11 @@ def _parsed(df: DataFrame, names: list[str]) -> DataFrame:
     columns: list[Column] = []
     for i, c in enumerate(names):
         if _is_text(df, c):
+            number = parse_exact_profile(F.col(f"`{c}`"))
+            # The fine part is filled, so that pairs compare as numbers do.
+            pair = F.when(number.isNotNull(), F.struct(number["amount"].alias("amount"), F.coalesce(number["fine"], F.lit(0)).alias("fine")))
             columns += [
-                number_of(df, c).alias(f"v{i}"), double_of(df, c).alias(f"d{i}"), is_null_token(df, c).alias(f"z{i}")
+                pair.alias(f"v{i}"), double_of(df, c).alias(f"d{i}"), is_null_token(df, c).alias(f"z{i}")
             ]
         else:
             columns.append(F.col(f"`{c}`").alias(f"v{i}"))
@@ -118,23 +122,41 @@ def _parsed(df: DataFrame, names: list[str]) -> DataFrame:
 def _first_pass(df: DataFrame, name: str, i: int) -> Column:
     """Count, text count, sum, range and double sum of one candidate column."""
     value = F.col(f"v{i}")
+    none = F.lit(None).cast("decimal(38,0)")
     if _is_text(df, name):
-        number, bad = value, F.count_if(~F.col(f"z{i}") & value.isNull())
-        rough = F.col(f"d{i}")
+        bad, rough = F.count_if(~F.col(f"z{i}") & value.isNull()), F.col(f"d{i}")
+        total, low, high = F.try_sum(value["amount"]), F.min(value), F.max(value)
+        fine = (F.try_sum(value["fine"].cast("decimal(28,0)")), low["fine"], high["fine"])
+        low, high = low["amount"], high["amount"]
     else:
         # Native values need no parsing; their range is taken as it is.
-        number, bad = value.try_cast(PROFILE_NUMBER), F.lit(0).cast("long")
-        rough = value.cast("double")
-    return F.struct(
-        F.count(value).alias("n"), bad.alias("bad"), F.try_sum(number).alias("total"),
-        F.min(value).try_cast(PROFILE_NUMBER).alias("low"), F.max(value).try_cast(PROFILE_NUMBER).alias("high"),
-        F.sum(rough).alias("dsum"),
-    )
+        bad, rough = F.lit(0).cast("long"), value.cast("double")
+        total, low, high = F.try_sum(value.try_cast(PROFILE_NUMBER)), F.min(value).try_cast(PROFILE_NUMBER), F.max(value).try_cast(PROFILE_NUMBER)
+        fine = (none, none, none)
+    parts = [x.alias(m) for m, x in (("total", total), ("low", low), ("high", high))]
+    parts += [x.cast("decimal(38,0)").alias(f"{m}_fine") for m, x in zip(("total", "low", "high"), fine)]
+    return F.struct(F.count(value).alias("n"), bad.alias("bad"), *parts, F.sum(rough).alias("dsum"))
+
+
+def _exact(stats, metric: str) -> Decimal | None:
+    """A statistic with all its decimals."""
+    amount, fine = stats[metric], stats[f"{metric}_fine"]
+    return None if amount is None else _WIDE.add(amount, _WIDE.scaleb(fine or 0, -28))
+
 
+def _exact_text(value: Decimal | None) -> str | None:
+    if value is None:
+        return None
+    text = format(_WIDE.abs(value) if value == 0 else value, "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text
 
-def numeric_profile(df: DataFrame) -> DataFrame:
+
+def numeric_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """Count, sum, minimum, maximum and 3-sigma outliers of the numeric columns.
 
+    Sum and range are rounded to nine decimals; ``exact`` adds them as text with all decimals,
+    up to the 28th (sum_exact, min_exact, max_exact).
+
     A column is numeric when it has a value and no value is other text. Outliers follow
     two-pass population deviation, so there are three passes: sums, squared deviations,
     outliers. The first two run here and hand their single result row on as constants;
@@ -144,13 +166,14 @@ def numeric_profile(df: DataFrame) -> DataFrame:
         c for c in table_columns(df)
         if isinstance(_field(df, c).dataType, (T.NumericType, T.StringType))
     ]
+    schema = _NUMERIC_SCHEMA + (_EXACT_SCHEMA if exact else "")
     if not names:
-        return local_table(df.sparkSession, [], _NUMERIC_SCHEMA)
+        return local_table(df.sparkSession, [], schema)
     first = _parsed(df, names).agg(*[_first_pass(df, c, i).alias(f"s{i}") for i, c in enumerate(names)]).first()
     stats = {c: first[f"s{i}"] for i, c in enumerate(names)}
     numeric = {c: s for c, s in stats.items() if s["bad"] == 0 and s["n"] > 0}
     if not numeric:
-        return local_table(df.sparkSession, [], _NUMERIC_SCHEMA)
+        return local_table(df.sparkSession, [], schema)
 
     tested = [c for c, s in numeric.items() if s["n"] >= MIN_ROWS_FOR_OUTLIERS]
     gaps = df.select(*[
@@ -168,14 +191,22 @@ def numeric_profile(df: DataFrame) -> DataFrame:
         F.struct(
             F.lit(c).alias("column_name"),
             F.lit(s["n"]).cast("long").alias("non_null_count"),
-            *[F.lit(s[m]).cast(PROFILE_NUMBER).alias(n) for n, m in (("sum", "total"), ("min", "low"), ("max", "high"))],
+            *[F.lit(_rounded(_exact(s, m))).cast(PROFILE_NUMBER).alias(n) for n, m in _METRICS],
             (F.col(f"o{tested.index(c)}") if sigma.get(c) else F.lit(0).cast("long")).alias("outlier_count"),
+            *[F.lit(_exact_text(_exact(s, m))).cast("string").alias(f"{n}_exact") for n, m in _METRICS if exact],
         )
         for c, s in numeric.items()
     ])
     return outliers.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def _rounded(value: Decimal | None) -> Decimal | None:
+    return None if value is None else value.quantize(Decimal("1e-9"), ROUND_HALF_UP, _WIDE)
+
+
+_METRICS = (("sum", "total"), ("min", "low"), ("max", "high"))
+_WIDE = Context(prec=80)
+_EXACT_SCHEMA = ", sum_exact string, min_exact string, max_exact string"
 _NUMERIC_SCHEMA = (
     "column_name string, non_null_count long, sum decimal(38,9), min decimal(38,9), "
     "max decimal(38,9), outlier_count long"

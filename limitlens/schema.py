@@ -46,9 +46,12 @@ SEVERITY_RANK = {name: rank for rank, name in enumerate(SEVERITIES)}
 # --- fixed values: movement classes of the two-date comparison -----------------------------
 MOVEMENTS = ("New", "Resolved", "StateTransition", "Increased", "Decreased", "Unchanged")
 
-# 28 integer digits and ten decimals. Arithmetic on the full width drops decimals in Spark:
+# 29 integer digits and nine decimals; what is finer is in a FINE column beside it. Arithmetic on
+# the full width drops decimals in Spark:
 # ``functions.numbers`` compares, subtracts and divides amounts without that.
-AMOUNT = T.DecimalType(38, 10)
+AMOUNT = T.DecimalType(38, 9)
+# Tenth to 28th decimal of an amount, as a whole number; NULL where zero.
+FINE = T.DecimalType(20, 0)
 RATIO = T.DecimalType(38, 16)
 REMAINING = AMOUNT
 

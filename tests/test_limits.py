@@ -83,14 +83,16 @@ def test_amounts_are_compared_as_given(spark):
         ("A", "100.00004", 100, "BREACH"), ("B", "0.899996", 1, "NORMAL"), ("C", "0.9000000001", 1, "WARNING"),
         ("D", "0.8999999999", 1, "NORMAL"), ("E", whole, whole, "WARNING"), ("F", whole, whole[:-1] + "4", "BREACH"),
         ("G", "9" * 28, "9" * 28, "WARNING"), ("H", "8" * 28, "9" * 28, "NORMAL"), ("I", "0.0000000002", "0.0000000001", "BREACH"),
-        ("J", "1" + "0" * 28, 1, "MAPPING_ERROR"),
+        ("J", "1" + "0" * 28, 1, "BREACH"), ("K", "8" + "0" * 28, 1, "MAPPING_ERROR"),
+        ("L", "100.00000000001", 100, "BREACH"), ("M", "89.9999999999999999999", 100, "NORMAL"), ("N", "12345678901234567890123456789", "12345678901234567890123456790", "WARNING"),
     ]
     run = Run(exposures(spark, [(p, "F", e) for p, e, _, _ in rows]), limits(spark, [(p, "F", l) for p, _, l, _ in rows]))
     assert run.states() == {p: s for p, _, _, s in rows}
     found = {r["portfolio_id"]: r for r in run.status.collect()}
     assert found["B"]["usage_ratio"] == Decimal("0.899996") and found["B"]["remaining_limit"] == Decimal("0.100004")
     assert found["F"]["remaining_limit"] == -1 and found["I"]["usage_ratio"] == 2
-    assert found["D"]["remaining_limit"] == Decimal("0.1000000001")
+    assert (found["D"]["remaining_limit"], found["D"]["remaining_fine"]) == (Decimal("0.1"), 10**18)
+    assert (found["L"]["remaining_limit"], found["L"]["remaining_fine"]) == (0, -(10**17)) and found["M"]["remaining_fine"] == 10**9
 
 
 def test_reports_compare_ids_and_flags_as_spelled(spark):
@@ -208,6 +210,27 @@ def test_number_grammar(spark):
     assert values == [Decimal(1000), Decimal("0.01"), None]
 
 
+def test_two_part_numbers(spark):
+    from limitlens.functions.numbers import carried, parse_exact_profile, plain_text
+
+    texts = {
+        "100.00000000001": "100.00000000001", "79228162514264337593543950335": "79228162514264337593543950335", "79228162514264337593543950336": None,
+        "-0.0000000000001": "-0.0000000000001", "1,234.5-": "-1234.5", ".5": "0.5", "5.": "5", "1e-10": "0.0000000001", "1E+27": "1" + "0" * 27, "1e400": None,
+        "1e-400": "0", "-1.5e3": "-1500", "12.34567890123456789012345678901": "12.345678901234567890123456789", "-0": "0", "00012.10": "12.1", "x": None, "": None,
+        "1e-9999999999": "0", "1e9999999999": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["v"] for r in df.select("t", parse_exact_profile("t").alias("p")).select("t", plain_text(F.col("p.amount"), F.col("p.fine")).alias("v")).collect()}
+    assert got == texts
+    values = ["0.9999999999999999999999999999"] * 3 + ["-5.0000000000000000000000000004", "1e-10", "-2.5"]
+    sums = spark.createDataFrame([(v,) for v in values], "t string").select(parse_exact_profile("t").alias("p")).agg(F.sum("p.amount").alias("a"), F.sum("p.fine").alias("f"))
+    total = sums.select(carried(F.col("a"), F.col("f")).alias("p")).select(plain_text(F.col("p.amount"), F.col("p.fine"))).first()[0]
+    import decimal
+
+    with decimal.localcontext(prec=60):
+        assert Decimal(total) == sum(map(Decimal, values))
+
+
 def test_all_dates_equal_single_dates(spark):
     exposure = exposures(spark, [("A", "F", 95), ("B", "F", 5), ("A", "F", 120, "20260616"), ("C", "F", 1, "20260615")])
     limit = limits(spark, [("A", "F", 100), ("A", "F", 100, "Y", "20260616"), ("Q", "F", 1, "Y", "20260614")])
