@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from limitlens import schema as S
 from limitlens.functions.dates import BaseDate
 from limitlens.functions.numbers import difference
+from limitlens.plans.order import ranked
 from limitlens.plans.ranking import top_n_per_group
 from limitlens.plans.local import local_table
 
@@ -166,6 +167,11 @@ def prior_day_findings(
     return empty.unionByName(duplicate).unionByName(changed)
 
 
+def ranked_comparison(compared: DataFrame) -> DataFrame:
+    """Compared rows with their place in the order by dates, portfolio and factor."""
+    return ranked(compared, (*PAIR, "portfolio_id", "risk_factor"))
+
+
 def ordered_comparison(compared: DataFrame) -> DataFrame:
     return compared.orderBy(*PAIR, "portfolio_id", "risk_factor")
 

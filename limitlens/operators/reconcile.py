@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limitlens import schema as S
 from limitlens.functions.text import fold
 from limitlens.operators.limits import KEYS, LimitInputs, requested_dates
+from limitlens.plans.order import ranked
 from limitlens.plans.reuse import materialized
 
 _ORDER = {code: i for i, code in enumerate(S.RECON_CODES, start=1)}
@@ -337,6 +338,12 @@ def join_audit(inputs: LimitInputs, status: DataFrame) -> DataFrame:
     )
 
 
+def ranked_exceptions(exceptions: DataFrame) -> DataFrame:
+    """Exceptions with their place in that order; rows that it leaves equal follow code and spelling."""
+    order = ("base_dt", "check_order", fold("portfolio_id"), fold("risk_factor"), "code", "portfolio_id", "risk_factor")
+    return ranked(exceptions, order)
+
+
 def ordered_exceptions(exceptions: DataFrame) -> DataFrame:
     """State exceptions first, then the checks in their order, portfolio, factor, message."""
     return exceptions.orderBy(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from limitlens.functions.numbers import difference, nine_tenths_reached, quotient
 from limitlens.operators.limits import LimitInputs
+from limitlens.plans.order import ranked
 from limitlens.plans.joins import lookup_join
 
 
@@ -68,6 +69,12 @@ def limit_usage(exposures: DataFrame, limits: DataFrame, base_dt: str) -> DataFr
     })
 
 
+def ranked_usage(usage: DataFrame) -> DataFrame:
+    """Usage rows with their place: by status, highest rate first, then by what they are about."""
+    order = ("LIMIT_STATUS", F.desc_nulls_last("LIMIT_USAGE_RATE"), "DESK_CD", "PORTFOLIO_ID", "RISK_FACTOR", "LIMIT_AMT")
+    return ranked(usage, order)
+
+
 def ordered_usage(usage: DataFrame) -> DataFrame:
     return usage.orderBy("LIMIT_STATUS", F.desc("LIMIT_USAGE_RATE"))
 

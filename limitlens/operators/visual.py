@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limitlens import schema as S
 from limitlens.functions.numbers import quotient, round_half_up
 from limitlens.functions.text import fold_key
+from limitlens.plans.order import ranked
 from limitlens.plans.ranking import top_n_per_group
 
 DEFAULT_TOP_N = 10
@@ -87,6 +88,11 @@ def heatmap(status: DataFrame) -> DataFrame:
     )
 
 
+def ranked_heatmap(rows: DataFrame) -> DataFrame:
+    """Heatmap rows with their place in the order by portfolio, factor, date and row."""
+    return ranked(rows, ("portfolio_id", "risk_factor", "base_dt", "_row_no"))
+
+
 def ordered_heatmap(rows: DataFrame) -> DataFrame:
     return rows.orderBy("portfolio_id", "risk_factor", "base_dt")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limitlens.functions.dates import strict_date
 from limitlens.functions.text import clean, is_blank
 from limitlens.operators.search import CATALOG_FIELDS, catalog_entries, clause_ids
+from limitlens.plans.order import ranked
 from limitlens.plans.joins import lookup_join
 from limitlens.plans.local import local_table
 from limitlens.plans.reuse import materialized
@@ -165,6 +166,11 @@ def _shaped(table: DataFrame) -> DataFrame:
     )
 
 
+def ranked_clauses(clauses: DataFrame) -> DataFrame:
+    """Clauses with their place in the order by source, reference, version and id."""
+    return ranked(clauses, ("source_id", "clause_ref", "pack_version", "chunk_id"))
+
+
 def ordered_clauses(clauses: DataFrame) -> DataFrame:
     return clauses.orderBy("source_id", "clause_ref", "pack_version", "chunk_id")
 
