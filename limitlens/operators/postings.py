@@ -56,8 +56,8 @@ def append(entries: DataFrame, index: str, buckets: int = BUCKETS, fields: Seque
     root = f"{index}/segments/{segment}"
     postings = K.ngram_postings(entries, fields=fields).distinct().withColumn("bucket", _bucket(F.col("term"), buckets))
     # Many tasks for each bucket: rows are dealt by term, so that no bucket is one task.
-    postings.repartition("bucket", F.pmod(F.xxhash64("term", "source_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
-    entries.withColumn("bucket", _bucket(F.col("source_id"), buckets)).repartition("bucket", F.pmod(F.xxhash64(*entries.columns), F.lit(8))).sortWithinPartitions("bucket", "source_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/documents")
+    postings.repartition("bucket", F.pmod(F.xxhash64("term", "source_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/postings")
+    entries.withColumn("bucket", _bucket(F.col("source_id"), buckets)).repartition("bucket", F.pmod(F.xxhash64(*entries.columns), F.lit(8))).sortWithinPartitions("bucket", "source_id").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/documents")
     stored = spark.read.schema("term string, source_id string, bucket int").parquet(f"{root}/postings")
     total = F.sum(F.xxhash64("term", "source_id").cast("decimal(38,0)"))
     row = stored.agg(F.lit(segment).cast("long").alias("segment"), F.lit(buckets).alias("buckets"), F.lit(entries.count()).alias("documents"),

@@ -40,11 +40,14 @@ def call_patterns(rules: DataFrame) -> DataFrame:
 
 
 def with_factors(rules: DataFrame) -> DataFrame:
-    """Rules with ``factors``, in lookup form; a stored table. A rule's own ``needs`` goes first."""
+    """Rules with ``factors``, in lookup form; a stored table. A rule's own ``needs`` goes first.
+
+    Rules that don't compile are left out; ``rules.pattern_findings`` names them.
+    """
     found = F.transform(literal_factors_of(F.col("pattern")), lookup_form)
     if "needs" in rules.columns:
         found = F.when(F.length("needs") > 0, F.array(lookup_form(F.col("needs")))).otherwise(found)
-    return materialized(rules.withColumn("factors", found))
+    return materialized(rules.filter(R.valid_pattern(F.col("pattern"))).withColumn("factors", found))
 
 
 def _matches(texts: DataFrame, text: str, rules: DataFrame, flags: str) -> DataFrame:

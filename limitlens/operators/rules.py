@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from limitlens.functions.text import fold
+from limitlens.functions.text import REGEX_FLAGS, fold
 from limitlens.plans.sizing import collect_bounded
 from limitlens.plans.local import local_table
 
@@ -114,6 +114,35 @@ class RuleSet:
         return built
 
 
+def valid_pattern(pattern: Column) -> Column:
+    """Whether the regex compiles, told by the JVM's compiler on the executors; NULL does not."""
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit(REGEX_FLAGS), pattern))
+    return compiled.isNotNull()
+
+
+def pattern_findings(rules: DataFrame) -> DataFrame:
+    """A finding per rule whose pattern does not compile. Function names are no patterns."""
+    named = F.col("group").isin(BLOCKED_FUNCTION, PREFERRED_FUNCTION, COMPLETION_FUNCTION)
+    return rules.filter(~named & ~valid_pattern(F.col("pattern"))).select(
+        "group", "rule_no", "pattern", F.lit("RULE_PATTERN_INVALID").alias("code"), F.lit("High").alias("severity")
+    )
+
+
+def usable_rules(rules: DataFrame) -> DataFrame:
+    """Rules that compile; a mandatory group of which none does takes its default rules.
+
+    ``pattern_findings`` names the others.
+    """
+    named = F.col("group").isin(BLOCKED_FUNCTION, PREFERRED_FUNCTION, COMPLETION_FUNCTION)
+    good = rules.filter(named | valid_pattern(F.col("pattern")))
+    # Groups with rules, none of which compiles: a handful.
+    lost = rules.select("group").distinct().join(good.select("group").distinct(), "group", "left_anti").filter(F.col("group").isin(*MANDATORY_GROUPS))
+    defaults = default_rules(rules.sparkSession).join(F.broadcast(lost), "group", "left_semi")
+    kept = [c for c in good.columns if c in defaults.columns and c != "rule_no"]
+    order = F.lit(None).cast(rules.schema["rule_no"].dataType).alias("rule_no")
+    return good.select(*kept, "rule_no").unionByName(defaults.select(*kept, order))
+
+
 def _any_of(text: Column, words: Iterable[str]) -> Column:
     found = F.lit(False)
     for word in words:

@@ -62,6 +62,10 @@ def version_of(contents: DataFrame) -> DataFrame:
 
 
 def load_rule_set(spark: SparkSession, folder: str) -> R.RuleSet:
-    """Rule set of a folder; a mandatory group without a rule is an error."""
+    """Rule set of a folder; a mandatory group without a rule is an error.
+
+    Rules whose pattern does not compile are left out (``rules.pattern_findings`` names them);
+    a mandatory group of such rules only takes its default rules.
+    """
     version = rule_version(spark, folder).first()["rule_version"]
-    return R.RuleSet.from_table(read_rules(spark, folder), version)
+    return R.RuleSet.from_table(R.usable_rules(read_rules(spark, folder)), version)
