@@ -171,6 +171,12 @@ def difference(a: Column, b: Column) -> Column:
     return _exactly(a, b, lambda x, y: (x - y).try_cast(AMOUNT))
 
 
+def held(fields: dict[str, Column], calculate: Callable[[Column], Column]) -> Column:
+    """``calculate`` on a struct of the fields, kept out of the generated code: for what is rarely needed."""
+    row = F.struct(*[c.alias(n) for n, c in fields.items()])
+    return F.get(F.transform(F.array(row), calculate), F.lit(0))
+
+
 def is_positive(amount: Column, fine: Column) -> Column:
     return (amount > 0) | ((amount == 0) & F.coalesce(fine > 0, F.lit(False)))
 
@@ -181,26 +187,21 @@ def exceeds(used: Column, used_fine: Column, limit: Column, limit_fine: Column)
     return (used > limit) | ((used == limit) & (F.coalesce(used_fine, zero) > F.coalesce(limit_fine, zero)))
 
 
-def nine_tenths_reached(used: Column, limit: Column, used_fine: Column | None = None, limit_fine: Column | None = None) -> Column:
+def nine_tenths_reached(used: Column, limit: Column) -> Column:
     """Whether ``used`` is at least 90 % of ``limit``; without division."""
-    plain = _exactly(used, limit, lambda x, y: x * 10 >= y * 9)
-    if used_fine is None or limit_fine is None:
-        return plain
-    # The fine parts decide where the nine decimals leave less than they can change.
+    return _exactly(used, limit, lambda x, y: x * 10 >= y * 9)
+
+
+def nine_tenths_reached_exactly(used: Column, used_fine: Column, limit: Column, limit_fine: Column) -> Column:
+    """The same to the 28th decimal: the fine parts decide where nine decimals leave less than they can change."""
     zero = F.lit(0).cast(FINE)
     left = _exactly(used, limit, lambda x, y: (x * 10 - y * 9).try_cast(AMOUNT))
-    near = F.abs(left) < F.lit(Decimal("0.00000002"))
     units = (left.try_cast("decimal(12,9)") * F.lit(Decimal(10**9))).cast("decimal(6,0)") * F.lit(_FINE_UNITS)
     fine = F.coalesce(used_fine, zero) * 10 - F.coalesce(limit_fine, zero) * 9
-    return F.when((used_fine.isNotNull() | limit_fine.isNotNull()) & near, units + fine >= 0).otherwise(plain)
+    return F.when(F.abs(left) < F.lit(Decimal("0.00000002")), units + fine >= 0).otherwise(left > 0)
 
 
-def _rough(amount: Column, fine: Column | None) -> Column:
-    value = amount.cast("double")
-    return value if fine is None else value + F.coalesce(fine.cast("double") * 1e-28, F.lit(0.0))
-
-
-def quotient(used: Column, limit: Column, used_fine: Column | None = None, limit_fine: Column | None = None) -> Column:
+def quotient(used: Column, limit: Column) -> Column:
     """``used / limit`` with 16 decimals; NULL for a zero limit.
 
     Amounts too large or too fine for a decimal quotient of that scale are divided as doubles.
@@ -209,11 +210,14 @@ def quotient(used: Column, limit: Column, used_fine: Column | None = None, limit
         x, y = used.try_cast(kind), limit.try_cast(kind)
         return F.when((x == used) & (y == limit), F.try_divide(x, y).try_cast(RATIO))
 
-    rough = F.try_divide(_rough(used, used_fine), _rough(limit, limit_fine)).try_cast(RATIO)
-    exact = F.coalesce(*map(divided, _DIVIDED), rough)
-    if used_fine is None or limit_fine is None:
-        return exact
-    return F.when(used_fine.isNotNull() | limit_fine.isNotNull(), rough).otherwise(exact)
+    rough = F.try_divide(used.cast("double"), limit.cast("double")).try_cast(RATIO)
+    return F.coalesce(*map(divided, _DIVIDED), rough)
+
+
+def quotient_of_parts(used: Column, used_fine: Column, limit: Column, limit_fine: Column) -> Column:
+    """``used / limit`` of two-part amounts, divided as doubles."""
+    rough = lambda amount, fine: amount.cast("double") + F.coalesce(fine.cast("double") * 1e-28, F.lit(0.0))
+    return F.try_divide(rough(used, used_fine), rough(limit, limit_fine)).try_cast(RATIO)
 
 
 def round_half_up(value: Column, places: int) -> Column:

@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from limitlens import schema as S
 from limitlens.functions.dates import BaseDate
-from limitlens.functions.numbers import amount_column, carried, difference, exceeds, is_positive, nine_tenths_reached, quotient
+from limitlens.functions.numbers import (
+    amount_column, carried, difference, exceeds, held, is_positive, nine_tenths_reached,
+    nine_tenths_reached_exactly, quotient, quotient_of_parts,
+)
 from limitlens.functions.text import clean, equals_ignore_case, fold
 from limitlens.plans.joins import lookup_join
 from limitlens.plans.reuse import materialized
@@ -208,12 +211,18 @@ def limit_lookup(inputs: LimitInputs) -> DataFrame:
 
 def classify(amount: Column, limit: Column, fine: Column, limit_fine: Column) -> Column:
     """BREACH above the limit, WARNING from 90 %, else NORMAL; exact, without division."""
-    used, used_fine = F.abs(amount), F.abs(fine)
-    return (
-        F.when(exceeds(used, used_fine, limit, limit_fine), S.BREACH)
-        .when(nine_tenths_reached(used, limit, used_fine, limit_fine), S.WARNING)
-        .otherwise(S.NORMAL)
-    )
+    used = F.abs(amount)
+    plain = F.when(used > limit, S.BREACH).when(nine_tenths_reached(used, limit), S.WARNING).otherwise(S.NORMAL)
+
+    def exact(p: Column) -> Column:
+        parts = (p["used"], p["used_fine"], p["limit"], p["limit_fine"])
+        return F.when(exceeds(*parts), S.BREACH).when(nine_tenths_reached_exactly(*parts), S.WARNING).otherwise(S.NORMAL)
+
+    return F.when(fine.isNotNull() | limit_fine.isNotNull(), held(_parts(used, fine, limit, limit_fine), exact)).otherwise(plain)
+
+
+def _parts(used: Column, fine: Column, limit: Column, limit_fine: Column) -> dict[str, Column]:
+    return {"used": used, "used_fine": F.abs(fine), "limit": limit, "limit_fine": limit_fine}
 
 
 def limit_status(inputs: LimitInputs) -> DataFrame:
@@ -262,18 +271,23 @@ def _shape(joined: DataFrame) -> DataFrame:
         .otherwise("exposure amount is not a number")
     )
     keeps_limit = numeric | (F.col("status") == S.INVALID_LIMIT)
-    left = difference(F.col("limit_amt"), used)
-    zero_fine = F.lit(0).cast(S.FINE)
-    fine = F.coalesce("limit_fine", zero_fine) - F.coalesce(F.abs("exposure_fine"), zero_fine)
-    fine_left = F.when(F.col("limit_fine").isNotNull() | F.col("exposure_fine").isNotNull(), carried(left, fine))
+    finer = F.col("limit_fine").isNotNull() | F.col("exposure_fine").isNotNull()
+    parts = _parts(used, F.col("exposure_fine"), F.col("limit_amt"), F.col("limit_fine"))
+
+    def remaining(p: Column) -> Column:
+        none = F.lit(0).cast(S.FINE)
+        return carried(difference(p["limit"], p["used"]), F.coalesce(p["limit_fine"], none) - F.coalesce(p["used_fine"], none))
+
+    fine_left = F.when(finer, held(parts, remaining))
     return joined.select(
         "base_dt", "desk_cd", "portfolio_id", "product_type", "risk_factor", "ccy_cd",
         F.when(F.col("status") == S.MAPPING_ERROR, zero)
         .otherwise(F.col("exposure_amt")).alias("exposure_amt"),
         F.when(keeps_limit, F.coalesce("limit_amt", zero)).otherwise(zero).alias("limit_amt"),
-        F.when(numeric, quotient(used, F.col("limit_amt"), F.abs("exposure_fine"), F.col("limit_fine")))
+        F.when(numeric & finer, held(parts, lambda p: quotient_of_parts(p["used"], p["used_fine"], p["limit"], p["limit_fine"])))
+        .when(numeric, quotient(used, F.col("limit_amt")))
         .otherwise(F.lit(0).cast(S.RATIO)).alias("usage_ratio"),
-        F.when(numeric, F.coalesce(fine_left["amount"], left)).otherwise(F.lit(0).cast(S.REMAINING)).alias("remaining_limit"),
+        F.when(numeric, F.coalesce(fine_left["amount"], difference(F.col("limit_amt"), used))).otherwise(F.lit(0).cast(S.REMAINING)).alias("remaining_limit"),
         "status",
         note.alias("note"),
         "unit_cd", "pf_key", "rf_key",

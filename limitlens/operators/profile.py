@@ -109,10 +109,9 @@ def _parsed(df: DataFrame, names: list[str]) -> DataFrame:
     for i, c in enumerate(names):
         if _is_text(df, c):
             number = parse_exact_profile(F.col(f"`{c}`"))
-            # The fine part is filled, so that pairs compare as numbers do.
-            pair = F.when(number.isNotNull(), F.struct(number["amount"].alias("amount"), F.coalesce(number["fine"], F.lit(0)).alias("fine")))
             columns += [
-                pair.alias(f"v{i}"), double_of(df, c).alias(f"d{i}"), is_null_token(df, c).alias(f"z{i}")
+                number["amount"].alias(f"v{i}"), number["fine"].alias(f"f{i}"), double_of(df, c).alias(f"d{i}"),
+                is_null_token(df, c).alias(f"z{i}"),
             ]
         else:
             columns.append(F.col(f"`{c}`").alias(f"v{i}"))
@@ -121,26 +120,35 @@ def _parsed(df: DataFrame, names: list[str]) -> DataFrame:
 
 def _first_pass(df: DataFrame, name: str, i: int) -> Column:
     """Count, text count, sum, range and double sum of one candidate column."""
-    value = F.col(f"v{i}")
-    none = F.lit(None).cast("decimal(38,0)")
+    value, fine = F.col(f"v{i}"), F.lit(None).cast("decimal(28,0)")
     if _is_text(df, name):
-        bad, rough = F.count_if(~F.col(f"z{i}") & value.isNull()), F.col(f"d{i}")
-        total, low, high = F.try_sum(value["amount"]), F.min(value), F.max(value)
-        fine = (F.try_sum(value["fine"].cast("decimal(28,0)")), low["fine"], high["fine"])
-        low, high = low["amount"], high["amount"]
+        number, bad, rough = value, F.count_if(~F.col(f"z{i}") & value.isNull()), F.col(f"d{i}")
+        fine = F.col(f"f{i}").cast("decimal(28,0)")
     else:
         # Native values need no parsing; their range is taken as it is.
-        bad, rough = F.lit(0).cast("long"), value.cast("double")
-        total, low, high = F.try_sum(value.try_cast(PROFILE_NUMBER)), F.min(value).try_cast(PROFILE_NUMBER), F.max(value).try_cast(PROFILE_NUMBER)
-        fine = (none, none, none)
-    parts = [x.alias(m) for m, x in (("total", total), ("low", low), ("high", high))]
-    parts += [x.cast("decimal(38,0)").alias(f"{m}_fine") for m, x in zip(("total", "low", "high"), fine)]
-    return F.struct(F.count(value).alias("n"), bad.alias("bad"), *parts, F.sum(rough).alias("dsum"))
+        number, bad, rough = value.try_cast(PROFILE_NUMBER), F.lit(0).cast("long"), value.cast("double")
+    return F.struct(
+        F.count(value).alias("n"), bad.alias("bad"), F.try_sum(number).alias("total"),
+        F.min(value).try_cast(PROFILE_NUMBER).alias("low"), F.max(value).try_cast(PROFILE_NUMBER).alias("high"),
+        F.sum(rough).alias("dsum"), F.try_sum(fine).alias("total_fine"), F.count(fine).alias("fines"),
+    )
+
+
+def _with_fine_range(parsed: DataFrame, stats: dict[str, dict], names: list[str]) -> None:
+    """Exact range of the columns that have finer values than nine decimals: one more pass over those."""
+    finer = [c for c, s in stats.items() if s["fines"]]
+    if not finer:
+        return
+    pairs = {c: F.when(F.col(f"v{names.index(c)}").isNotNull(), F.struct(f"v{names.index(c)}", F.coalesce(f"f{names.index(c)}", F.lit(0)).alias("fine"))) for c in finer}
+    row = parsed.agg(*[f(p).alias(f"{n}{i}") for i, p in enumerate(pairs.values()) for f, n in ((F.min, "low"), (F.max, "high"))]).first()
+    for i, c in enumerate(finer):
+        for n in ("low", "high"):
+            stats[c][n], stats[c][f"{n}_fine"] = row[f"{n}{i}"]
 
 
-def _exact(stats, metric: str) -> Decimal | None:
+def _exact(stats: dict, metric: str) -> Decimal | None:
     """A statistic with all its decimals."""
-    amount, fine = stats[metric], stats[f"{metric}_fine"]
+    amount, fine = stats[metric], stats.get(f"{metric}_fine")
     return None if amount is None else _WIDE.add(amount, _WIDE.scaleb(fine or 0, -28))
 
 
@@ -169,12 +177,14 @@ def numeric_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     schema = _NUMERIC_SCHEMA + (_EXACT_SCHEMA if exact else "")
     if not names:
         return local_table(df.sparkSession, [], schema)
-    first = _parsed(df, names).agg(*[_first_pass(df, c, i).alias(f"s{i}") for i, c in enumerate(names)]).first()
-    stats = {c: first[f"s{i}"] for i, c in enumerate(names)}
+    parsed = _parsed(df, names)
+    first = parsed.agg(*[_first_pass(df, c, i).alias(f"s{i}") for i, c in enumerate(names)]).first()
+    stats = {c: first[f"s{i}"].asDict() for i, c in enumerate(names)}
     numeric = {c: s for c, s in stats.items() if s["bad"] == 0 and s["n"] > 0}
     if not numeric:
         return local_table(df.sparkSession, [], schema)
 
+    _with_fine_range(parsed, numeric, names)
     tested = [c for c, s in numeric.items() if s["n"] >= MIN_ROWS_FOR_OUTLIERS]
     gaps = df.select(*[
         (double_of(df, c) - F.lit(numeric[c]["dsum"] / numeric[c]["n"])).alias(f"g{i}") for i, c in enumerate(tested)
