@@ -120,7 +120,7 @@ def log_findings(log: DataFrame, source: str) -> DataFrame:
 
 
 def dashboard_counters(records: DataFrame, examples: DataFrame, reports: DataFrame) -> DataFrame:
-    """Audit records, promoted examples and reports written."""
+    """Audit records, promoted examples and reports: the dates of ``reports``, e.g. ``published.commits``."""
     def counted(df: DataFrame, metric: str, column: Column) -> DataFrame:
         return df.agg(column.alias("value")).select(F.lit(metric).alias("metric"), "value")
 
