@@ -1,12 +1,19 @@
 """Log-bilinear language model with noise-contrastive estimation, and corpus word counts.
 
-Word counts of all training texts are shuffled by word hash. The most frequent words are the
-model's vocabulary; every other word is predicted as "another word" and then by its count.
-The model predicts a word's vector from those of the two words before. It is trained in
-numpy inside Spark tasks, on all training texts: in each round every task starts from the
-same parameters and learns from its share, and the parameters are averaged by words learned.
-The normaliser of every context is computed by matrix products, so token probabilities sum
-to one.
+Every word of the corpus is a leaf's word in a tree of three levels: classes by word ending, in
+them classes by word beginning, in them leaves by hash. The leaves grow with the distinct words
+of the corpus. A token's probability is the product of the model's probabilities of its class, its
+subclass and its leaf, given the words before, and of the share that the word's count has of
+its leaf. Context and predicted vectors belong to the nodes of the tree, so rare and unseen words
+have vectors too: a context word's vector is the sum of those on its path.
+
+The model starts as the unigram model of the counts and is trained in numpy inside Spark
+tasks, on all training texts, several times over. Texts are dealt to shards by a hash of id and
+text and learned from in the order of that hash, so the result does not depend on how the
+rows are stored or split, and a task that is run again learns the same. In each round every
+shard starts from the same parameters; each parameter row is then averaged over the shards, by
+the tokens that moved it. Normalisers are exact sums over a node's children, by matrix
+products.
 
 A bounded number of frequent words is broadcast with their counts. The rest, rare by
 choice, is joined, so no key of that join is hot.
@@ -24,14 +31,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limitlens.llm import words as W
 from limitlens.plans.reuse import materialized
 
-#: Words of the model, entries of a vector, noise words for each batch, words of a batch.
-VOCABULARY, WIDTH, NOISE, BATCH = 512, 16, 32, 4096
-#: Rounds of training; each takes its share of the training texts.
-ROUNDS, RATE = 3, 0.1
+#: Words of context, entries of a vector, tokens of a batch.
+CONTEXT, WIDTH, BATCH = 4, 16, 4096
+#: Noise classes for each batch; noise children for each token and level below.
+NOISE_CLASSES, NOISE = 16, 2
+#: Rounds of training, each over all training texts.
+ROUNDS, RATE = 2, 0.1
 #: Words broadcast with their counts: 16 bytes each.
 HEAD_WORDS = 1 << 20
+#: Shards at least; each learns from this many tokens per leaf or more, beyond that many shards.
+SHARDS, LEAF_TOKENS = 8, 32
+# Bits of a word's key that name its class and, in that, its subclass; the others are a hash.
+_CLASS = 6
+# The key of a text's end; no word of a text has it but by chance of 2^-64.
+END = 0x243F6A8885A308D3
 # Distinct words a counting task holds before it hands them on.
 _HELD_WORDS = 1 << 21
+# Parameter rows handed on together.
+_BLOCK = 256
 
 
 def held_out_seventh(key: str = "doc_id") -> Column:
@@ -39,12 +56,24 @@ def held_out_seventh(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 7 == 2, F.lit(False))
 
 
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit keys of words: 6 bits from the last two bytes, 6 from the first two, 52 from the whole."""
+    pair = lambda one, two: data[one].astype(np.uint64) | (np.where(starts < ends - 1, data[two], 0).astype(np.uint64) << np.uint64(8))
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    top = np.uint64(64 - _CLASS)
+    ending = W.mix(pair(ends - 1, np.maximum(ends - 2, 0))) >> top
+    beginning = W.mix(pair(starts, np.minimum(starts + 1, len(data) - 1)) | np.uint64(1 << 16)) >> top
+    rest = W.span_hashes(data, starts, ends) & np.uint64((1 << (64 - 2 * _CLASS)) - 1)
+    return ((ending << top) | (beginning << np.uint64(64 - 2 * _CLASS)) | rest).view(np.int64)
+
+
 def _words(column, limit: int = W.SLICE_BYTES):
-    """(first row, row after the last, word hashes, word bounds) of each slice."""
+    """(first row, row after the last, word keys, word bounds) of each slice."""
     for low, high, data, offsets in W.text_slices(column, limit):
         data = W.LOWER[data]
         starts, ends, bounds = W.spans(data, offsets, W.SPACED)
-        yield low, high, W.span_hashes(data, starts, ends).view(np.int64), bounds
+        yield low, high, word_keys(data, starts, ends), bounds
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +83,7 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): how often each word, as a hash, occurs in all texts."""
+    """(word, n): how often each word, as a key, occurs in all texts."""
 
     def count(batches):
         keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -82,7 +111,7 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Counts:
-    """Totals of the training texts and the frequent words, by hash."""
+    """Totals of the training texts and the frequent words, by key."""
 
     table: DataFrame  # (word, n), stored
     tokens: int
@@ -111,155 +140,309 @@ def count_corpus(training: DataFrame, text: str = "text", head_words: int = HEAD
     return Counts(table, int(tokens), int(types), texts, head["word"].to_numpy()[order], head["n"].to_numpy()[order], int(least))
 
 
+def leaf_bits(types: int) -> int:
+    """Bits of a leaf within its subclass: leaves grow with the root of the distinct words."""
+    return max(0, int(np.log2(max(types, 1)) / 2 - 5))
+
+
 class LogBilinear:
-    """Vectors of context and predicted words. Numbers: 0..k-1 words, k another word, k+1 the end, k+2 the beginning."""
+    """Vectors of context and of predicted nodes, as rows of one matrix; the last column is the bias.
+
+    A leaf's number holds class and subclass in its upper bits. Number ``leaves`` stands for
+    the places before a text.
+    """
 
-    def __init__(self, words: np.ndarray, frequencies: np.ndarray, width: int = WIDTH, seed: int = 11):
-        """``words`` are hashes; ``frequencies`` count them, other words and ends."""
+    def __init__(self, n: np.ndarray, types: np.ndarray, width: int = WIDTH, seed: int = 11):
+        """``n`` and ``types`` count tokens and distinct words of each leaf, 2^(12 + bits) in all."""
+        self.leaves, self.width = len(n), width
+        self.bits = int(np.log2(self.leaves)) - 2 * _CLASS
+        # One unseen word more per leaf.
+        self.mass = n + types + 1.0
+        nodes = (1 << _CLASS, 1 << 2 * _CLASS, self.leaves)
+        self.into = tuple(np.cumsum((0,) + nodes))
+        self.out = tuple(self.into[3] + 1 + x for x in self.into[:3])
+        self.near = self.out[0] + self.into[3]
         rng = np.random.default_rng(seed)
-        self.order = np.argsort(words)
-        self.words = words[self.order]
-        k = len(words)
-        self.k = k
-        share = (frequencies + 1.0) / (frequencies + 1.0).sum()
-        self.noise = share.astype(np.float32)
-        self.context = rng.normal(0, 0.1, (k + 3, width)).astype(np.float32)
-        self.output = rng.normal(0, 0.1, (k + 2, width)).astype(np.float32)
-        self.bias = np.log(share).astype(np.float32)
-        self.near = np.ones((2, width), np.float32) * 0.5
-        self.normaliser: np.ndarray | None = None
-
-    PARTS = ("context", "output", "bias", "near")
-
-    def parameters(self) -> np.ndarray:
-        return np.concatenate([getattr(self, p).ravel() for p in self.PARTS])
-
-    def load(self, values: np.ndarray) -> None:
-        at = 0
-        for p in self.PARTS:
-            old = getattr(self, p)
-            setattr(self, p, values[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
-
-    def numbers(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every token of the texts, ends included, with the two before it."""
+        rows = self.rows = np.zeros((self.near + CONTEXT, width + 1), np.float32)
+        rows[: self.into[2], :-1] = rng.normal(0, 0.3, (self.into[2], width))
+        rows[self.near :, :-1] = 0.5
+        above = np.array([self.mass.sum()])
+        for level in range(3):
+            mass = self.mass.reshape(nodes[level], -1).sum(axis=1)
+            fan = nodes[level] // len(above)
+            rows[self.out[level] : self.out[level] + nodes[level], -1] = np.log(mass / np.repeat(above, fan))
+            above = mass
+
+    def shift(self, level: int) -> int:
+        """What a leaf's number is shifted by to give its node."""
+        return (_CLASS + self.bits, self.bits, 0)[level]
+
+    def fan(self, level: int) -> int:
+        return (1 << _CLASS, 1 << _CLASS, 1 << self.bits)[level]
+
+    def numbers(self, keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Leaves of the tokens of the texts, ends included, with places before each text."""
         n = len(bounds) - 1
-        ids = np.full(len(hashes) + 3 * n, self.k + 2, np.int32)
+        ids = np.full(len(keys) + (CONTEXT + 1) * n, self.leaves, np.int32)
+        down = np.uint64(64 - 2 * _CLASS - self.bits)
         owner = np.repeat(np.arange(n), np.diff(bounds))
-        at = np.arange(len(hashes)) + 3 * owner + 2
-        if self.k:
-            found = np.minimum(np.searchsorted(self.words, hashes), self.k - 1)
-            ids[at] = np.where(self.words[found] == hashes, self.order[found], self.k)
-        else:
-            ids[at] = self.k
-        ends = bounds[1:] + 3 * np.arange(n) + 2
-        ids[ends] = self.k + 1
-        target = np.ones(len(ids), bool)
-        starts = bounds[:-1] + 3 * np.arange(n)
-        target[starts] = target[starts + 1] = False
-        at = np.flatnonzero(target)
-        return ids[at], ids[at - 1], ids[at - 2]
-
-    def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The vector that each context predicts."""
-        return self.context[one] * self.near[0] + self.context[two] * self.near[1]
-
-    def normalise(self) -> None:
-        """Log of the summed exponentials for every pair of words before, by matrix products."""
-        size = self.k + 3
-        table = np.empty((size, size), np.float32)
-        for one in range(size):
-            logits = (self.context[one] * self.near[0] + self.context * self.near[1]) @ self.output.T + self.bias
-            top = logits.max(axis=1, keepdims=True)
-            table[one] = (np.log(np.exp(logits - top).sum(axis=1, keepdims=True)) + top)[:, 0]
-        self.normaliser = table
-
-    def log_probabilities(self, target, one, two) -> np.ndarray:
-        """Natural log probability of each token given the two before."""
-        out = np.empty(len(target), np.float64)
-        for cut in range(0, len(target), 1 << 16):
-            s = slice(cut, cut + (1 << 16))
-            q = self.predicted(one[s], two[s])
-            out[s] = np.einsum("bd,bd->b", q, self.output[target[s]]) + self.bias[target[s]] - self.normaliser[one[s], two[s]]
+        ids[np.arange(len(keys)) + (CONTEXT + 1) * owner + CONTEXT] = (keys.view(np.uint64) >> down).astype(np.int32)
+        ids[bounds[1:] + (CONTEXT + 1) * np.arange(n) + CONTEXT] = int(np.uint64(END) >> down)
+        return ids
+
+    def context(self, ids: np.ndarray) -> np.ndarray:
+        """The vector of each token as context."""
+        leaf = np.minimum(ids, self.leaves - 1)
+        out = self.rows[self.into[2] + leaf]
+        for level in (0, 1):
+            out += self.rows[self.into[level] + (leaf >> self.shift(level))]
+        out[ids == self.leaves] = self.rows[self.into[3]]
         return out
 
+    def predicted(self, vectors: np.ndarray) -> np.ndarray:
+        """What the vectors before each place predict there; the last entry, for the bias, is 1."""
+        out = np.zeros_like(vectors)
+        for back in range(CONTEXT):
+            out[back + 1 :] += vectors[: -back - 1] * self.rows[self.near + back]
+        out[:, -1] = 1
+        return out
 
-class _Trainer:
-    """AdaGrad steps of noise-contrastive estimation on one task's share."""
-
-    def __init__(self, model: LogBilinear, seed: int):
-        self.model, self.rng, self.learned = model, np.random.default_rng(seed), 0
-        self.squares = {p: np.full(getattr(model, p).shape, 1e-3, np.float32) for p in model.PARTS}
-        self.cumulated = np.cumsum(model.noise.astype(np.float64))
-
-    def _apply(self, part: str, gradient: np.ndarray) -> None:
-        held = self.squares[part]
-        held += gradient * gradient
-        getattr(self.model, part).__iadd__(RATE * gradient / np.sqrt(held))
-
-    @staticmethod
-    def _summed(shape, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Rows added up by number."""
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        out = np.zeros(shape, np.float32)
-        out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    def log_probabilities(self, ids: np.ndarray) -> np.ndarray:
+        """Natural log probability of each token's leaf given the words before; 0 before a text."""
+        out = np.zeros(len(ids))
+        for cut in range(0, len(ids), 1 << 18):
+            low = max(0, cut - CONTEXT)
+            q = self.predicted(self.context(ids[low : cut + (1 << 18)]))[cut - low :]
+            leaf = ids[cut : cut + (1 << 18)]
+            order = np.argsort(leaf, kind="stable")
+            order = order[: np.searchsorted(leaf[order], self.leaves)]
+            leaf, q = leaf[order], q[order]
+            total = np.zeros(len(leaf))
+            for level in range(3):
+                if self.fan(level) > 1:
+                    rows = max(1, (1 << 20) // self.fan(level))
+                    for at in range(0, len(leaf), rows):
+                        total[at : at + rows] += self._among_siblings(level, leaf[at : at + rows] >> self.shift(level), q[at : at + rows])
+            out[cut + order] = total
         return out
 
-    def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    def _among_siblings(self, level: int, node: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Log probability of each node, in ascending order, among its parent's children."""
+        fan = self.fan(level)
+        parent = node // fan
+        first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+        logits = np.empty((len(node), fan), np.float32)
+        for s, e in zip(first, np.append(first[1:], len(node))):
+            at = self.out[level] + int(parent[s]) * fan
+            np.matmul(q[s:e], self.rows[at : at + fan].T, out=logits[s:e])
+        logits -= logits.max(axis=1, keepdims=True)
+        own = logits[np.arange(len(node)), node % fan].astype(np.float64)
+        return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+
+class _Trainer:
+    """AdaGrad steps of noise-contrastive estimation on one shard's tokens."""
+
+    def __init__(self, model: LogBilinear, seed, rate: float = RATE):
+        self.model, self.rng, self.rate = model, np.random.default_rng(seed), rate
+        self.squares = np.ones(len(model.rows), np.float32)
+        self.moved = np.zeros(len(model.rows), np.float32)
+        self.held = [np.full(CONTEXT, model.leaves, np.int32)]
+        self.waiting = 0
+
+    def _apply(self, at: np.ndarray, gradient: np.ndarray, tokens) -> None:
+        self.squares[at] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
+        self.model.rows[at] += self.rate * gradient / np.sqrt(self.squares[at])[:, None]
+        self.moved[at] += tokens
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Takes the shard's tokens in order, however they are cut."""
+        self.held.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= BATCH:
+            ids = np.concatenate(self.held)
+            whole = self.waiting // BATCH * BATCH
+            for cut in range(0, whole, BATCH):
+                self._step(ids[cut : cut + BATCH + CONTEXT])
+            self.held, self.waiting = [ids[whole:]], self.waiting - whole
+
+    def finish(self) -> None:
+        if self.waiting:
+            self._step(np.concatenate(self.held))
+            self.held, self.waiting = [self.held[-1][:0]], 0
+
+    def _step(self, ids: np.ndarray) -> None:
+        """One batch; its first places are context only."""
+        m = self.model
+        vectors = m.context(ids)
+        q = m.predicted(vectors)
+        order = np.argsort(ids, kind="stable")
+        leaf = ids[order]
+        real = int(np.searchsorted(leaf, m.leaves))
+        order, leaf = order[:real], leaf[:real]
+        pull = np.zeros_like(q)
+        if real:
+            q = q[order]
+            learned = (order >= CONTEXT).astype(np.float32)
+            wanted = np.zeros_like(q)
+            self._classes(leaf >> m.shift(0), q, learned, wanted)
+            for level in (1, 2):
+                if m.fan(level) > 1:
+                    self._level(m.out[level], leaf >> m.shift(level), m.fan(level), q, learned, wanted)
+            wanted[:, -1] = 0
+            pull[order] = wanted
+        # Contexts: each place gives to those before it.
+        give, near = np.zeros_like(pull), np.zeros((CONTEXT, pull.shape[1]), np.float32)
+        for back in range(CONTEXT):
+            give[: -back - 1] += pull[back + 1 :] * m.rows[m.near + back]
+            near[back] = np.einsum("ij,ij->j", pull[back + 1 :], vectors[: -back - 1])
+        if real:
+            sums, node, tokens = give[order], leaf, np.ones(real, np.float32)
+            for level in (2, 1, 0):
+                now = leaf >> m.shift(level) if level == 2 else node >> (m.shift(level) - m.shift(level + 1))
+                first = np.flatnonzero(np.concatenate([[True], now[1:] != now[:-1]]))
+                sums, tokens, node = np.add.reduceat(sums, first, axis=0), np.add.reduceat(tokens, first), now[first]
+                self._apply(m.into[level] + node, sums, tokens)
+        before = ids == m.leaves
+        if before.any():
+            self._apply(np.array([m.into[3]]), give[before].sum(axis=0, keepdims=True), before.sum())
+        self._apply(m.near + np.arange(CONTEXT), near, real)
+
+    def _classes(self, node: np.ndarray, q, learned, wanted) -> None:
+        """True classes against noise classes that the batch shares, drawn evenly."""
         m = self.model
-        for cut in range(0, len(target), BATCH):
-            w, a, b = (x[cut : cut + BATCH] for x in (target, one, two))
-            size = len(w)
-            noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), m.k + 1)
-            shift = np.log(NOISE * m.noise)
-            q = m.predicted(a, b)
-            own = np.einsum("bd,bd->b", q, m.output[w]) + m.bias[w] - shift[w]
-            other = q @ m.output[noise].T + (m.bias[noise] - shift[noise])
-            up = (1 / (1 + np.exp(np.clip(own, -30, 30)))).astype(np.float32) / size
-            down = (1 / (1 + np.exp(-np.clip(other, -30, 30)))).astype(np.float32) / size
-            dq = up[:, None] * m.output[w] - down @ m.output[noise]
-            output = self._summed(m.output.shape, w, up[:, None] * q)
-            np.subtract.at(output, noise, down.T @ q)
-            bias = np.bincount(w, up, m.k + 2) - np.bincount(noise, down.sum(axis=0), m.k + 2)
-            context = self._summed(m.context.shape, np.concatenate([a, b]), np.concatenate([dq * m.near[0], dq * m.near[1]]))
-            near = np.stack([(dq * m.context[a]).sum(axis=0), (dq * m.context[b]).sum(axis=0)])
-            for part, gradient in (("output", output), ("bias", bias.astype(np.float32)), ("context", context), ("near", near)):
-                self._apply(part, gradient)
-            self.learned += size
-
-
-def train(training: DataFrame, counts: Counts, text: str = "text", vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> LogBilinear:
-    """The model after all training texts have been learned from, each in one of the rounds."""
-    top = np.lexsort((counts.head, -counts.head_n))[:vocabulary]
-    words = counts.head[top]
-    known = counts.head_n[top]
-    frequencies = np.concatenate([known, [counts.tokens - counts.texts - known.sum(), counts.texts]]).astype(float)
-    model = LogBilinear(words, frequencies)
+        fan = m.fan(0)
+        table = m.rows[m.out[0] : m.out[0] + fan]
+        noise = self.rng.integers(0, fan, NOISE_CLASSES)
+        even = np.float32(np.log(NOISE_CLASSES / fan))
+        drawn = table[noise]
+        scores = q @ drawn.T
+        up = learned / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, table[node]) - even, -30, 30)))
+        down = learned[:, None] / (1 + np.exp(np.clip(even - scores, -30, 30)))
+        wanted += up[:, None] * table[node] - down @ drawn
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        gradient, tokens = np.zeros_like(table), np.zeros(fan, np.float32)
+        gradient[node[first]] = np.add.reduceat(up[:, None] * q, first, axis=0)
+        tokens[node[first]] = np.add.reduceat(learned, first)
+        np.subtract.at(gradient, noise, down.T @ q)
+        self._apply(m.out[0] + np.arange(fan), gradient, tokens)
+
+    def _level(self, start: int, node: np.ndarray, fan: int, q, learned, wanted) -> None:
+        """True children against noise children drawn evenly from their siblings; nodes ascend."""
+        m = self.model
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))
+        distinct, tokens = node[first], np.add.reduceat(learned, first)
+        moves = []
+        for turn, by in enumerate([0, *self.rng.integers(0, fan, NOISE)]):
+            # One step for all tokens maps siblings to siblings, so the rows stay distinct.
+            at = start + (distinct // fan * fan + (distinct + by) % fan)
+            rows = m.rows[at][group]
+            score = np.clip(np.einsum("ij,ij->i", q, rows) - np.float32(np.log(NOISE / fan)), -30, 30)
+            weight = learned / (1 + np.exp(score)) if turn == 0 else -learned / (1 + np.exp(-score))
+            wanted += weight[:, None] * rows
+            moves.append((at, np.add.reduceat(weight[:, None] * q, first, axis=0)))
+        for turn, (at, gradient) in enumerate(moves):
+            self._apply(at, gradient, tokens if turn == 0 else 0)
+
+
+def leaf_counts(counts: Counts, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens and distinct words of each leaf, ends included."""
+    n, types = np.zeros(1 << (2 * _CLASS + bits)), np.zeros(1 << (2 * _CLASS + bits))
+    leaf = F.shiftrightunsigned("word", 64 - 2 * _CLASS - bits)
+    found = counts.table.groupBy(leaf.cast("int").alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()
+    at = found["leaf"].to_numpy()
+    n[at], types[at] = found["n"].to_numpy(), found["types"].to_numpy()
+    if counts.texts:
+        end = END >> (64 - 2 * _CLASS - bits)
+        n[end] += counts.texts
+        types[end] += 1
+    return n, types
+
+
+def _mean_rows(shares: DataFrame, width: int) -> DataFrame:
+    """(block, at, v) of (block, shard, at, v, w): rows averaged by weight, added in order of shards."""
+
+    def run(batches):
+        held, sums, weights = None, None, None
+
+        def result():
+            at = np.flatnonzero(weights > 0)
+            mean = (sums[at] / weights[at, None]).astype(np.float32)
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([at.astype(np.int16).tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], ["block", "at", "v"])
+
+        for batch in batches:
+            for block, at, v, w in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if block != held:
+                    if held is not None:
+                        yield result()
+                    held, sums, weights = block, np.zeros((_BLOCK, width)), np.zeros(_BLOCK)
+                at, w = np.frombuffer(at, np.int16), np.frombuffer(w, np.float32).astype(np.float64)
+                sums[at] += np.frombuffer(v, np.float32).reshape(-1, width) * w[:, None]
+                weights[at] += w
+        if held is not None:
+            yield result()
+
+    ordered = shares.repartition("block").sortWithinPartitions("block", "shard").select("block", "at", "v", "w")
+    return W.map_batches(ordered, run, "block int, at binary, v binary")
+
+
+def train(training: DataFrame, counts: Counts, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, bits: int | None = None) -> LogBilinear:
+    """The model after ``rounds`` passes over all training texts."""
+    bits = leaf_bits(counts.types) if bits is None else bits
+    model = LogBilinear(*leaf_counts(counts, bits))
+    shards = max(SHARDS, counts.tokens // (LEAF_TOKENS * model.leaves))
     context = training.sparkSession.sparkContext
-    parts = training.select(F.col(text).cast("string").alias("text")).withColumn("turn", F.pmod(F.xxhash64("text"), F.lit(rounds)))
+    plain = LogBilinear.__new__(LogBilinear)
+    plain.leaves, plain.bits = model.leaves, model.bits
+
+    def number(batches):
+        for batch in batches:
+            for low, high, keys, bounds in _words(batch.column(1)):
+                ids = plain.numbers(keys, bounds)
+                cuts = bounds + (CONTEXT + 1) * np.arange(len(bounds))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))], ["place", "ids"])
+
+    texts = training.select(F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string")).alias("place"), F.col(text).cast("string").alias("text"))
+    tokens = materialized(W.map_batches(texts, number, "place long, ids array<int>"))
+    tokens = tokens.withColumn("shard", F.pmod("place", F.lit(int(shards))).cast("int"))
     for turn in range(rounds):
         held = context.broadcast(model)
 
-        def learn(batches, held=held):
+        def learn(batches, held=held, turn=turn):
             import copy
 
-            trainer = _Trainer(copy.deepcopy(held.value), TaskContext.get().partitionId())
+            shard, trainer = None, None
+
+            def result():
+                trainer.finish()
+                touched = np.flatnonzero(trainer.moved > 0)
+                for block in np.unique(touched // _BLOCK):
+                    at = touched[np.searchsorted(touched, block * _BLOCK) : np.searchsorted(touched, (block + 1) * _BLOCK)]
+                    parts = [(at - block * _BLOCK).astype(np.int16), trainer.model.rows[at], trainer.moved[at]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["block", "shard", "at", "v", "w"]
+                    )
+
             for batch in batches:
-                for _, _, hashes, bounds in _words(batch.column(0)):
-                    trainer.learn(*trainer.model.numbers(hashes, bounds))
-            if trainer.learned:
-                values = trainer.model.parameters().astype(np.float64) * trainer.learned
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), float(trainer.learned)))], ["i", "v", "w"])
-
-        share = parts.filter(F.col("turn") == turn) if rounds > 1 else parts
-        means = W.map_batches(share.select("text"), learn, "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow()
-        if means.num_rows:
-            values = np.empty(means.num_rows)
-            values[means["i"].to_numpy()] = means["v"].to_numpy()
-            model.load(values)
-    model.normalise()
+                numbers, lists = batch.column(0).to_numpy(), batch.column(1)
+                values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+                cuts = np.concatenate([[0], np.flatnonzero(numbers[1:] != numbers[:-1]) + 1, [len(numbers)]]) if len(numbers) else [0]
+                for s, e in zip(cuts[:-1], cuts[1:]):
+                    if numbers[s] != shard:
+                        if trainer is not None:
+                            yield from result()
+                        shard = int(numbers[s])
+                        trainer = _Trainer(copy.deepcopy(held.value), [turn, shard], RATE / (turn + 1))
+                    trainer.learn(values[offsets[s] : offsets[e]])
+            if trainer is not None:
+                yield from result()
+
+        ordered = tokens.repartitionById(int(shards), F.col("shard")).sortWithinPartitions("shard", "place", "ids").select("shard", "ids")
+        shares = W.map_batches(ordered, learn, "block int, shard int, at binary, v binary, w binary")
+        means = _mean_rows(materialized(shares), model.rows.shape[1]).toArrow()
+        for block, at, v in zip(*(means[c].to_pylist() for c in ("block", "at", "v"))):
+            model.rows[block * _BLOCK + np.frombuffer(at, np.int16).astype(np.int64)] = np.frombuffer(v, np.float32).reshape(-1, model.rows.shape[1])
     return model
 
 
@@ -268,7 +451,7 @@ def score_texts(docs: DataFrame, counts: Counts, model: LogBilinear, key: str =
     held = docs.sparkSession.sparkContext.broadcast((counts.head, counts.head_n, model))
     end_n = counts.texts
     kind = docs.select(F.col(key).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, n_tokens long, n_known long, counted double, modelled double, n_other long, other double, word long, times long"
+    schema = f"row long, doc_id {kind}, n_tokens long, n_known long, counted double, modelled double, word long, times long"
 
     def run(batches):
         head, head_n, model = held.value
@@ -276,7 +459,7 @@ def score_texts(docs: DataFrame, counts: Counts, model: LogBilinear, key: str =
         logs = np.log10(head_n + 1.0)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column(0)
+            doc_ids = batch.column(0)
             for low, high, hashes, bounds in _words(batch.column(1)):
                 n = high - low
                 rows = number + np.arange(n)
@@ -285,17 +468,15 @@ def score_texts(docs: DataFrame, counts: Counts, model: LogBilinear, key: str =
                 owner = np.repeat(np.arange(n), words)
                 at = np.minimum(np.searchsorted(head, hashes), max(0, len(head) - 1))
                 known = head[at] == hashes if len(head) else np.zeros(len(hashes), bool)
-                target, one, two = model.numbers(hashes, bounds)
-                ends = np.cumsum(words + 1)
-                model_sum = np.concatenate([[0], np.cumsum(model.log_probabilities(target, one, two))])
-                other = np.ones(len(target), bool)
-                other[ends - 1] = False
-                other = target[other] == model.k
+                ids = model.numbers(hashes, bounds)
+                share = np.append(model.mass, 1.0)[ids]
+                ends = np.cumsum(words + CONTEXT + 1)
+                model_sum = np.concatenate([[0], np.cumsum(model.log_probabilities(ids) - np.log(share))])
                 add = lambda mask, values=None: np.bincount(owner[mask], None if values is None else values, n)
                 columns = [
-                    pa.array(rows), ids.slice(low, n), pa.array(words + 1), pa.array(add(known).astype(np.int64) + (end_n > 0)),
-                    pa.array(add(known, logs[at[known]]) + np.log10(end_n + 1.0)), pa.array((model_sum[ends] - model_sum[ends - words - 1]) / ln10),
-                    pa.array(add(other).astype(np.int64)), pa.array(add(known & other, logs[at[known & other]])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                    pa.array(rows), doc_ids.slice(low, n), pa.array(words + 1), pa.array(add(known).astype(np.int64) + (end_n > 0)),
+                    pa.array(add(known, logs[at[known]]) + np.log10(end_n + 1.0)), pa.array((model_sum[ends] - model_sum[ends - words - CONTEXT - 1]) / ln10),
+                    pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, _names)
                 # Words that aren't broadcast, once for each text.
@@ -305,7 +486,7 @@ def score_texts(docs: DataFrame, counts: Counts, model: LogBilinear, key: str =
                     new = np.ones(len(order), bool)
                     new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
                     first = np.flatnonzero(new)
-                    none = [pa.nulls(len(first), t) for t in (ids.type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())]
+                    none = [pa.nulls(len(first), t) for t in (doc_ids.type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(rows[owner[order[first]]]), *none, pa.array(hashes[order[first]]), pa.array(np.diff(np.append(first, len(order))))], _names
                     )
@@ -319,28 +500,28 @@ def score_texts(docs: DataFrame, counts: Counts, model: LogBilinear, key: str =
     )
     whole = found.filter("word is null").drop("word", "times").join(rare, "row", "left")
     extra = F.coalesce("rare_counted", F.lit(0.0))
-    # Other words share their class by count; all unseen words are one type with count 0.
-    model_n = counts.head_n[np.isin(counts.head, model.words)]
-    others = counts.tokens - counts.texts - int(model_n.sum()) + counts.types - (counts.texts > 0) - len(model_n) + 1
     return whole.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"),
         (F.col("counted") + extra - F.col("n_tokens") * float(np.log10(counts.tokens + counts.types + 1))).alias("base_score"),
-        (F.col("modelled") + F.col("other") + extra - F.col("n_other") * float(np.log10(others))).alias("score"),
+        # The unseen words of a leaf are one type with count 0.
+        (F.col("counted") + extra + F.col("modelled")).alias("score"),
     )
 
 
-def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS, rounds: int = ROUNDS, bits: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row.
 
     Tokens are the words of the lower-cased text and one end. base_score sums
     log10((c + 1) / (N + V + 1)); score is the model's log10 probability of the text.
     A null text is empty: its only token is the end. A null id is never held out. Repeated
-    rows each count and return a row. Without training texts every count is 0 and the model
-    is uniform. Further columns are ignored.
+    rows each count and return a row; one with both id and text is learned from in one shard. Long
+    texts are scored and learned from as a whole, a batch of tokens at a time. Ties cannot matter: the tree follows from the words alone. An
+    empty table gives an empty result; without training texts every count is 0 and the model is
+    uniform. Further columns are ignored, whatever their names.
     """
     training = docs.filter(~held_out_seventh(key))
     counts = count_corpus(training, text, head_words)
-    model = train(training, counts, text, vocabulary, rounds)
+    model = train(training, counts, key, text, rounds, bits)
     return score_texts(docs, counts, model, key, text).select(
         "doc_id", held_out_seventh().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

@@ -254,7 +254,7 @@ def test_lm(docs, empty, head):
             counts.update(spaced((t or "").translate(LOW)))
             n += 1
     total, types = sum(counts.values()) + n, len(counts) + 1
-    out = language_model.lm_scores(docs, head_words=head, vocabulary=30).collect()
+    out = language_model.lm_scores(docs, head_words=head).collect()
     assert len(out) == len(text)
     by_id = dict(text)
     for r in out:
@@ -267,13 +267,73 @@ def test_lm(docs, empty, head):
     assert language_model.lm_scores(empty).count() == 0
 
 
+def small_model(bits=2, seed=3):
+    """A model with vectors as after training."""
+    rng = np.random.default_rng(seed)
+    n = rng.integers(0, 9, 1 << (12 + bits)).astype(float)
+    model = language_model.LogBilinear(n, np.minimum(n, 3))
+    model.rows += rng.normal(0, 0.2, model.rows.shape).astype(np.float32)
+    return model
+
+
+def brute_log_probability(model, leaves, at):
+    """Of the leaf at one place, word by word, without the library's matrix code."""
+    def vector(leaf):
+        if leaf == model.leaves:
+            return model.rows[model.into[3]].astype(float)
+        return sum(model.rows[model.into[level] + (leaf >> model.shift(level))].astype(float) for level in range(3))
+
+    q = sum(vector(leaves[at - 1 - k]) * model.rows[model.near + k] for k in range(language_model.CONTEXT))
+    q[-1] = 1
+    total = 0.0
+    for level in range(3):
+        node, fan = leaves[at] >> model.shift(level), model.fan(level)
+        scores = [float(q @ model.rows[model.out[level] + node // fan * fan + c]) for c in range(fan)]
+        total += scores[node % fan] - math.log(sum(math.exp(x) for x in scores))
+    return total
+
+
+def test_lm_probabilities_equal_brute_force():
+    model = small_model()
+    rng = np.random.default_rng(8)
+    keys = rng.integers(-(1 << 63), 1 << 63, 60)
+    ids = model.numbers(keys, np.array([0, 0, 25, 60]))
+    assert len(ids) == 60 + 3 * (language_model.CONTEXT + 1)
+    got = model.log_probabilities(ids)
+    for at, leaf in enumerate(ids.tolist()):
+        want = 0.0 if leaf == model.leaves else brute_log_probability(model, ids.tolist(), at)
+        assert math.isclose(got[at], want, rel_tol=1e-4, abs_tol=1e-5)
+
+
 def test_lm_probabilities_sum_to_one():
-    model = language_model.LogBilinear(np.array([5, 9, 7]), np.array([4, 3, 2, 5, 6]))
-    model.normalise()
-    for one, two in ((0, 5), (5, 5), (3, 1)):
-        k = model.k + 2
-        p = np.exp(model.log_probabilities(np.arange(k), np.full(k, one), np.full(k, two)))
-        assert math.isclose(p.sum(), 1, rel_tol=1e-5)
+    model = small_model()
+    before = [5, 900, 16000, 77]
+    stream = np.array([x for leaf in range(model.leaves) for x in (*before, leaf)], np.int32)
+    p = np.exp(model.log_probabilities(stream)[len(before) :: len(before) + 1])
+    assert math.isclose(p.sum(), 1, rel_tol=1e-4)
+
+
+def test_lm_learns_context_whatever_the_layout(spark):
+    """Two invented languages: a word's neighbours tell which; held-out texts gain on the counts."""
+    rng = np.random.default_rng(2)
+    kinds = [["ba" + "".join(rng.choice(list("xyz"), 3)) + "on" for _ in range(300)], ["ke" + "".join(rng.choice(list("uvw"), 3)) + "is" for _ in range(300)]]
+    made = [(i, " ".join(rng.choice(kinds[i % 2], 80))) for i in range(600)] + [(601, "baxyzon " * 20000), (602, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    one = {r["doc_id"]: r for r in language_model.lm_scores(docs.coalesce(1)).collect()}
+    many = {r["doc_id"]: r for r in language_model.lm_scores(docs.repartition(9)).collect()}
+    for key, r in one.items():
+        assert math.isclose(r["score"], many[key]["score"], rel_tol=1e-6)
+    held = [r for r in one.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.1 * sum(r["n_tokens"] for r in held)
+    assert one[601]["n_tokens"] == 20001 and one[602]["n_tokens"] == 1
+
+
+def test_lm_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "a b", 5, "x", "y")] * 3 + [(2, "", 5, None, "z"), (3, "a " * 50, None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, word string, place string")
+    out = language_model.lm_scores(docs).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in out) == [(1, 3)] * 3 + [(2, 1), (3, 51)]
+    assert len({r["score"] for r in out if r["doc_id"] == 1}) == 1
 
 
 def test_toxicity(docs, labels, empty):
