@@ -220,24 +220,35 @@ class LogBilinear:
             total = np.zeros(len(leaf))
             for level in range(3):
                 if self.fan(level) > 1:
-                    rows = max(1, (1 << 20) // self.fan(level))
-                    for at in range(0, len(leaf), rows):
-                        total[at : at + rows] += self._among_siblings(level, leaf[at : at + rows] >> self.shift(level), q[at : at + rows])
+                    logits = np.empty((max(1, (1 << 18) // self.fan(level)), self.fan(level)), np.float32)
+                    for at in range(0, len(leaf), len(logits)):
+                        s = slice(at, at + len(logits))
+                        total[s] += self._among_siblings(level, leaf[s] >> self.shift(level), q[s], logits)
             out[cut + order] = total
         return out
 
-    def _among_siblings(self, level: int, node: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def _among_siblings(self, level: int, node: np.ndarray, q: np.ndarray, space: np.ndarray) -> np.ndarray:
         """Log probability of each node, in ascending order, among its parent's children."""
-        fan = self.fan(level)
+        fan, logits = self.fan(level), space[: len(node)]
         parent = node // fan
         first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
-        logits = np.empty((len(node), fan), np.float32)
-        for s, e in zip(first, np.append(first[1:], len(node))):
-            at = self.out[level] + int(parent[s]) * fan
-            np.matmul(q[s:e], self.rows[at : at + fan].T, out=logits[s:e])
-        logits -= logits.max(axis=1, keepdims=True)
-        own = logits[np.arange(len(node)), node % fan].astype(np.float64)
-        return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+        def fill():
+            for s, e in zip(first, np.append(first[1:], len(node))):
+                at = self.out[level] + int(parent[s]) * fan
+                np.matmul(q[s:e], self.rows[at : at + fan].T, out=logits[s:e])
+            return logits[np.arange(len(node)), node % fan].astype(np.float64)
+
+        own = fill()
+        with np.errstate(over="ignore"):
+            sums = np.exp(logits, out=logits) @ np.ones(fan, np.float32)
+        if len(sums) and not (1e-30 < sums.min() and sums.max() < 1e30):
+            # Beyond the range of the numbers: again, less each row's largest.
+            fill()
+            top = logits.max(axis=1)
+            logits -= top[:, None]
+            return own - top - np.log(np.exp(logits, out=logits).sum(axis=1))
+        return own - np.log(sums)
 
 
 class _Trainer:
@@ -333,17 +344,20 @@ class _Trainer:
         first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))
         distinct, tokens = node[first], np.add.reduceat(learned, first)
-        moves = []
+        places, weights = [], np.empty((len(node), NOISE + 1, 1), np.float32)
         for turn, by in enumerate([0, *self.rng.integers(0, fan, NOISE)]):
             # One step for all tokens maps siblings to siblings, so the rows stay distinct.
             at = start + (distinct // fan * fan + (distinct + by) % fan)
             rows = m.rows[at][group]
             score = np.clip(np.einsum("ij,ij->i", q, rows) - np.float32(np.log(NOISE / fan)), -30, 30)
             weight = learned / (1 + np.exp(score)) if turn == 0 else -learned / (1 + np.exp(-score))
-            wanted += weight[:, None] * rows
-            moves.append((at, np.add.reduceat(weight[:, None] * q, first, axis=0)))
-        for turn, (at, gradient) in enumerate(moves):
-            self._apply(at, gradient, tokens if turn == 0 else 0)
+            weights[:, turn, 0] = weight
+            rows *= weight[:, None]
+            wanted += rows
+            places.append(at)
+        sums = np.add.reduceat((weights * q[:, None, :]).reshape(len(node), -1), first, axis=0).reshape(len(first), NOISE + 1, -1)
+        for turn, at in enumerate(places):
+            self._apply(at, sums[:, turn], tokens if turn == 0 else 0)
 
 
 def leaf_counts(counts: Counts, bits: int) -> tuple[np.ndarray, np.ndarray]:
