@@ -177,9 +177,11 @@ def ngram_components(
         full.groupBy("sig_a", "sig_b", "n").agg(F.min("doc").alias("first"), F.count("*").alias("c")).filter("c > 1")
     )
     moved = materialized(
-        full.select("doc", "sig_a", "sig_b", "n").join(copies, ["sig_a", "sig_b", "n"]).filter("doc != first").select("doc", "first").distinct()
+        full.select("doc", "sig_a", "sig_b", "n").join(copies, ["sig_a", "sig_b", "n"]).filter("doc != first").select("doc", "first", "sig_a", "sig_b", "n").distinct()
     )
-    classes = lookup_join(full, moved.select("doc"), ["doc"], "left_anti", bound=moved).select("doc", "n", "prefix", "bits")
+    # Only the moved set leaves; another text of the same id stays.
+    same = ["doc", "sig_a", "sig_b", "n"]
+    classes = lookup_join(full, moved.select(*same), same, "left_anti", bound=moved).select("doc", "n", "prefix", "bits")
     postings = classes.select("doc", "n", F.posexplode("prefix").alias("pos", "g")).select(
         "g", "doc", F.expr("shiftleft(n, 32) | pos").alias("np")
     )

@@ -267,6 +267,14 @@ def test_lm(docs, empty, head):
     assert language_model.lm_scores(empty).count() == 0
 
 
+def test_ngram_join_keeps_links_of_every_text_of_an_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b.replace("b59", "other")), (4, "nothing in common with the others here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def small_model(bits=2, seed=3):
     """A model with vectors as after training."""
     rng = np.random.default_rng(seed)
