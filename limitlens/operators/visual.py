@@ -115,3 +115,13 @@ def visual_findings(status: DataFrame) -> DataFrame:
         .select("base_dt", F.explode(F.array_compact(F.array(*raised))).alias("f"))
         .select("base_dt", "f.*")
     )
+
+
+def currency_codes(status: DataFrame) -> DataFrame:
+    """(base_dt, ccy, n) of the dates with several currencies: a row per code, however many."""
+    codes = (
+        status.select("base_dt", fold_key("ccy_cd").alias("ccy")).filter("ccy <> ''")
+        .groupBy("base_dt", "ccy").agg(F.count("*").alias("n"))
+    )
+    mixed = codes.groupBy("base_dt").agg(F.min("ccy").alias("low"), F.max("ccy").alias("high")).filter("low <> high")
+    return codes.join(mixed.select("base_dt"), "base_dt")

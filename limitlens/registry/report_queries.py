@@ -44,6 +44,10 @@ def visual_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.visual_findings(_status(spark, sf_dir)).select("base_dt", "code", "severity", "message")
 
 
+def currency_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.currency_codes(_status(spark, sf_dir)).select("base_dt", "ccy", "n")
+
+
 _DELTAS = ("usage_ratio", "exposure_amt", "limit_amt", "remaining_limit")
 
 
@@ -105,6 +109,9 @@ _VISUAL = {
       FROM status WHERE ccy_cd <> '' GROUP BY base_dt HAVING count(DISTINCT upper(ccy_cd)) > 1
       UNION ALL SELECT base_dt, 'VISUAL_CONCENTRATION_ZERO_DENOMINATOR', 'Low', 'all exposures are zero'
       FROM status GROUP BY base_dt HAVING sum(abs(exposure_amt)) = 0""",
+    "currency_codes": """SELECT base_dt, upper(ccy_cd) AS ccy, count(*) AS n FROM status WHERE ccy_cd <> ''
+      AND base_dt IN (SELECT base_dt FROM status WHERE ccy_cd <> '' GROUP BY base_dt HAVING count(DISTINCT upper(ccy_cd)) > 1)
+      GROUP BY base_dt, upper(ccy_cd)""",
 }
 
 _PAIRED = """
@@ -247,7 +254,7 @@ _TEMPLATES = {
 QUERIES = {
     f.__name__: f
     for f in (
-        status_mix, top_exposures, concentration, heatmap, visual_findings,
+        status_mix, top_exposures, concentration, heatmap, visual_findings, currency_codes,
         prior_day, prior_day_kpis, prior_day_movers, prior_day_duplicate_keys, prior_day_findings,
         tmpl_limit_usage, tmpl_row_count, tmpl_unmapped, tmpl_control_total, tmpl_filtered_rows,
         tmpl_grouped_exposure, tmpl_usage_ratio, tmpl_exposure_delta, tmpl_duplicate_join_keys,

@@ -228,3 +228,10 @@ def test_profile_warnings(spark):
     df = frame(spark, ["AMT"], [(1,)])
     assert [r["code"] for r in F.profile_warnings(df, "BASE_DT").collect()] == ["BASE_DATE_COLUMN_MISSING"]
     assert F.date_distribution(df, "BASE_DT").count() == 0
+
+
+def test_currency_codes_are_rows(spark):
+    rows = [("20260616", "usd"), ("20260616", " USD "), ("20260616", "krw"), ("20260617", "eur"), ("20260617", ""), ("20260618", None)]
+    status = spark.createDataFrame(rows, "base_dt string, ccy_cd string")
+    found = {tuple(r) for r in V.currency_codes(status).select("base_dt", "ccy", "n").collect()}
+    assert found == {("20260616", "USD", 2), ("20260616", "KRW", 1)}
