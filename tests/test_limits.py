@@ -260,6 +260,22 @@ def test_broadcast_and_salted_join_agree(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_shuffled_lookup_copies_hot_keys_only(spark):
+    """A lookup as long as the large side isn't copied, nor broadcast however small its files are."""
+    big = spark.range(4000).select(F.when(F.col("id") < 1500, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    lookup = spark.range(-1, 4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    joined = joins.salted_join(big, lookup, ["k"])
+    assert {tuple(r) for r in joined.collect()} == {(-1 if v < 1500 else v, v, -2 if v < 1500 else v * 2) for v in range(4000)}
+    assert len(joins.hot_buckets(big, ["k"])) == 1
+    copies = lookup.withColumn("hot", joins._key_bucket(lookup, ["k"]).isin(joins.hot_buckets(big, ["k"]))).filter("hot").count()
+    assert copies < 20
+    even = joins.salted_join(big.filter("v >= 1500"), lookup, ["k"])
+    assert even.count() == 2500
+    for df in (joined, even):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert "__salt" not in even._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_salt_depends_on_the_row_only(spark):
     df = spark.createDataFrame([(i, "x") for i in range(1000)], "i int, k string")
     buckets = lambda d: {r["i"]: r["b"] for r in d.withColumn("b", joins.row_bucket(df, 8)).collect()}
