@@ -39,13 +39,13 @@ def needles(queries: DataFrame, terms: Callable[[Column], Column]) -> DataFrame:
 
 
 def points(weights: dict[str, int], term_weights: dict[str, int]) -> Column:
-    """Points of a document's fields for the needle on its row."""
+    """Points of a document's fields, folded, for the needle on its row."""
     form = fold("needle")
 
     def total(given: dict[str, int]) -> Column:
         out = F.lit(0)
         for field, weight in given.items():
-            out = out + F.when(F.contains(fold(F.coalesce(field, F.lit(""))), form), weight).otherwise(0)
+            out = out + F.when(F.contains(F.col(field), form), weight).otherwise(0)
         return out
 
     return F.when(F.col("whole"), total(weights)).otherwise(F.col("times") * total(term_weights))
@@ -67,9 +67,15 @@ def hits(
 ) -> DataFrame:
     """``summed`` over all documents that contain a needle."""
     fields = list(dict.fromkeys([*weights, *term_weights]))
-    body = F.concat_ws(_BETWEEN, *[F.coalesce(f, F.lit("")) for f in fields])
-    kept = docs.select(*dict.fromkeys([*key, *fields]))
-    return summed(containing(kept, body, wanted), key, weights, term_weights)
+    # Dealt by their key: a document's points are summed where it met its needles, without another shuffle.
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    # Fields are folded before, once per document; those of the key stay as they are beside that.
+    names = {f: f"__field_{f}" for f in fields}
+    folded = [fold(F.coalesce(f, F.lit(""))).alias(names[f]) for f in fields]
+    kept = docs.select(*key, *folded).repartition(parts, *key)
+    body = F.concat_ws(_BETWEEN, *names.values())
+    given = ({names[f]: w for f, w in x.items()} for x in (weights, term_weights))
+    return summed(containing(kept, body, wanted, dealt=True), key, *given)
 
 
 def _catalog_best(found: DataFrame, entries: DataFrame, k: int, unique_ids: bool) -> DataFrame:

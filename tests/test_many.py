@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from limitlens.functions.factors import literal_factors
 from limitlens.operators import postings, query_table, rule_scan, rules as R, scan, search
+from limitlens.plans import contain
 from limitlens.plans.contain import containing
 
 TEXTS = [
@@ -41,6 +42,28 @@ def test_containing_equals_all_pairs(spark, texts, limit):
     assert containing(texts.limit(0), F.col("text"), table).count() == 0
 
 
+def test_crowded_lengths_get_grams_of_their_own(spark, monkeypatch):
+    """Ids of one length share few grams of five: without longer ones a text met many needles in vain."""
+    monkeypatch.setattr(contain, "CROWD", 100)
+    ids = spark.range(1000, 2000).select(F.concat(F.lit("p000"), F.col("id").cast("string")).alias("needle"))
+    few = spark.createDataFrame([("p0",), ("",), ("p000100",), (" ",)], "needle string")
+    texts = spark.range(0, 3000, 7).select("id", F.concat(F.lit("Item P000"), F.col("id").cast("string"), F.lit(" x")).alias("text"))
+    assert contain.gram_sizes(ids.unionByName(few)) == [0, 8]
+    got = {(r["id"], r["needle"]) for r in containing(texts, F.col("text"), ids.unionByName(few)).collect()}
+    needles = [r[0] for r in ids.unionByName(few).collect()]
+    assert got == {(i, n) for i in range(0, 3000, 7) for n in needles if n.upper() in f"ITEM P000{i} X"}
+    # The few are tried as they are; the rest meet by grams.
+    assert contain.gram_sizes(few) == [0]
+
+
+def test_points_are_summed_where_the_needles_met(spark):
+    """One shuffle, of the documents, before the best per query."""
+    asked = query_table.needles(spark.createDataFrame(QUERIES, "query_id string, query string"), lambda q: F.split(q, " "))
+    found = query_table.hits(entries(spark, CATALOG), ["source_id", "_row_no"], asked, search.CATALOG_WEIGHTS, search.CATALOG_TERM_WEIGHTS)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
 PATTERNS = [
     r"\bINSERT\b", r"SELECT\s+\*", r"a|", "(", r"(api[_-]?key|secret)", r"x{2,3}y", r"(ab)?c", r"(?:foo|ba)r", r"(?x)a b", r"[]a]b", r"(?i)kill",
     r"a+b*c?d{0,1}e{2}", r"foo(?=bar)", r"(?<!x)kill", r"\Qa.b\E", r"\d{3}-", "", r"^(is|the)\s", r"a\|b", r"(?:(?:ab|cd)e|f)g",
