@@ -36,7 +36,8 @@ def heatmap_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clauses_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     clauses = G.load_clause_pack(TQ._pack(spark, sf_dir, F.substring(sha256_hex("text"), 1, 16))).clauses
-    return G.ranked_clauses(clauses).select("source_id", "clause_ref", "chunk_id", "source_text_hash", "rank")
+    # Places need no texts: without them, none is shuffled or stored again.
+    return G.ranked_clauses(clauses.drop("clause_text")).select("source_id", "clause_ref", "chunk_id", "source_text_hash", "rank")
 
 
 def usage_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:

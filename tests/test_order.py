@@ -49,3 +49,17 @@ def test_field_count(spark):
     lines = {"a": 1, "": 1, "a,b": 2, '"a,b"': 1, '"a,""b",c': 2, ',"x,y",': 3, 'a"b,c"': 2, ",,": 3, '"a","b","c,d"': 3}
     df = spark.createDataFrame([(k,) for k in lines], "v string")
     assert {r["v"]: r["n"] for r in df.select("v", field_count(F.col("v")).alias("n")).collect()} == lines
+
+
+def test_ranked_clauses_move_no_texts(spark, tmp_path, monkeypatch):
+    from limitlens.registry import order_queries
+
+    texts = ["b text", "a text", "b text", "c text"]
+    docs = [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, ranked_clauses = [], order_queries.G.ranked_clauses
+    monkeypatch.setattr(order_queries.G, "ranked_clauses", lambda df: seen.append(df.columns) or ranked_clauses(df))
+    got = order_queries.clauses_ranked(spark, str(tmp_path)).collect()
+    assert sorted(r["rank"] for r in got) == [1, 2, 3]
+    by_place = [r["clause_ref"] for r in sorted(got, key=lambda r: r["rank"])]
+    assert by_place == sorted(by_place) and "clause_text" not in seen[0]
