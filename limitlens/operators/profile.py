@@ -16,6 +16,7 @@ from limitlens.functions.numbers import (
 )
 from limitlens.functions.text import clean, fold, text_or_empty
 from limitlens.plans.local import local_table
+from limitlens.plans.reuse import materialized
 
 # Texts that count as missing, besides blank.
 NULL_TOKENS = ("", "NULL", "N/A", "NA")
@@ -177,7 +178,8 @@ def numeric_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     schema = _NUMERIC_SCHEMA + (_EXACT_SCHEMA if exact else "")
     if not names:
         return local_table(df.sparkSession, [], schema)
-    parsed = _parsed(df, names)
+    # An exact profile reads the parsed values four times; parsing texts costs far more than storing them.
+    parsed = materialized(_parsed(df, names)) if exact else _parsed(df, names)
     first = parsed.agg(*[_first_pass(df, c, i).alias(f"s{i}") for i, c in enumerate(names)]).first()
     stats = {c: first[f"s{i}"].asDict() for i, c in enumerate(names)}
     numeric = {c: s for c, s in stats.items() if s["bad"] == 0 and s["n"] > 0}
@@ -186,8 +188,15 @@ def numeric_profile(df: DataFrame, exact: bool = False) -> DataFrame:
 
     _with_fine_range(parsed, numeric, names)
     tested = [c for c, s in numeric.items() if s["n"] >= MIN_ROWS_FOR_OUTLIERS]
-    gaps = df.select(*[
-        (double_of(df, c) - F.lit(numeric[c]["dsum"] / numeric[c]["n"])).alias(f"g{i}") for i, c in enumerate(tested)
+
+    def rough(c: str) -> Column:
+        if not exact:
+            return double_of(df, c)
+        i = names.index(c)
+        return F.col(f"d{i}") if _is_text(df, c) else F.col(f"v{i}").cast("double")
+
+    gaps = (parsed if exact else df).select(*[
+        (rough(c) - F.lit(numeric[c]["dsum"] / numeric[c]["n"])).alias(f"g{i}") for i, c in enumerate(tested)
     ])
     sigma: dict[str, float] = {}
     if tested:

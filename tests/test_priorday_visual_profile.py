@@ -235,3 +235,14 @@ def test_currency_codes_are_rows(spark):
     status = spark.createDataFrame(rows, "base_dt string, ccy_cd string")
     found = {tuple(r) for r in V.currency_codes(status).select("base_dt", "ccy", "n").collect()}
     assert found == {("20260616", "USD", 2), ("20260616", "KRW", 1)}
+
+
+def test_an_exact_profile_parses_its_texts_once(spark):
+    df = spark.createDataFrame([(f"0.{i:028d}", i) for i in range(1, 20)] + [("1e-12", 5000)], "t string, n long")
+    got = F.numeric_profile(df, exact=True)
+    assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString().upper()
+    rows = {r["column_name"]: r for r in got.collect()}
+    assert rows["t"]["sum_exact"] == "0." + f"{190 + 10**16:028d}".rstrip("0") and rows["n"]["max_exact"] == "5000"
+    assert rows["n"]["outlier_count"] == 1 and rows["t"]["min_exact"] == "0." + "0" * 27 + "1"
+    plain = {r["column_name"]: r for r in F.numeric_profile(df).collect()}
+    assert all(plain[c]["outlier_count"] == rows[c]["outlier_count"] for c in rows)
