@@ -47,8 +47,12 @@ _CLASS = 6
 END = 0x243F6A8885A308D3
 # Distinct words a counting task holds before it hands them on.
 _HELD_WORDS = 1 << 21
+# Bytes of text taken apart together: what is made of them stays in cache.
+_NEAR_BYTES = 1 << 18
 # Parameter rows handed on together.
 _BLOCK = 256
+# Rows of a run that are added one of every run at a time.
+_SHORT = 4
 
 
 def held_out_seventh(key: str = "doc_id") -> Column:
@@ -71,9 +75,13 @@ def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 def _words(column, limit: int = W.SLICE_BYTES):
     """(first row, row after the last, word keys, word bounds) of each slice."""
     for low, high, data, offsets in W.text_slices(column, limit):
-        data = W.LOWER[data]
-        starts, ends, bounds = W.spans(data, offsets, W.SPACED)
-        yield low, high, word_keys(data, starts, ends), bounds
+        keys, bounds = [], [np.zeros(1, np.int64)]
+        for first, last in W.slices(offsets, _NEAR_BYTES):
+            part = W.lowered(data[offsets[first] : offsets[last]])
+            starts, ends, at = W.spans(part, offsets[first : last + 1] - offsets[first], W.SPACED)
+            keys.append(word_keys(part, starts, ends))
+            bounds.append(bounds[-1][-1] + at[1:])
+        yield low, high, np.concatenate(keys), np.concatenate(bounds)
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +153,20 @@ def leaf_bits(types: int) -> int:
     return max(0, int(np.log2(max(types, 1)) / 2 - 5))
 
 
+def _sorted_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places by their number, then by place, and the numbers: both are sorted as one."""
+    low = len(ids).bit_length()
+    both = np.sort(ids.astype(np.int64) << low | np.arange(len(ids)))
+    return both & ((1 << low) - 1), both >> low
+
+
+def _firsts(numbers: np.ndarray) -> np.ndarray:
+    """The first places of the runs of equal numbers."""
+    new = np.ones(len(numbers), bool)
+    np.not_equal(numbers[1:], numbers[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 class LogBilinear:
     """Vectors of context and of predicted nodes, as rows of one matrix; the last column is the bias.
 
@@ -193,17 +215,20 @@ class LogBilinear:
     def context(self, ids: np.ndarray) -> np.ndarray:
         """The vector of each token as context."""
         leaf = np.minimum(ids, self.leaves - 1)
-        out = self.rows[self.into[2] + leaf]
+        out = self.rows.take(self.into[2] + leaf, axis=0)
         for level in (0, 1):
-            out += self.rows[self.into[level] + (leaf >> self.shift(level))]
+            out += self.rows.take(self.into[level] + (leaf >> self.shift(level)), axis=0)
         out[ids == self.leaves] = self.rows[self.into[3]]
         return out
 
-    def predicted(self, vectors: np.ndarray) -> np.ndarray:
-        """What the vectors before each place predict there; the last entry, for the bias, is 1."""
+    def predicted(self, vectors: np.ndarray, near: list[np.ndarray] | None = None) -> np.ndarray:
+        """What the vectors before each place predict there; the last entry, for the bias, is 1.
+
+        ``near`` has the row of each place before, as often as it is needed.
+        """
         out = np.zeros_like(vectors)
         for back in range(CONTEXT):
-            out[back + 1 :] += vectors[: -back - 1] * self.rows[self.near + back]
+            out[back + 1 :] += vectors[: -back - 1] * (self.rows[self.near + back] if near is None else near[back])
         out[:, -1] = 1
         return out
 
@@ -212,11 +237,18 @@ class LogBilinear:
         out = np.zeros(len(ids))
         for cut in range(0, len(ids), 1 << 18):
             low = max(0, cut - CONTEXT)
-            q = self.predicted(self.context(ids[low : cut + (1 << 18)]))[cut - low :]
-            leaf = ids[cut : cut + (1 << 18)]
-            order = np.argsort(leaf, kind="stable")
-            order = order[: np.searchsorted(leaf[order], self.leaves)]
-            leaf, q = leaf[order], q[order]
+            order, leaf = _sorted_places(ids[low : cut + (1 << 18)])
+            # Equal tokens have one vector.
+            first = _firsts(leaf)
+            each, of = self.context(leaf[first]), np.empty(len(order), np.int64)
+            of[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(leaf)))
+            q = np.empty((len(of), self.width + 1), np.float32)
+            for at in range(0, len(of), BATCH):
+                begin = max(0, at - CONTEXT)
+                q[at : at + BATCH] = self.predicted(each.take(of[begin : at + BATCH], axis=0))[at - begin :]
+            kept = np.flatnonzero(order[: np.searchsorted(leaf, self.leaves)] >= cut - low)
+            order, leaf = order[kept], leaf[kept]
+            q = q.take(order, axis=0)
             total = np.zeros(len(leaf))
             for level in range(3):
                 if self.fan(level) > 1:
@@ -224,7 +256,7 @@ class LogBilinear:
                     for at in range(0, len(leaf), len(logits)):
                         s = slice(at, at + len(logits))
                         total[s] += self._among_siblings(level, leaf[s] >> self.shift(level), q[s], logits)
-            out[cut + order] = total
+            out[low + order] = total
         return out
 
     def _among_siblings(self, level: int, node: np.ndarray, q: np.ndarray, space: np.ndarray) -> np.ndarray:
@@ -251,6 +283,40 @@ class LogBilinear:
         return own - np.log(sums)
 
 
+class _Runs:
+    """Runs of equal numbers, the longest first, and sums of rows over them."""
+
+    def __init__(self, node: np.ndarray):
+        first = _firsts(node)
+        sizes = np.diff(first, append=len(node))
+        by = np.argsort(-np.minimum(sizes, _SHORT + 1).astype(np.int8), kind="stable")
+        first, sizes = first[by], sizes[by]
+        # Each place's run; the number of each run.
+        rank = np.empty_like(by)
+        rank[by] = np.arange(len(by))
+        self.of, self.node = np.repeat(rank, sizes[rank]), node.take(first)
+        # Rows that are added to the first, one of every run that has one, and what is left of long runs.
+        some = len(by) - np.cumsum(np.bincount(np.minimum(sizes, _SHORT + 1), minlength=_SHORT + 2))
+        self.places = [first] + [first[: some[k]] + k for k in range(1, _SHORT) if some[k]]
+        left = sizes[: some[_SHORT]] - _SHORT
+        self.begin = np.cumsum(left) - left
+        self.rest = np.arange(left.sum()) + np.repeat(first[: len(left)] + _SHORT - self.begin, left)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """A row for each run."""
+        out = x.take(self.places[0], axis=0)
+        for at in self.places[1:]:
+            out[: len(at)] += x.take(at, axis=0)
+        if len(self.begin):
+            out[: len(self.begin)] += np.add.reduceat(x.take(self.rest, axis=0), self.begin, axis=0)
+        return out
+
+
+def _wide(weights: np.ndarray, width: int) -> np.ndarray:
+    """Each weight in a row of its own, for products of whole matrices."""
+    return np.repeat(weights, width).reshape(-1, width)
+
+
 class _Trainer:
     """AdaGrad steps of noise-contrastive estimation on one shard's tokens."""
 
@@ -260,11 +326,20 @@ class _Trainer:
         self.moved = np.zeros(len(model.rows), np.float32)
         self.held = [np.full(CONTEXT, model.leaves, np.int32)]
         self.waiting = 0
-
-    def _apply(self, at: np.ndarray, gradient: np.ndarray, tokens) -> None:
-        self.squares[at] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
-        self.model.rows[at] += self.rate * gradient / np.sqrt(self.squares[at])[:, None]
-        self.moved[at] += tokens
+        self.ones = np.ones(model.rows.shape[1], np.float32)
+        # The same rows as single items, which are written faster.
+        self.items = model.rows.view(f"V{model.rows.strides[0]}").ravel()
+
+    def _apply(self, at: np.ndarray, gradient: np.ndarray, tokens=None) -> None:
+        """A step of the distinct rows ``at``; uses up ``gradient``."""
+        squares = self.squares.take(at)
+        squares += (gradient * gradient) @ self.ones / np.float32(len(self.ones))
+        self.squares[at] = squares
+        gradient *= _wide(self.rate / np.sqrt(squares), len(self.ones))
+        gradient += self.model.rows.take(at, axis=0)
+        self.items[at] = gradient.view(self.items.dtype).ravel()
+        if tokens is not None:
+            self.moved[at] += tokens
 
     def learn(self, ids: np.ndarray) -> None:
         """Takes the shard's tokens in order, however they are cut."""
@@ -284,39 +359,53 @@ class _Trainer:
 
     def _step(self, ids: np.ndarray) -> None:
         """One batch; its first places are context only."""
-        m = self.model
-        vectors = m.context(ids)
-        q = m.predicted(vectors)
-        order = np.argsort(ids, kind="stable")
-        leaf = ids[order]
+        m, n = self.model, len(ids)
+        order, leaf = _sorted_places(ids)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        # Places before a text come last.
         real = int(np.searchsorted(leaf, m.leaves))
         order, leaf = order[:real], leaf[:real]
-        pull = np.zeros_like(q)
+        runs = {level: _Runs(leaf >> m.shift(level)) for level in (1, 2)} if real else {}
+        # Equal tokens have one vector; the last one is that before a text.
+        each = m.context(np.append(runs[2].node, m.leaves)) if real else m.context(np.array([m.leaves]))
+        held = np.full(n, len(each) - 1)
         if real:
-            q = q[order]
+            held[:real] = runs[2].of
+        vectors = each.take(held.take(rank), axis=0)
+        near_rows = [np.tile(m.rows[m.near + back], (n - back - 1, 1)) for back in range(CONTEXT)]
+        q = m.predicted(vectors, near_rows)
+        wanted = np.zeros_like(q)
+        if real:
+            sorted_q = q.take(order, axis=0)
             learned = (order >= CONTEXT).astype(np.float32)
-            wanted = np.zeros_like(q)
-            self._classes(leaf >> m.shift(0), q, learned, wanted)
-            for level in (1, 2):
-                if m.fan(level) > 1:
-                    self._level(m.out[level], leaf >> m.shift(level), m.fan(level), q, learned, wanted)
+            # A weight of nothing where the exponential is beyond the numbers.
+            with np.errstate(over="ignore"):
+                self._classes(leaf >> m.shift(0), sorted_q, learned, wanted[:real])
+                for level in (1, 2):
+                    if m.fan(level) > 1:
+                        self._level(m.out[level], runs[level], m.fan(level), sorted_q, learned, wanted[:real])
             wanted[:, -1] = 0
-            pull[order] = wanted
+        pull = wanted.take(rank, axis=0)
         # Contexts: each place gives to those before it.
         give, near = np.zeros_like(pull), np.zeros((CONTEXT, pull.shape[1]), np.float32)
+        ones = np.ones(n, np.float32)
         for back in range(CONTEXT):
-            give[: -back - 1] += pull[back + 1 :] * m.rows[m.near + back]
-            near[back] = np.einsum("ij,ij->j", pull[back + 1 :], vectors[: -back - 1])
+            give[: -back - 1] += np.multiply(pull[back + 1 :], near_rows[back], out=near_rows[back])
+            near[back] = ones[back + 1 :] @ np.multiply(pull[back + 1 :], vectors[: -back - 1], out=near_rows[back])
         if real:
-            sums, node, tokens = give[order], leaf, np.ones(real, np.float32)
-            for level in (2, 1, 0):
-                now = leaf >> m.shift(level) if level == 2 else node >> (m.shift(level) - m.shift(level + 1))
-                first = np.flatnonzero(np.concatenate([[True], now[1:] != now[:-1]]))
-                sums, tokens, node = np.add.reduceat(sums, first, axis=0), np.add.reduceat(tokens, first), now[first]
-                self._apply(m.into[level] + node, sums, tokens)
-        before = ids == m.leaves
-        if before.any():
-            self._apply(np.array([m.into[3]]), give[before].sum(axis=0, keepdims=True), before.sum())
+            given = give.take(order, axis=0)
+            sums = {level: runs[level].sums(given) for level in (1, 2)}
+            # Those of the classes from those of their subclasses.
+            above = runs[1].node >> _CLASS
+            order = np.argsort(above, kind="stable")
+            first = _firsts(above[order])
+            self._apply(m.into[0] + above[order[first]], np.add.reduceat(sums[1].take(order, axis=0), first, axis=0), np.diff(_firsts(leaf >> m.shift(0)), append=real))
+            for level in (1, 2):
+                self._apply(m.into[level] + runs[level].node, sums[level], np.bincount(runs[level].of))
+        before = np.flatnonzero(ids == m.leaves)
+        if len(before):
+            self._apply(np.array([m.into[3]]), give[before].sum(axis=0, keepdims=True), len(before))
         self._apply(m.near + np.arange(CONTEXT), near, real)
 
     def _classes(self, node: np.ndarray, q, learned, wanted) -> None:
@@ -327,37 +416,46 @@ class _Trainer:
         noise = self.rng.integers(0, fan, NOISE_CLASSES)
         even = np.float32(np.log(NOISE_CLASSES / fan))
         drawn = table[noise]
-        scores = q @ drawn.T
-        up = learned / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, table[node]) - even, -30, 30)))
-        down = learned[:, None] / (1 + np.exp(np.clip(even - scores, -30, 30)))
-        wanted += up[:, None] * table[node] - down @ drawn
-        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        own = table.take(node, axis=0)
+        up = learned / (1 + np.exp((q * own) @ self.ones - even))
+        # A row for each noise class.
+        down = drawn @ q.T
+        np.subtract(even, down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(learned, down, out=down)
+        wide = _wide(up, len(self.ones))
+        own *= wide
+        wanted += own
+        wanted -= down.T @ drawn
         gradient, tokens = np.zeros_like(table), np.zeros(fan, np.float32)
-        gradient[node[first]] = np.add.reduceat(up[:, None] * q, first, axis=0)
+        wide *= q
+        first = _firsts(node)
+        gradient[node[first]] = np.add.reduceat(wide, first, axis=0)
         tokens[node[first]] = np.add.reduceat(learned, first)
-        np.subtract.at(gradient, noise, down.T @ q)
+        np.subtract.at(gradient, noise, down @ q)
         self._apply(m.out[0] + np.arange(fan), gradient, tokens)
 
-    def _level(self, start: int, node: np.ndarray, fan: int, q, learned, wanted) -> None:
-        """True children against noise children drawn evenly from their siblings; nodes ascend."""
+    def _level(self, start: int, runs: _Runs, fan: int, q, learned, wanted) -> None:
+        """True children against noise children drawn evenly from their siblings."""
         m = self.model
-        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))
-        distinct, tokens = node[first], np.add.reduceat(learned, first)
-        places, weights = [], np.empty((len(node), NOISE + 1, 1), np.float32)
+        even, steps = np.float32(np.log(NOISE / fan)), []
+        tokens = np.bincount(runs.of, learned)
         for turn, by in enumerate([0, *self.rng.integers(0, fan, NOISE)]):
             # One step for all tokens maps siblings to siblings, so the rows stay distinct.
-            at = start + (distinct // fan * fan + (distinct + by) % fan)
-            rows = m.rows[at][group]
-            score = np.clip(np.einsum("ij,ij->i", q, rows) - np.float32(np.log(NOISE / fan)), -30, 30)
+            at = start + ((runs.node & -fan) | ((runs.node + by) & (fan - 1)))
+            rows = m.rows.take(at, axis=0).take(runs.of, axis=0)
+            score = (rows * q) @ self.ones
+            score -= even
             weight = learned / (1 + np.exp(score)) if turn == 0 else -learned / (1 + np.exp(-score))
-            weights[:, turn, 0] = weight
-            rows *= weight[:, None]
+            wide = _wide(weight, len(self.ones))
+            rows *= wide
             wanted += rows
-            places.append(at)
-        sums = np.add.reduceat((weights * q[:, None, :]).reshape(len(node), -1), first, axis=0).reshape(len(first), NOISE + 1, -1)
-        for turn, at in enumerate(places):
-            self._apply(at, sums[:, turn], tokens if turn == 0 else 0)
+            wide *= q
+            steps.append((at, runs.sums(wide), tokens if turn == 0 else None))
+        # All scores are those of the rows as they were.
+        for step in steps:
+            self._apply(*step)
 
 
 def leaf_counts(counts: Counts, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -470,7 +568,7 @@ def score_texts(docs: DataFrame, counts: Counts, model: LogBilinear, key: str =
     def run(batches):
         head, head_n, model = held.value
         ln10 = np.log(10)
-        logs = np.log10(head_n + 1.0)
+        logs, shares = np.log10(head_n + 1.0), np.log(np.append(model.mass, 1.0))
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             doc_ids = batch.column(0)
@@ -480,16 +578,17 @@ def score_texts(docs: DataFrame, counts: Counts, model: LogBilinear, key: str =
                 number += n
                 words = np.diff(bounds)
                 owner = np.repeat(np.arange(n), words)
-                at = np.minimum(np.searchsorted(head, hashes), max(0, len(head) - 1))
-                known = head[at] == hashes if len(head) else np.zeros(len(hashes), bool)
+                # Each distinct word is looked up once.
+                distinct, word = np.unique(hashes, return_inverse=True)
+                at = np.minimum(np.searchsorted(head, distinct), max(0, len(head) - 1))
+                found = head[at] == distinct if len(head) else np.zeros(len(distinct), bool)
+                known, counted = found[word], (np.where(found, logs[at], 0.0) if len(head) else np.zeros(len(distinct)))[word]
                 ids = model.numbers(hashes, bounds)
-                share = np.append(model.mass, 1.0)[ids]
                 ends = np.cumsum(words + CONTEXT + 1)
-                model_sum = np.concatenate([[0], np.cumsum(model.log_probabilities(ids) - np.log(share))])
-                add = lambda mask, values=None: np.bincount(owner[mask], None if values is None else values, n)
+                model_sum = np.concatenate([[0], np.cumsum(model.log_probabilities(ids) - shares[ids])])
                 columns = [
-                    pa.array(rows), doc_ids.slice(low, n), pa.array(words + 1), pa.array(add(known).astype(np.int64) + (end_n > 0)),
-                    pa.array(add(known, logs[at[known]]) + np.log10(end_n + 1.0)), pa.array((model_sum[ends] - model_sum[ends - words - CONTEXT - 1]) / ln10),
+                    pa.array(rows), doc_ids.slice(low, n), pa.array(words + 1), pa.array(np.bincount(owner, known, n).astype(np.int64) + (end_n > 0)),
+                    pa.array(np.bincount(owner, counted, n) + np.log10(end_n + 1.0)), pa.array((model_sum[ends] - model_sum[ends - words - CONTEXT - 1]) / ln10),
                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, _names)

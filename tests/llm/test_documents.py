@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from limitlens.llm import language_id, language_model, ngram_join, packing, rule_stats, secret_scan, suffix_arrays, toxicity
@@ -321,6 +322,90 @@ def test_lm_probabilities_sum_to_one():
     assert math.isclose(p.sum(), 1, rel_tol=1e-4)
 
 
+def plain_step(model, ids, rng, rate):
+    """The parameter rows after one batch, token by token."""
+    rows, squares, fan0 = model.rows.astype(float), np.ones(len(model.rows)), model.fan(0)
+    start, n = rows.copy(), len(ids)
+    path = lambda x: [model.into[3]] if x == model.leaves else [model.into[k] + (x >> model.shift(k)) for k in range(3)]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    vectors = [start[path(x)].sum(axis=0) for x in ids]
+    learned = [i for i in range(language_model.CONTEXT, n) if ids[i] != model.leaves]
+    q = {i: sum(vectors[i - 1 - k] * start[model.near + k] for k in range(language_model.CONTEXT)) for i in learned}
+    pull, turns = np.zeros((n, rows.shape[1])), []
+    for i in learned:
+        q[i][-1] = 1
+
+    def turn(places, even, true):
+        gradient = collections.defaultdict(lambda: np.zeros(rows.shape[1]))
+        for i, at in places:
+            score = q[i] @ start[at] - even
+            weight = sigmoid(-score) if true else -sigmoid(score)
+            gradient[at] += weight * q[i]
+            pull[i] += weight * start[at]
+        return gradient
+
+    noise = rng.integers(0, fan0, language_model.NOISE_CLASSES)
+    even = math.log(language_model.NOISE_CLASSES / fan0)
+    gradient = turn([(i, model.out[0] + (ids[i] >> model.shift(0))) for i in learned], even, True)
+    for at, g in turn([(i, model.out[0] + c) for c in noise for i in learned], even, False).items():
+        gradient[at] += g
+    turns.append(gradient)
+    for level in (1, 2):
+        fan = model.fan(level)
+        for k, by in enumerate([0, *rng.integers(0, fan, language_model.NOISE)]):
+            node = {i: int(ids[i]) >> model.shift(level) for i in learned}
+            places = [(i, model.out[level] + x // fan * fan + (x + by) % fan) for i, x in node.items()]
+            turns.append(turn(places, math.log(language_model.NOISE / fan), k == 0))
+    pull[:, -1] = 0
+    gradient = collections.defaultdict(lambda: np.zeros(rows.shape[1]))
+    for i in learned:
+        for k in range(language_model.CONTEXT):
+            gradient[model.near + k] += pull[i] * vectors[i - 1 - k]
+            for at in path(ids[i - 1 - k]):
+                gradient[at] += pull[i] * start[model.near + k]
+    for gradient in [*turns, gradient]:
+        for at, g in gradient.items():
+            squares[at] += g @ g / len(g)
+            rows[at] += rate * g / math.sqrt(squares[at])
+    return rows
+
+
+def test_lm_step_equals_token_by_token():
+    rng = np.random.default_rng(6)
+    for bits in (0, 3):
+        model = small_model(bits)
+        # Frequent tokens and rare ones, and several texts.
+        ids = np.where(rng.random(400) < 0.5, rng.integers(0, 9, 400) * 7, rng.integers(0, model.leaves, 400))
+        ids[[0, 1, 2, 3, 90, 91, 92, 93, 94]] = model.leaves
+        if bits:
+            want = plain_step(model, ids, np.random.default_rng(5), 0.1)
+        trainer = language_model._Trainer(model, 5)
+        trainer._step(ids.astype(np.int32))
+        assert np.isfinite(model.rows).all()
+        if bits:
+            np.testing.assert_allclose(model.rows, want, atol=2e-5)
+
+
+def test_lm_run_sums():
+    rng = np.random.default_rng(1)
+    for node in (np.sort(rng.zipf(1.3, 3000) % 500), np.arange(40), np.zeros(9, int), np.repeat([4, 5, 9], [1, 300, 2])):
+        runs, x = language_model._Runs(node), rng.normal(size=(len(node), 5))
+        distinct, counts = np.unique(node, return_counts=True)
+        assert sorted(runs.node.tolist()) == distinct.tolist() and (runs.node[runs.of] == node).all()
+        np.testing.assert_allclose(runs.sums(x)[np.argsort(runs.node)], [x[node == v].sum(axis=0) for v in distinct], atol=1e-9)
+
+
+def test_lm_word_keys_whatever_the_slices(monkeypatch):
+    texts = pa.array([None, "", "A bc  DE", " \t", *(f"Word{i} É{i % 7}\nword{i}" for i in range(50))])
+    found = {}
+    for limit in (10, 1 << 20):
+        monkeypatch.setattr(language_model, "_NEAR_BYTES", limit)
+        [(low, high, keys, bounds)] = language_model._words(texts)
+        assert (low, high, len(bounds), bounds[-1]) == (0, len(texts), len(texts) + 1, len(keys))
+        found[limit] = keys.tolist(), bounds.tolist()
+    assert found[10] == found[1 << 20] and found[10][1][:5] == [0, 0, 0, 3, 3]
+
+
 def test_lm_learns_context_whatever_the_layout(spark):
     """Two invented languages: a word's neighbours tell which; held-out texts gain on the counts."""
     rng = np.random.default_rng(2)
