@@ -33,6 +33,8 @@ THRESHOLD = 0.3
 
 _BLOCK = 256  # words whose sums travel together
 _HELD_WORDS = 1 << 20
+# Bytes of text worked on together: what is made of them stays in cache.
+_NEAR_BYTES = 1 << 17
 _FEATURES = 2 * WIDTH + 3
 
 _every = np.arange(256)
@@ -63,18 +65,30 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return W.span_hashes(data, starts, np.where(_CLASS[first] == _MARK, starts + 1, ends))
 
 
-def _index_vectors(hashes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-    """Index vector of each token, one row per entry: marks of the token and of its shape."""
-    _, first, at = np.unique(hashes ^ W.mix(shapes), return_index=True, return_inverse=True)
-    table = np.zeros((len(first), WIDTH), np.int16)
-    row = np.arange(len(first))
+def _index_table(hashes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """Index vectors, a column for each pair: marks of the token and of its shape."""
+    table = np.zeros((WIDTH, len(hashes)), np.int16)
+    column = np.arange(len(hashes))
     for source in (hashes, shapes):
-        state = W.mix(source[first])
+        state = W.mix(source)
         for _ in range(MARKS):
             sign = np.where(state >> np.uint64(40) & np.uint64(1), 1, -1)
-            np.add.at(table, (row, (state % np.uint64(WIDTH)).astype(int)), sign.astype(np.int16))
+            # A mark for each column, so none of these places is named twice.
+            table[(state % np.uint64(WIDTH)).astype(int), column] += sign.astype(np.int16)
             state = W.mix(state)
-    return np.ascontiguousarray(table[at].T)
+    return table
+
+
+def _kinds(hashes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct pair of hash and shape, and each token's pair."""
+    _, first, kind = np.unique(hashes ^ W.mix(shapes), return_index=True, return_inverse=True)
+    return first, kind
+
+
+def _index_vectors(hashes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """Index vector of each token, one row per entry."""
+    first, kind = _kinds(hashes, shapes)
+    return _index_table(hashes[first], shapes[first]).take(kind, axis=1)
 
 
 def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -92,19 +106,38 @@ def _around(index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     out = np.zeros_like(index)
     for k in range(1, min(WINDOW, n - 1) + 1):
-        same = owner[k:] == owner[:-k]
-        out[:, k:] += index[:, :-k] * same
-        out[:, :-k] += index[:, k:] * same
+        out[:, k:] += index[:, :-k]
+        out[:, :-k] += index[:, k:]
+        # Neighbours in two texts are taken out again.
+        apart = np.flatnonzero(owner[k:] != owner[:-k])
+        out[:, apart + k] -= index[:, apart]
+        out[:, apart] -= index[:, apart + k]
     return out
 
 
+@dataclass
+class _Slice:
+    """Texts ``low`` to ``high`` of a column: tokens, their distinct kinds, index vectors and sums around."""
+
+    low: int
+    high: int
+    hashes: np.ndarray
+    bounds: np.ndarray
+    kind: np.ndarray  # of each token, as a number
+    kind_hashes: np.ndarray
+    table: np.ndarray  # index vectors of the kinds, in columns
+    index: np.ndarray
+    around: np.ndarray
+
+
 def _contexts(column):
-    """(first row, row after the last, token hashes, token bounds, index vectors, sums around) of slices."""
-    for low, high, data, offsets in W.text_slices(column, 1 << 20):
+    for low, high, data, offsets in W.text_slices(column, _NEAR_BYTES):
         starts, ends, bounds = _tokens(data, offsets)
-        hashes = _hashes(data, starts, ends)
-        index = _index_vectors(hashes, _shapes(data, starts, ends))
-        yield low, high, hashes, bounds, index, _around(index, bounds)
+        hashes, shapes = _hashes(data, starts, ends), _shapes(data, starts, ends)
+        first, kind = _kinds(hashes, shapes)
+        table = _index_table(hashes[first], shapes[first])
+        index = table.take(kind, axis=1)
+        yield _Slice(low, high, hashes, bounds, kind, hashes[first], table, index, _around(index, bounds))
 
 
 def _find(head: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +159,14 @@ def head_words(texts: DataFrame, words: int = HEAD_WORDS) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(key[cut : cut + (1 << 16)].view(np.int64)), pa.array(n[cut : cut + (1 << 16)])], ["word", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in W.text_slices(batch.column(0)):
+            some, counts = [key], [n]
+            for _, _, data, offsets in W.text_slices(batch.column(0), _NEAR_BYTES):
                 starts, ends, _ = _tokens(data, offsets)
-                more, counts = np.unique(_hashes(data, starts, ends), return_counts=True)
-                key, at = np.unique(np.concatenate([key, more]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([n, counts]), len(key)).astype(np.int64)
+                more, times = np.unique(_hashes(data, starts, ends), return_counts=True)
+                some.append(more)
+                counts.append(times)
+            key, at = np.unique(np.concatenate(some), return_inverse=True)
+            n = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
             if len(key) > _HELD_WORDS:
                 yield from rows()
                 key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -141,6 +177,17 @@ def head_words(texts: DataFrame, words: int = HEAD_WORDS) -> np.ndarray:
     return np.sort(top["word"].to_numpy().view(np.uint64))
 
 
+def _add_around(total: np.ndarray, head: np.ndarray, part: _Slice) -> None:
+    """Adds the sums around the slice's tokens to the rows of the head's words."""
+    known, at = _find(head, part.kind_hashes)
+    # The words of the slice, and last those that are not in the head.
+    held, word = np.unique(np.where(known, at, len(total)), return_inverse=True)
+    word = word[part.kind]
+    sums = np.array([np.bincount(word, row, len(held)) for row in part.around])
+    inside = held < len(total)
+    total[held[inside]] += sums[:, inside].T.astype(np.int64)
+
+
 def word_vectors(texts: DataFrame, head: np.ndarray) -> np.ndarray:
     """Unit vectors of the head's words: sums of whole numbers over all texts, whatever their partitions."""
     held = texts.sparkSession.sparkContext.broadcast(head)
@@ -150,11 +197,8 @@ def word_vectors(texts: DataFrame, head: np.ndarray) -> np.ndarray:
         words = held.value
         total = np.zeros((blocks * _BLOCK, WIDTH), np.int64)
         for batch in batches:
-            for _, _, hashes, _, _, around in _contexts(batch.column(0)):
-                known, at = _find(words, hashes)
-                at = at[known]
-                for k in range(WIDTH):
-                    total[:, k] += np.bincount(at, around[k, known], len(total)).astype(np.int64)
+            for part in _contexts(batch.column(0)):
+                _add_around(total, words, part)
         for b in range(blocks):
             part = total[b * _BLOCK : (b + 1) * _BLOCK]
             if part.any():
@@ -187,32 +231,33 @@ def pooled(column, head: np.ndarray, vectors: np.ndarray):
     Mean and spread of the word vectors, length of the mean, agreement of neighbouring index
     vectors, log of the tokens. A text without tokens has zeros.
     """
-    for low, high, hashes, bounds, index, around in _contexts(column):
-        n, count = high - low, np.diff(bounds)
+    for part in _contexts(column):
+        hashes, bounds, kind = part.hashes, part.bounds, part.kind
+        n, count = part.high - part.low, np.diff(bounds)
         owner = np.repeat(np.arange(n), count)
-        known, at = _find(head, hashes)
-        each = np.zeros((len(hashes), WIDTH), np.float32)
-        each[known] = vectors[at[known]]
-        rare = np.flatnonzero(~known)
+        known, at = _find(head, part.kind_hashes)
+        each = (vectors[at] if len(head) else np.zeros((len(known), WIDTH), np.float32)).take(kind, axis=0)
+        rare = np.flatnonzero(~known[kind])
         if len(rare):
             order = rare[np.lexsort((hashes[rare], owner[rare]))]
             new = np.ones(len(order), bool)
             new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-            sums = np.add.reduceat(around[:, order].astype(np.float32), np.flatnonzero(new), axis=1).T
+            sums = np.add.reduceat(part.around.take(order, axis=1).astype(np.float32), np.flatnonzero(new), axis=1).T
             sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
             each[order] = sums[np.cumsum(new) - 1]
         size = np.maximum(count, 1)[:, None]
-        some = np.flatnonzero(count)
         mean, square = np.zeros((2, n, WIDTH))
-        if len(some):
-            mean[some] = np.add.reduceat(each, bounds[some], axis=0, dtype=np.float64)
-            square[some] = np.add.reduceat(each * each, bounds[some], axis=0, dtype=np.float64)
+        squares = each * each
+        for i in np.flatnonzero(count):
+            np.add.reduce(each[bounds[i] : bounds[i + 1]], axis=0, dtype=np.float64, out=mean[i])
+            np.add.reduce(squares[bounds[i] : bounds[i + 1]], axis=0, dtype=np.float64, out=square[i])
         mean, square = mean / size, square / size
-        length = np.maximum(np.linalg.norm(index.astype(np.float32), axis=0), 1e-9)
+        # Sums of small whole numbers: exact.
+        length = np.maximum(np.sqrt(np.einsum("ij,ij->j", part.table, part.table).astype(np.float32)), np.float32(1e-9))[kind]
         same = owner[1:] == owner[:-1]
-        agree = (index[:, 1:].astype(np.float32) * index[:, :-1]).sum(axis=0) / (length[1:] * length[:-1]) * same
+        agree = np.einsum("ij,ij->j", part.index[:, 1:], part.index[:, :-1]).astype(np.float32) / (length[1:] * length[:-1]) * same
         spread = np.sqrt(np.maximum(square - mean * mean, 0))
-        yield low, high, np.column_stack([
+        yield part.low, part.high, np.column_stack([
             mean, spread, np.linalg.norm(mean, axis=1), np.bincount(owner[1:], agree, n) / np.maximum(count - 1, 1), np.log1p(count),
         ]).astype(np.float32)
 

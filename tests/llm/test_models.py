@@ -8,6 +8,7 @@ import zlib
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,34 @@ def test_word_vectors_equal_brute_force(docs, spark):
     assert np.allclose(full, rare, atol=1e-5)
 
 
+def test_features_whatever_the_slices(monkeypatch):
+    """Small slices give the sums and features of one slice, neighbours of other texts left out."""
+    rng = np.random.default_rng(4)
+    words = ["Ab", "cd", "EF", "!!!", "12", "é", "longer-word", "--"]
+    texts = pa.array([None, "", *(" ".join(rng.choice(words, n)) for n in rng.integers(1, 40, 60)), "a"])
+
+    def found(limit):
+        monkeypatch.setattr(quality_classifier, "_NEAR_BYTES", limit)
+        parts = list(quality_classifier._contexts(texts))
+        head = np.unique(np.concatenate([p.hashes for p in parts]))[::2]
+        total = np.zeros((len(head), quality_classifier.WIDTH), np.int64)
+        for part in parts:
+            quality_classifier._add_around(total, head, part)
+            for low, high in zip(part.bounds[:-1], part.bounds[1:]):
+                for i in range(low, high):
+                    near = [j for j in range(i - quality_classifier.WINDOW, i + quality_classifier.WINDOW + 1) if j != i and low <= j < high]
+                    assert (part.around[:, i] == part.index[:, near].sum(axis=1)).all()
+        unit = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        features = list(quality_classifier.pooled(texts, head, unit))
+        assert [low for low, _, _ in features[1:]] == [high for _, high, _ in features[:-1]]
+        return len(parts), total, np.concatenate([x for _, _, x in features])
+
+    (one, sums, features), (many, some_sums, some_features) = found(1 << 20), found(100)
+    assert one == 1 and many > 10
+    assert (sums == some_sums).all() and sums.any()
+    assert features.shape == (len(texts), quality_classifier._FEATURES) and (features == some_features).all()
+
+
 def test_index_vectors_are_sparse_and_repeatable():
     hashes = np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     index = quality_classifier._index_vectors(hashes, np.zeros(39, np.uint64))
