@@ -188,9 +188,9 @@ def catalog_search(
     asked = as_queries(queries)
     if not asked:
         raise ValueError("no query given")
+    every = entries
     if postings is not None and all(len(q.text) <= MAX_NGRAM for q in asked):
-        ids = candidates(postings, asked).select("source_id").distinct()
-        entries = entries.join(ids, "source_id", "left_semi")
+        entries = entries.join(candidates(postings, asked, by_query=False), "source_id", "left_semi")
 
     def points(query: Query, folded: Callable[[str], Column]) -> Column:
         return score(query.text, query_space_terms(query.text), CATALOG_WEIGHTS, CATALOG_TERM_WEIGHTS, folded)
@@ -198,7 +198,8 @@ def catalog_search(
     keep = [*CATALOG_FIELDS, "_row_no"]
     hits = _hits(entries, asked, list(CATALOG_WEIGHTS), keep, points)
     if not unique_ids:
-        last = entries.groupBy("source_id").agg(F.max("_row_no").alias("_row_no"))
+        # Narrowing keeps all entries of an id or none, so the postings are not looked up again here.
+        last = every.groupBy("source_id").agg(F.max("_row_no").alias("_row_no"))
         hits = hits.join(last, ["source_id", "_row_no"])
     order = [F.desc("score"), F.asc("source_id")]
     best = top_n_per_group(hits, ["query_id"], order, max(1, k)).drop("_row_no")
@@ -337,16 +338,16 @@ def index_statistics(postings: DataFrame) -> DataFrame:
     )
 
 
-def candidates(postings: DataFrame, queries, doc_id: str = "source_id") -> DataFrame:
-    """Documents sharing a substring with a query of up to 32 characters."""
+def candidates(postings: DataFrame, queries, doc_id: str = "source_id", by_query: bool = True) -> DataFrame:
+    """Documents sharing a substring with a query of up to 32 characters: (query_id, id), or ids alone."""
     asked = queries if isinstance(queries, list) and all(isinstance(q, Query) for q in queries) else as_queries(queries)
     spark: SparkSession = postings.sparkSession
     pairs = [
-        (q.query_id, q.text.upper()[start:start + size])
+        (q.query_id if by_query else None, q.text.upper()[start:start + size])
         for q in asked if len(q.text) <= MAX_NGRAM
         for start in range(len(q.text)) for size in range(1, len(q.text) - start + 1)
     ]
     terms = local_table(spark, sorted(set(pairs)), "query_id string, term string")
     if fits_broadcast(terms):
         terms = F.broadcast(terms)
-    return postings.join(terms, "term").select("query_id", doc_id).distinct()
+    return postings.join(terms, "term").select(*(["query_id"] if by_query else []), doc_id).distinct()

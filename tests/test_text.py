@@ -1,6 +1,7 @@
 """Text helpers, rule scans, search, feedback and audit on small tables."""
 
 import hashlib
+import re
 from datetime import date
 
 import pytest
@@ -314,3 +315,21 @@ def test_audit_history(spark):
     assert tuple(A.audit_records(tasks, feedback).columns) == A.AUDIT_COLUMNS
     with pytest.raises(ValueError):
         A.audit_history(tasks, feedback, 0)
+
+
+def test_indexed_search_looks_up_its_postings_once(spark):
+    """An id twice: its last entry counts, found through the first one's words or not."""
+    rows = [("P1", "red bolt", 1), ("P1", "blue nut", 2), ("P2", "red nut", 1), ("P3", "green cap", 1)]
+    entries = K.catalog_entries(spark.createDataFrame(rows, "source_id string, title string, row_no int"), "row_no")
+    queries = [("a", "red"), ("b", "nut"), ("c", "zzz")]
+    postings = K.ngram_postings(entries)
+    found = K.catalog_search(entries, queries, 5, postings=postings)
+    plain = K.catalog_search(entries, queries, 5)
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert {(r["query_id"], r["source_id"]) for r in found.collect()} == {("a", "P2"), ("b", "P1"), ("b", "P2")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join Inner, \(term#", plan)) == 1
+    pairs = K.candidates(postings, queries)
+    assert K.candidates(postings, queries, by_query=False).collect() and pairs.columns == ["query_id", "source_id"]
+    ids = lambda df: sorted(r["source_id"] for r in df.select("source_id").distinct().collect())
+    assert ids(K.candidates(postings, queries, by_query=False)) == ids(pairs)
