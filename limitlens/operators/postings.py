@@ -146,5 +146,4 @@ def catalog_search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     stored = in_buckets(index.documents(), ids).join(ids, ["bucket", "source_id"], "left_semi")
     latest = stored.groupBy("source_id").agg(F.max(F.struct("segment", "_row_no")).alias("latest")).select("source_id", "latest.*")
     entries = materialized(stored.join(latest, ["source_id", "segment", "_row_no"]).drop("bucket", "segment"))
-    found = Q.hits(entries, ["source_id", "_row_no"], wanted, K.CATALOG_WEIGHTS, K.CATALOG_TERM_WEIGHTS)
-    return Q._catalog_best(found, entries, k, unique_ids=True)
+    return Q._catalog_best(entries, wanted, k, unique_ids=True)

@@ -16,8 +16,10 @@ from limitlens.functions.dates import search_date
 from limitlens.functions.text import MAX_NGRAM, clean, delimiter_tokens, fold, snippet_of, space_tokens, word_tokens
 from limitlens.operators import search as K
 from limitlens.plans.contain import containing
+from limitlens.plans.held import best_texts
 from limitlens.plans.ranking import top_n_per_group
 from limitlens.plans.reuse import materialized
+from limitlens.plans.sizing import broadcast_limit
 
 # Parts the fields of a document, so that no needle spans two of them.
 _BETWEEN = "\x01"
@@ -78,10 +80,38 @@ def hits(
     return summed(containing(kept, body, wanted, dealt=True), key, *given)
 
 
-def _catalog_best(found: DataFrame, entries: DataFrame, k: int, unique_ids: bool) -> DataFrame:
+def _asked(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``needles`` by the numbers of their queries, folded (see ``held.best_texts``), and the queries with their numbers; both stored."""
+    # Numbered where they are stored: the numbers stay as they are.
+    queries = materialized(wanted.select("query_id", "query").distinct().withColumn("number", F.monotonically_increasing_id()))
+    rows = wanted.join(queries, ["query_id", "query"]).select(F.col("number").alias("query"), F.octet_length("query").alias("length"), fold("needle").alias("form"), "whole", "times")
+    counts = rows.groupBy("query", "length", "form").agg(F.count_if("whole").alias("whole"), F.sum(F.when(F.col("whole"), 0).otherwise(F.col("times"))).alias("times"))
+    return materialized(counts), queries
+
+
+def _catalog_found(entries: DataFrame, wanted: DataFrame, k: int, unique_ids: bool) -> DataFrame:
+    """(query_id, source_id, _row_no, score): of the last entries, those that may be a query's best, these among them."""
+    fields = list(dict.fromkeys([*K.CATALOG_WEIGHTS, *K.CATALOG_TERM_WEIGHTS]))
+    if broadcast_limit(entries) <= 0:
+        found = hits(entries, ["source_id", "_row_no"], wanted, K.CATALOG_WEIGHTS, K.CATALOG_TERM_WEIGHTS).drop("query")
+        return found if unique_ids else found.join(_last(entries), ["source_id", "_row_no"])
+    # Dealt by the id once: the last entries, and entries with equal keys, are told there.
+    parts = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.sparkSession.sparkContext.defaultParallelism)
+    kept = entries.select("source_id", "_row_no", F.struct(*[fold(F.coalesce(f, F.lit(""))).alias(f) for f in fields]).alias("fields")).repartition(parts, "source_id")
     if not unique_ids:
-        last = entries.groupBy("source_id").agg(F.max("_row_no").alias("_row_no"))
-        found = found.join(last, ["source_id", "_row_no"])
+        kept = kept.join(_last(kept), ["source_id", "_row_no"])
+    docs = materialized(kept.groupBy("source_id", "_row_no").agg(F.collect_set("fields").alias("fields")))
+    asked, queries = _asked(wanted)
+    found = best_texts(docs, [K.CATALOG_WEIGHTS.get(f, 0) for f in fields], [K.CATALOG_TERM_WEIGHTS.get(f, 0) for f in fields], asked, max(1, k))
+    return found.join(queries.select(F.col("number").alias("query"), "query_id"), "query")
+
+
+def _last(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("source_id").agg(F.max("_row_no").alias("_row_no"))
+
+
+def _catalog_best(entries: DataFrame, wanted: DataFrame, k: int, unique_ids: bool) -> DataFrame:
+    found = _catalog_found(entries, wanted, k, unique_ids)
     order = [F.desc("score"), F.asc("source_id")]
     best = materialized(top_n_per_group(found.select("query_id", "source_id", "_row_no", "score"), ["query_id"], order, max(1, k)))
     # The entries are read once more, for those that the few best rows name.
@@ -91,8 +121,7 @@ def _catalog_best(found: DataFrame, entries: DataFrame, k: int, unique_ids: bool
 
 def catalog_search(entries: DataFrame, queries: DataFrame, k: int = 5, unique_ids: bool = False) -> DataFrame:
     """``search.catalog_search`` for a table of queries (query_id, query)."""
-    found = hits(entries, ["source_id", "_row_no"], needles(queries, space_tokens), K.CATALOG_WEIGHTS, K.CATALOG_TERM_WEIGHTS)
-    return _catalog_best(found, entries, k, unique_ids)
+    return _catalog_best(entries, needles(queries, space_tokens), k, unique_ids)
 
 
 def clause_search(clauses: DataFrame, entries: DataFrame, queries: DataFrame, as_of: str | None = None, k: int = 5) -> DataFrame:

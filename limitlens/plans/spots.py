@@ -52,6 +52,22 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(column).to_numpy().astype(np.int64)
 
 
+def padded_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of texts, each ended by NUL, between two paddings of NULs."""
+    kind = pa.large_string()
+    parted = pc.binary_join_element_wise(column.cast(kind), pa.scalar("", kind), pa.scalar(_PART, kind))
+    offsets = np.frombuffer(parted.buffers()[1], np.int64, len(parted) + 1, parted.offset * 8) if len(parted) else np.zeros(1, np.int64)
+    bytes_of = np.frombuffer(parted.buffers()[2], np.uint8) if parted.buffers()[2] is not None else np.zeros(0, np.uint8)
+    low = 0
+    while low < len(parted):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, side="right")) - 1)
+        at = offsets[low : high + 1] - offsets[low] + _PAD
+        data = np.zeros(int(at[-1]) + _PAD, np.uint8)
+        data[_PAD : at[-1]] = bytes_of[offsets[low] : offsets[high]]
+        yield low, data, at
+        low = high
+
+
 class Spotter:
     """Patterns ready to be looked for: a table of ``number`` and ``functions.plain.ENCODED``."""
 
@@ -159,19 +175,9 @@ class Spotter:
 
     def first_matches(self, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
         """(row, rule, position, matched) arrays: the first match of each rule in each text."""
-        kind = pa.large_string()
-        parted = pc.binary_join_element_wise(column.cast(kind), pa.scalar("", kind), pa.scalar(_PART, kind))
-        offsets = np.frombuffer(parted.buffers()[1], np.int64, len(parted) + 1, parted.offset * 8)
-        bytes_of = np.frombuffer(parted.buffers()[2], np.uint8) if parted.buffers()[2] is not None else np.zeros(0, np.uint8)
-        low = 0
-        while low < len(parted):
-            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, side="right")) - 1)
-            at = offsets[low : high + 1] - offsets[low] + _PAD
-            data = np.zeros(int(at[-1]) + _PAD, np.uint8)
-            data[_PAD : at[-1]] = bytes_of[offsets[low] : offsets[high]]
+        for low, data, at in padded_slices(column):
             for row, *found in self._firsts(data, at):
                 yield row + low, *found
-            low = high
 
     def _firsts(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         folded, inside = _LOWER[data], self._inside(data)
