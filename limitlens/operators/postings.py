@@ -1,9 +1,14 @@
-"""A stored n-gram index: postings and documents in buckets, appended segment by segment.
+"""A stored n-gram index: terms, field texts and documents in buckets, appended segment by segment.
 
-    <index>/segments/<n>/postings/bucket=<b>/   (term, id), sorted by term
+    <index>/segments/<n>/terms/bucket=<b>/      (term, text_key), sorted by term
+    <index>/segments/<n>/owners/bucket=<b>/     (text_key, id): entries with a field of that text
     <index>/segments/<n>/documents/bucket=<b>/  the entries of the segment
     <index>/commits/<n>/                        one row: written last, makes segment n visible
 
+A term leads to the distinct folded texts of fields that hold it, and these to the entries, so that a
+text that many entries share has its terms once. Texts go by a hash of 64 bits: two texts with one
+hash would add entries to those that are looked at, never to those found.
+
 A search looks up whole queries and terms only, reads the buckets their hashes name, and then
 the documents its candidates name. A segment without a commit row is invisible, so a job that
 died in between leaves no half index. Of entries with the same id the last segment's, and in
@@ -12,9 +17,11 @@ it the last row, counts. One writer at a time, as for any folder of files.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
@@ -27,6 +34,11 @@ BUCKETS = 64
 #: Buckets named one by one in a search; with more, the buckets are joined.
 NAMED_BUCKETS = 256
 
+# Terms of a piece of output, and of the texts that a task remembers.
+_PIECE, _REMEMBERED = 1 << 17, 1 << 19
+# An id with more texts than this has its terms made distinct by a shuffle.
+MANY_TEXTS = 1000
+
 _COMMIT = "segment long, buckets int, documents long, postings long, terms_sum string, signature string"
 
 
@@ -54,21 +66,80 @@ def append(entries: DataFrame, index: str, buckets: int = BUCKETS, fields: Seque
     segment = 0 if known["last"] is None else known["last"] + 1
     buckets = known["buckets"] or buckets
     root = f"{index}/segments/{segment}"
-    postings = K.ngram_postings(entries, fields=fields).distinct().withColumn("bucket", _bucket(F.col("term"), buckets))
-    # Many tasks for each bucket: rows are dealt by term, so that no bucket is one task.
-    postings.repartition("bucket", F.pmod(F.xxhash64("term", "source_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/postings")
+    folded = F.array_distinct(F.array(*[F.make_valid_utf8(fold_key(f)) for f in fields]))
+    held = materialized(entries.select("source_id", F.explode(folded).alias("text")).filter("text != ''").groupBy("source_id").agg(F.collect_set("text").alias("texts")))
+    owners = held.select("source_id", F.explode("texts").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    terms = with_terms(owners.select("text_key", "text").distinct().repartition(parts), "text").withColumn("bucket", _bucket(F.col("term"), buckets))
+    # Many tasks for each bucket: rows are dealt by term and text, so that no bucket is one task.
+    terms.repartition("bucket", F.pmod(F.xxhash64("term", "text_key"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/terms")
+    placed = owners.select("text_key", "source_id", _bucket(F.col("text_key"), buckets).alias("bucket"))
+    placed.repartition("bucket", F.pmod(F.xxhash64("text_key", "source_id"), F.lit(8))).sortWithinPartitions("bucket", "text_key").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/owners")
     entries.withColumn("bucket", _bucket(F.col("source_id"), buckets)).repartition("bucket", F.pmod(F.xxhash64(*entries.columns), F.lit(8))).sortWithinPartitions("bucket", "source_id").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/documents")
-    stored = spark.read.schema("term string, source_id string, bucket int").parquet(f"{root}/postings")
-    total = F.sum(F.xxhash64("term", "source_id").cast("decimal(38,0)"))
-    row = stored.agg(F.lit(segment).cast("long").alias("segment"), F.lit(buckets).alias("buckets"), F.lit(entries.count()).alias("documents"),
-        F.count("*").alias("postings"), F.coalesce(total, F.lit(0)).cast("string").alias("terms_sum"))
+    total = F.sum(F.xxhash64("text", "source_id").cast("decimal(38,0)"))
+    row = owners.agg(F.lit(segment).cast("long").alias("segment"), F.lit(buckets).alias("buckets"), F.lit(entries.count()).alias("documents"),
+        F.lit(_postings(held)).cast("long").alias("postings"), F.coalesce(total, F.lit(0)).cast("string").alias("terms_sum"))
     row = row.withColumn("signature", F.sha2(F.concat_ws(":", F.col("postings").cast("string"), "terms_sum"), 256))
     row.coalesce(1).write.mode("overwrite").parquet(f"{index}/commits/{segment}")
     return segment
 
 
+def terms_of(text: str) -> set[str]:
+    """Every run of up to ``MAX_NGRAM`` characters."""
+    n = len(text)
+    return {text[i:j] for i in range(n) for j in range(i + 1, min(n, i + MAX_NGRAM) + 1)}
+
+
+def with_terms(df: DataFrame, text: str) -> DataFrame:
+    """The other columns with ``term``, a row for each distinct term of the text. Documents are spread before they grow."""
+    names = [c for c in df.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[str] = []
+            many: list[int] = []
+            first = 0
+            texts = batch.column(len(names)).to_pylist()
+            for i, own in enumerate(texts):
+                terms = terms_of(own)
+                found += terms
+                many.append(len(terms))
+                if len(found) >= _PIECE or i + 1 == len(texts):
+                    rows = pa.array(np.repeat(np.arange(first, i + 1), many))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in range(len(names))], pa.array(found, pa.string())], names=[*names, "term"])
+                    found, many, first = [], [], i + 1
+
+    return df.select(*names, text).mapInArrow(run, df.drop(text).schema.add("term", "string"))
+
+
+def _postings(held: DataFrame) -> int:
+    """Distinct pairs of term and id, for a table of ids with their distinct texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, set[str]] = {}
+        size = total = 0
+        for batch in batches:
+            for texts in batch.column(0).to_pylist():
+                own: list[set[str]] = []
+                for text in texts:
+                    terms = known.get(text)
+                    if terms is None:
+                        terms = terms_of(text)
+                        size += len(terms)
+                        if size > _REMEMBERED:
+                            known, size = {}, len(terms)
+                        known[text] = terms
+                    own.append(terms)
+                total += len(set().union(*own))
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+
+    few = held.filter(F.size("texts") <= MANY_TEXTS).select("texts").mapInArrow(run, "n long")
+    many = held.filter(F.size("texts") > MANY_TEXTS).select("source_id", F.explode("texts").alias("text"))
+    return int(few.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) + with_terms(many, "text").distinct().count()
+
+
 def signature(spark: SparkSession, index: str) -> DataFrame:
-    """(segments, documents, postings, signature) of the index: the same postings, the same signature.
+    """(segments, documents, postings, signature) of the index: the same ids and texts, the same signature.
 
     Made of the segments' sums, whatever files and partitions hold them.
     """
@@ -100,8 +171,12 @@ class Index:
         return out
 
     def postings(self) -> DataFrame:
-        """(term, source_id, bucket, segment)."""
-        return self._read("postings", "term string, source_id string, bucket int")
+        """(term, text_key, bucket, segment)."""
+        return self._read("terms", "term string, text_key long, bucket int")
+
+    def owners(self) -> DataFrame:
+        """(text_key, source_id, bucket, segment)."""
+        return self._read("owners", "text_key long, source_id string, bucket int")
 
     def documents(self) -> DataFrame:
         """Entries with bucket and segment."""
@@ -133,9 +208,11 @@ def looked_up(index: Index, needles: DataFrame) -> DataFrame:
     A needle longer than the longest indexed term is looked up by its beginning, which any text
     that holds it holds too.
     """
-    term = F.substr(fold_key("needle"), F.lit(1), F.lit(MAX_NGRAM))
+    term = F.substr(F.make_valid_utf8(fold_key("needle")), F.lit(1), F.lit(MAX_NGRAM))
     terms = materialized(needles.select(term.alias("term")).distinct().withColumn("bucket", _bucket(F.col("term"), index.buckets)))
-    found = in_buckets(index.postings(), terms).join(terms, ["bucket", "term"], "left_semi").select("source_id").distinct()
+    met = in_buckets(index.postings(), terms).join(terms, ["bucket", "term"], "left_semi").select("text_key").distinct()
+    texts = materialized(met.withColumn("bucket", _bucket(F.col("text_key"), index.buckets)))
+    found = in_buckets(index.owners(), texts).join(texts, ["bucket", "text_key"], "left_semi").select("source_id").distinct()
     return materialized(found.withColumn("bucket", _bucket(F.col("source_id"), index.buckets)))
 
 
